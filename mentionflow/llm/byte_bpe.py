@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,9 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SAFE = re.compile(r"(?<=\S)(?= \S)")
-UNSAFE = re.compile(r"(?:^|\s) | (?:\s|\Z)")
-#: Words (and characters of a word) that an encoder remembers.
-MEMO, MEMO_CHARS = 300_000, 64
+#: Words (and characters of a word) that an encoder remembers, twice: the latest, and those before.
+MEMO, MEMO_CHARS = 200_000, 64
 #: Characters from which on a text is cut, without a safe place the pattern is applied outside tiktoken, and bytes from which a match is merged by heap.
 CHUNK, LOOSE, LONG_MATCH = 1 << 15, 1 << 17, 1 << 11
 _ENCODERS: dict[tuple[int, str], ByteBpe] = {}
@@ -45,6 +45,7 @@ class ByteBpe:
         self.encoding = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
         self.pattern = regex.compile(pattern)
         self.memo: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     @classmethod
     def cached(cls, blob: bytes, pattern: str) -> ByteBpe:
@@ -64,22 +65,31 @@ class ByteBpe:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        if not text or UNSAFE.search(text):
-            return self.ids(text).astype("<u4").tobytes()
         first, *words = text.split(" ")
         found = list(map(self.memo.get, words))
-        for i, x in enumerate(found):
-            if x is None:
-                found[i] = self._word(words[i])
+        if None in found:
+            for i, x in enumerate(found):
+                if x is None:
+                    x = self._word(words[i])
+                    if x is None:  # a space that is no safe place
+                        return self.ids(text).astype("<u4").tobytes()
+                    found[i] = x
+        if first[-1:].isspace() or not first and words:
+            return self.ids(text).astype("<u4").tobytes()
         return self.ids(first).astype("<u4").tobytes() + b"".join(found)
 
-    def _word(self, word: str) -> bytes:
-        """The ids of a space and the word."""
-        made = self.ids(f" {word}").astype("<u4").tobytes()
-        if len(word) <= MEMO_CHARS:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            self.memo[word] = made
+    def _word(self, word: str) -> bytes | None:
+        """The ids of a space and the word; None if the word is empty or has white space at an end."""
+        made = self.before.get(word)
+        if made is None:
+            if not word or word[0].isspace() or word[-1].isspace():
+                return None
+            if len(word) > MEMO_CHARS:
+                return self.ids(f" {word}").astype("<u4").tobytes()
+            made = array("I", self.encoding._core_bpe.encode_ordinary(f" {word}")).tobytes()
+        if len(self.memo) >= MEMO:
+            self.memo, self.before = {}, self.memo
+        self.memo[word] = made
         return made
 
     def ids(self, text: str) -> np.ndarray:

@@ -38,12 +38,12 @@ def signatures(text: Column, anchors=ANCHORS, chain: int = CHAIN) -> Column:
     common = sorted(set(anchors))
     w = words(text)
     # One pass marks the anchors; each then knows how many content words stand before it: its place less the anchors before it.
-    pairs = F.transform(F.array(w), lambda w: F.struct(w.alias("w"), F.filter(w, lambda x: ~x.isin(common)).alias("content"), F.filter(F.transform(w, lambda x, i: F.when(x.isin(common), i)), lambda i: i.isNotNull()).alias("spots")))
+    pairs = F.transform(F.array(w), lambda w: F.struct(w.alias("w"), F.filter(w, lambda x: ~x.isin(common)).alias("content"), F.when(F.size(w) > 0, F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.get(w, i).isin(common))).otherwise(F.array().cast("array<int>")).alias("spots")))
 
     def of(s: Column) -> Column:
-        at = lambda i, j: F.slice(s["content"], i - j + 1, chain)
-        chains = F.transform(s["spots"], lambda i, j: F.when(i - j < F.size(s["content"]), digest(F.concat_ws(" ", F.get(s["w"], i), F.array_join(at(i, j), " ")))))
-        some = F.array_sort(F.array_distinct(F.filter(chains, lambda x: x.isNotNull())))
+        content = lambda k: F.get(s["content"], k)  # noqa: E731  (slice() would copy the whole array each time)
+        chains = F.transform(s["spots"], lambda i, j: F.when(i - j < F.size(s["content"]), digest(F.concat_ws(" ", F.get(s["w"], i), *[content(i - j + d) for d in range(chain)]))))
+        some = F.sort_array(F.array_distinct(F.filter(chains, lambda x: x.isNotNull())))
         return F.when(F.size(some) > 0, some).when(F.size(s["w"]) > 0, F.array(digest(F.array_join(s["w"], " ")))).otherwise(F.array().cast("array<string>"))
 
     return F.coalesce(F.transform(pairs, of)[0], F.array().cast("array<string>"))
@@ -61,37 +61,33 @@ def fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint") ->
 
 
 def with_next(df: DataFrame, key: str = "doc_id", text: str = "text", rows: int = 20_000) -> DataFrame:
-    """key, text, next_text: the text of the next row by descending key; after the last, the first.
+    """df with `next`, the struct of the other columns of the next row by descending key; after the last, the first.
 
     Rows are dealt into ranges of the key of about rows rows each (bounds by approximate quantiles); the first row of a range also goes to
     the range before it, so each range finds its successors alone. Rows with one key are ordered by text, null keys come last.
-    Texts that are null stay null, as does the next text of a row before one. One row alone is its own next.
+    One row alone is its own next. A key is expected to name few rows: all rows of one key meet in one range.
     """
-    own = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    n = own.count()
-    cuts = max(0, n // rows)
+    n = df.count()
+    cuts = n // rows
     bounds: list = []
     if cuts:
-        got = own.select(F.percentile_approx("key", [i / (cuts + 1) for i in range(1, cuts + 1)], 100 * (cuts + 1)).alias("q")).first()["q"]
+        got = df.agg(F.percentile_approx(key, [i / (cuts + 1) for i in range(1, cuts + 1)], 100 * (cuts + 1)).alias("q")).first()["q"]
         bounds = sorted(set(got or []), reverse=True)
-    spread = F.lit(0)
-    if bounds:  # number of bounds above the key, by bisection over a constant array
-        listed = F.array(*[F.lit(-b) for b in bounds])
-        spread = F.coalesce(F.size(F.filter(listed, lambda b: b < -F.col("key"))), F.lit(len(bounds)))
-    dealt = own.withColumn("range", spread.cast("int"))
-    first = {r["range"]: (r["key"], r["only_null"]) for r in dealt.groupBy("range").agg(F.max("key").alias("key"), (F.count("key") == 0).alias("only_null")).collect()}
+    place = F.lit(0)
+    if bounds:  # the number of bounds above the key
+        place = F.coalesce(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b > F.col(key))), F.lit(len(bounds)))
+    first = {r["range"]: r["key"] for r in df.select(F.col(key).alias("key"), place.alias("range")).groupBy("range").agg(F.max("key").alias("key")).collect()}
     order = sorted(first)
-    before = {b: a for a, b in zip(order, order[1:], strict=False)} | ({order[0]: order[-1]} if order else {})
-    heads = None
+    if not order:
+        return df.withColumn("next", F.struct(*[c for c in df.columns if c != key]))
+    before = dict(zip(order, [order[-1], *order[:-1]], strict=True))
+    heads = F.lit(None).cast("int")
     for r in order:  # as many as ranges
-        head = (F.col("range") == r) & F.col("key").eqNullSafe(F.lit(first[r][0]))
-        heads = F.when(head, F.lit(before[r])) if heads is None else heads.when(head, F.lit(before[r]))
-    if heads is None:
-        return own.select(F.col("key").alias(key), "text", F.col("text").alias("next_text"))
-    copies = F.array_compact(F.array(F.struct(F.col("range").alias("to"), F.lit(False).alias("guest")), F.when(heads.isNotNull(), F.struct(heads.cast("int").alias("to"), F.lit(True).alias("guest")))))
-    both = dealt.select("key", "text", F.explode(copies).alias("c")).select("key", "text", "c.to", "c.guest")
-    w = Window.partitionBy("to").orderBy("guest", F.desc_nulls_last("key"), F.asc_nulls_first("text"))
-    return both.withColumn("next_text", F.lead("text").over(w)).filter(~F.col("guest")).select(F.col("key").alias(key), "text", "next_text")
+        heads = F.when((place == r) & F.col(key).eqNullSafe(F.lit(first[r])), F.lit(before[r])).otherwise(heads)
+    copies = F.array_compact(F.array(F.struct(place.alias("to"), F.lit(False).alias("guest")), F.when(heads.isNotNull(), F.struct(heads.alias("to"), F.lit(True).alias("guest")))))
+    dealt = df.withColumn("_c", F.explode(copies)).select(*df.columns, "_c.to", "_c.guest")
+    w = Window.partitionBy("to").orderBy("guest", F.desc_nulls_last(key), F.asc_nulls_first(text))
+    return dealt.withColumn("next", F.lead(F.struct(*[c for c in df.columns if c != key])).over(w)).filter(~F.col("guest")).drop("to", "guest")
 
 
 def near_pairs(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
@@ -117,14 +113,14 @@ def near_pairs(df: DataFrame, key: str = "doc_id", text: str = "text", threshold
 
 
 def op10(documents: DataFrame) -> DataFrame:
-    filled = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    filled = fingerprint(documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", "f")
     both = with_next(filled).withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    edited = both.withColumn("edited", F.concat(F.expr("substring(text, 1, cast(n_chars - n_chars div 2 as int))"), F.when(half > 0, F.substring("next_text", F.lit(1), half)).otherwise("")))
-    marked = fingerprint(fingerprint(fingerprint(edited, "text", "f"), "edited", "e"), "next_text", "x")
+    edited = both.withColumn("edited", F.concat(F.expr("substring(text, 1, cast(n_chars - n_chars div 2 as int))"), F.substring("next.text", F.lit(1), half)))
+    marked = fingerprint(edited, "edited", "e")
     return marked.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.array_join("f", "").alias("fingerprint"), F.array_join("e", "").alias("edited_fingerprint"),
-        likeness(F.col("f"), F.col("e")).alias("near_edited"), likeness(F.col("f"), F.col("x")).alias("near_next"),
+        likeness(F.col("f"), F.col("e")).alias("near_edited"), likeness(F.col("f"), F.col("next.f")).alias("near_next"),
     )
 
 

@@ -40,13 +40,16 @@ def signatures(text: Column, anchors=ANCHORS, chain: int = CHAIN) -> Column:
     # One pass marks the anchors; each then knows how many content words stand before it: its place less the anchors before it.
     pairs = F.transform(F.array(w), lambda w: F.struct(w.alias("w"), F.filter(w, lambda x: ~x.isin(common)).alias("content"), F.when(F.size(w) > 0, F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.get(w, i).isin(common))).otherwise(F.array().cast("array<int>")).alias("spots")))
 
-    def of(s: Column) -> Column:
+    def chains(s: Column) -> Column:
         content = lambda k: F.get(s["content"], k)  # noqa: E731  (slice() would copy the whole array each time)
-        chains = F.transform(s["spots"], lambda i, j: F.when(i - j < F.size(s["content"]), digest(F.concat_ws(" ", F.get(s["w"], i), *[content(i - j + d) for d in range(chain)]))))
-        some = F.sort_array(F.array_distinct(F.filter(chains, lambda x: x.isNotNull())))
-        return F.when(F.size(some) > 0, some).when(F.size(s["w"]) > 0, F.array(digest(F.array_join(s["w"], " ")))).otherwise(F.array().cast("array<string>"))
+        made = F.transform(s["spots"], lambda i, j: F.when(i - j < F.size(s["content"]), digest(F.concat_ws(" ", F.get(s["w"], i), *[content(i - j + d) for d in range(chain)]))))
+        return F.struct(s["w"].alias("w"), F.sort_array(F.array_distinct(F.filter(made, lambda x: x.isNotNull()))).alias("some"))
 
-    return F.coalesce(F.transform(pairs, of)[0], F.array().cast("array<string>"))
+    def whole(s: Column) -> Column:
+        return F.when(F.size(s["some"]) > 0, s["some"]).when(F.size(s["w"]) > 0, F.array(digest(F.array_join(s["w"], " ")))).otherwise(F.array().cast("array<string>"))
+
+    # Each step binds what it uses more than once as the variable of a one-element transform, so that it's computed once.
+    return F.coalesce(F.transform(F.transform(pairs, chains), whole)[0], F.array().cast("array<string>"))
 
 
 def likeness(a: Column, b: Column) -> Column:

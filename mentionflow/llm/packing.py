@@ -168,10 +168,24 @@ def first_basis(lengths: np.ndarray, need: np.ndarray, capacity: int) -> np.ndar
     return columns
 
 
-def generate(demand: np.ndarray, capacity: int, gap: float = 1e-3, rounds: int = 4000) -> list[tuple[np.ndarray, float]]:
+def inverted(matrix: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan elimination; the matrices are a few hundred wide and mostly triangular."""
+    n = len(matrix)
+    work = np.hstack([matrix, np.eye(n)])
+    for i in range(n):
+        at = i + int(np.abs(work[i:, i]).argmax())
+        work[[i, at]] = work[[at, i]]
+        work[i] /= work[i, i]
+        rows = np.flatnonzero(work[:, i])
+        rows = rows[rows != i]
+        work[rows] -= work[rows, i][:, None] * work[i]
+    return work[:, n:].copy()
+
+
+def generate(demand: np.ndarray, capacity: int, gap: float = 1e-3, rounds: int = 800) -> list[tuple[np.ndarray, float]]:
     """Patterns and how often the linear program uses each. demand[l]: pieces of length l; demand[0] is unused.
 
-    It ends at the optimum, or when the objective is within gap of the bound that pricing gives.
+    It ends at the optimum, when the objective is within gap of the bound that pricing gives, or after rounds columns.
     """
     lengths = np.flatnonzero(demand)
     lengths = lengths[lengths > 0]
@@ -180,7 +194,7 @@ def generate(demand: np.ndarray, capacity: int, gap: float = 1e-3, rounds: int =
     n = len(lengths)
     need = demand[lengths].astype(float)
     columns = first_basis(lengths, need, capacity)
-    inverse = np.linalg.inv(columns)
+    inverse = inverted(columns)
     x = np.maximum(inverse @ need, 0)
     for turn in range(rounds):
         duals = inverse.sum(axis=0)
@@ -201,7 +215,7 @@ def generate(demand: np.ndarray, capacity: int, gap: float = 1e-3, rounds: int =
         inverse -= np.outer(step, row)
         inverse[out] = row
         if turn % 200 == 199:
-            inverse = np.linalg.inv(columns)
+            inverse = inverted(columns)
         x = np.maximum(inverse @ need, 0)
     out = []
     for j in np.flatnonzero(x > 1e-9):

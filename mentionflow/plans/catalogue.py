@@ -5,6 +5,100 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from mentionflow.operators import corpus, linking, metrics, ordered, trees
+from mentionflow.streaming import strategies
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+THRESHOLD = 0.30
+
+
+def add(name: str, query: Query, sql: str | None = None) -> None:
+    QUERIES[name] = query
+    if sql:
+        ORACLE_SQL[name] = sql
+
+
+def read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def events(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("entity_id"), F.col("ts").alias("date"), "event_type")
+
+
+def parts(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "part").select(F.col("p_partkey").alias("seq"), F.col("p_name").alias("mention"), F.col("p_brand").alias("entity_id"), F.col("p_type").alias("document_id"))
+
+
+def vectors(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "embeddings").select(F.col("vec_id").alias("seq"), F.col("label").alias("entity_id"), "embedding")
+
+
+def assigned(spark: SparkSession, d: str) -> DataFrame:
+    return parts(spark, d).select("seq", F.col("entity_id").alias("true_id"), F.col("mention").alias("pred_id"))
+
+
+def train_of(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Clicks are the training mentions, all other events the evaluated ones."""
+    return df.filter("event_type = 'click'"), df.filter("event_type <> 'click'")
+
+
+EV = "(SELECT event_id seq, user_id entity_id, ts date, event_type FROM events) ev"
+A = "a AS (SELECT p_partkey seq, p_brand true_id, p_name pred_id FROM part)"
+SIDES = f"{A}, n AS (SELECT true_id, pred_id, count(*) n FROM a GROUP BY 1, 2), t AS (SELECT true_id, sum(n) size, count(*) parts FROM n GROUP BY 1), p AS (SELECT pred_id, sum(n) size, count(*) parts FROM n GROUP BY 1)"
+DENSE = "f AS (SELECT {k}, min(p_partkey) m FROM part GROUP BY {k}), i AS (SELECT *, row_number() OVER (ORDER BY m) - 1 id FROM f)"
+
+add("entity_counts", lambda s, d: corpus.entity_counts(events(s, d)), f"SELECT entity_id, count(*) count FROM {EV} GROUP BY 1")
+add("entity_vocab", lambda s, d: corpus.entity_vocab(events(s, d)), f"SELECT '[PAD]' entity, CAST(0 AS BIGINT) count, CAST(0 AS BIGINT) idx UNION ALL SELECT entity, count, row_number() OVER (ORDER BY count DESC, f) FROM (SELECT CAST(entity_id AS VARCHAR) entity, count(*) count, min(seq) f FROM {EV} GROUP BY 1)")
+add("unique_entities", lambda s, d: corpus.unique_entities(parts(s, d), "mention"), "SELECT count(*) n_unique, CAST(coalesce(sum(CASE WHEN c = 1 THEN 1 ELSE 0 END), 0) AS BIGINT) n_singleton FROM (SELECT count(*) c FROM part GROUP BY p_name)")
+add("entity_spans", lambda s, d: corpus.entity_spans(events(s, d)), f"SELECT entity_id, min(seq) first_seq, max(seq) last_seq FROM {EV} GROUP BY 1")
+add("max_active", lambda s, d: corpus.max_active(events(s, d)), f"WITH sp AS (SELECT min(seq) a, max(seq) + 1 b FROM {EV} GROUP BY entity_id), e AS (SELECT a x, 1 v FROM sp UNION ALL SELECT b, -1 FROM sp), g AS (SELECT x, sum(v) v FROM e GROUP BY x) SELECT CAST(max(s) AS BIGINT) max_active FROM (SELECT sum(v) OVER (ORDER BY x) s FROM g)")
+for kind, seen in (("seen_split", True), ("unseen_split", False)):
+    add(kind, lambda s, d, seen=seen: corpus.split_seen(train_of(events(s, d))[1], train_of(events(s, d))[0], seen=seen).select("seq", "entity_id"), f"SELECT seq, entity_id FROM {EV} WHERE event_type <> 'click' AND entity_id {'' if seen else 'NOT '}IN (SELECT user_id FROM events WHERE event_type = 'click')")
+add("percent_overlap", lambda s, d: corpus.percent_overlap(train_of(events(s, d))[1], train_of(events(s, d))[0]), f"WITH t AS (SELECT DISTINCT user_id u FROM events WHERE event_type = 'click'), e AS (SELECT DISTINCT user_id u FROM events WHERE event_type <> 'click') SELECT count(e.u) n_seen, count(*) n_train, round(count(e.u) / count(*), 6) overlap FROM t LEFT JOIN e USING (u)")
+add("unseen_entities", lambda s, d: corpus.unseen_entities(train_of(events(s, d))[1], train_of(events(s, d))[0]), "SELECT user_id entity_id FROM events WHERE event_type <> 'click' EXCEPT SELECT user_id FROM events WHERE event_type = 'click'")
+add("topic_split", lambda s, d: read(s, d, "part").select("p_partkey", corpus.topic_split(F.col("p_size")).alias("split")), "SELECT p_partkey, CASE WHEN p_size IN (2, 5, 12, 18, 21, 23, 34, 35) THEN 'dev' WHEN p_size BETWEEN 1 AND 35 THEN 'train' ELSE 'test' END split FROM part")
+add("date_split", lambda s, d: corpus.date_split(events(s, d)).select("seq", "split"), f"SELECT seq, CASE WHEN r <= n * 6 // 10 THEN 'train' WHEN r <= n * 6 // 10 + n * 2 // 10 THEN 'dev' ELSE 'test' END split FROM (SELECT seq, row_number() OVER (ORDER BY date, seq) r, count(*) OVER () n FROM {EV})")
+add("dense_ids", lambda s, d: ordered.dense_ids(parts(s, d), ["entity_id"], "seq", "dense_id").select("seq", "dense_id"), f"WITH {DENSE.format(k='p_brand')} SELECT p_partkey seq, id dense_id FROM part JOIN i USING (p_brand)")
+add("string_match", lambda s, d: linking.string_match(parts(s, d)), f"WITH {DENSE.format(k='p_name')} SELECT p_partkey seq, id cluster_id FROM part JOIN i USING (p_name)")
+add("oracle_wd", lambda s, d: linking.oracle_within_document(parts(s, d)), f"WITH {DENSE.format(k='p_brand, p_type')} SELECT p_partkey seq, id cluster_id FROM part JOIN i USING (p_brand, p_type)")
+add("oracle_wd_compat", lambda s, d: linking.oracle_within_document_compat(parts(s, d)), "WITH f AS (SELECT p_partkey seq, CASE WHEN row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) = 1 THEN 1 ELSE 0 END n FROM part) SELECT seq, CAST(sum(n) OVER (ORDER BY seq) - n AS BIGINT) cluster_id FROM f")
+add("entity_encode", lambda s, d: corpus.entity_encode(events(s, d), corpus.entity_vocab(train_of(events(s, d))[0])).select("seq", "idx"), "WITH t AS (SELECT user_id u, count(*) c, min(event_id) f FROM events WHERE event_type = 'click' GROUP BY 1), v AS (SELECT u, row_number() OVER (ORDER BY c DESC, f) idx FROM t), o AS (SELECT user_id u, row_number() OVER (ORDER BY min(event_id)) + (SELECT max(idx) FROM v) idx FROM events WHERE user_id NOT IN (SELECT u FROM v) GROUP BY 1) SELECT event_id seq, idx FROM events JOIN (SELECT * FROM v UNION ALL SELECT * FROM o) x ON x.u = user_id")
+add("span_split_chars", lambda s, d: read(s, d, "documents").select("doc_id", *corpus.span_split_chars(F.col("text"), F.lit(3), F.lit(9))), "SELECT doc_id, substr(text, 1, 3) left_context, substr(text, 4, 6) mention, substr(text, 10) right_context FROM documents")
+add("span_split_tokens", lambda s, d: read(s, d, "documents").select("doc_id", *corpus.span_split_tokens(F.col("text"), F.lit(2), F.lit(4))), "WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') t FROM documents) SELECT doc_id, array_to_string(t[1:2], ' ') left_context, array_to_string(t[3:5], ' ') mention, array_to_string(t[6:], ' ') right_context FROM t")
+add("json_project", lambda s, d: read(s, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k")), "SELECT event_id, json_extract_string(props, '$.k') k FROM events")
+add("sectionize", lambda s, d: corpus.sectionize(read(s, d, "conversations"), F.when(F.col("role") == "user", F.col("turn")), "conv_id", "turn").select("conv_id", "turn", "section", "mention_index"), "WITH m AS (SELECT conv_id, turn, role, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) section FROM conversations) SELECT conv_id, turn, section, row_number() OVER (PARTITION BY conv_id, section ORDER BY turn) - 1 mention_index FROM m WHERE role <> 'user'")
+add("contingency", lambda s, d: metrics.contingency(assigned(s, d)), f"WITH {SIDES} SELECT * FROM n")
+add("muc", lambda s, d: metrics.muc(assigned(s, d)), f"WITH {SIDES}, r AS (SELECT (SELECT sum(size - parts) / (sum(size - 1) + 1e-13) FROM p) x, (SELECT sum(size - parts) / (sum(size - 1) + 1e-13) FROM t) y) SELECT round(x, 6) AS "precision", round(y, 6) recall, round(CASE WHEN x + y > 0 THEN 2 * x * y / (x + y) ELSE 0.0 END, 6) f1 FROM r")
+add("b_cubed", lambda s, d: metrics.b_cubed(assigned(s, d)), f"WITH {SIDES}, r AS (SELECT sum(n.n * n.n / CAST(p.size AS DOUBLE)) / sum(n.n) x, sum(n.n * n.n / CAST(t.size AS DOUBLE)) / sum(n.n) y FROM n JOIN t USING (true_id) JOIN p USING (pred_id)) SELECT round(x, 6) AS "precision", round(y, 6) recall, round(2 * x * y / (x + y), 6) f1 FROM r")
+add("phi4", lambda s, d: metrics.phi4(assigned(s, d)), f"WITH {SIDES} SELECT true_id, pred_id, round(2 * n.n / CAST(t.size + p.size AS DOUBLE), 6) phi4 FROM n JOIN t USING (true_id) JOIN p USING (pred_id)")
+add("conflated_divided", lambda s, d: metrics.conflated_divided(assigned(s, d)), f"WITH {SIDES} SELECT CAST((SELECT sum(parts - 1) FROM p) AS BIGINT) conflated, CAST((SELECT sum(parts - 1) FROM t) AS BIGINT) divided")
+add("most_conflated", lambda s, d: metrics.most_mixed(assigned(s, d), "pred_id", "true_id"), f"WITH {A} SELECT pred_id, count(DISTINCT true_id) parts, min(seq) first_seq, count(*) size FROM a GROUP BY 1 ORDER BY 2 DESC, 3 LIMIT 1")
+add("most_split", lambda s, d: metrics.most_mixed(assigned(s, d), "true_id", "pred_id"), f"WITH {A} SELECT true_id, count(DISTINCT pred_id) parts, min(seq) first_seq, count(*) size FROM a GROUP BY 1 ORDER BY 2 DESC, 3 LIMIT 1")
+add("median_cluster_size", lambda s, d: metrics.median_cluster_size(assigned(s, d)), "SELECT quantile_cont(c, 0.5) median_size FROM (SELECT CAST(count(*) AS DOUBLE) c FROM part GROUP BY p_name)")
+
+E_ = "e AS (SELECT vec_id, embedding::DOUBLE[] v FROM embeddings), par AS (SELECT a.vec_id, max(b.vec_id) p FROM e a JOIN e b ON b.vec_id < a.vec_id AND list_dot_product(a.v, b.v) > 0.3{band} GROUP BY 1)"
+ROOTS = "r(vec_id, root) AS (SELECT e.vec_id, e.vec_id FROM e LEFT JOIN par USING (vec_id) WHERE par.p IS NULL UNION ALL SELECT par.vec_id, r.root FROM par JOIN r ON par.p = r.vec_id)"
+add("backward_links", lambda s, d: linking.backward_links(vectors(s, d), THRESHOLD, limit=50).select("seq", "parent"), f"WITH {E_.format(band=' AND b.vec_id >= a.vec_id - 50')} SELECT e.vec_id seq, par.p parent FROM e LEFT JOIN par USING (vec_id)")
+add("backward_cluster", lambda s, d: linking.backward_cluster(vectors(s, d), THRESHOLD), f"WITH RECURSIVE {E_.format(band='')}, {ROOTS} SELECT vec_id seq, root cluster_id FROM r")
+for name in strategies.STRATEGIES:
+    add(f"stream_{name}", lambda s, d, name=name: strategies.link(vectors(s, d), name, THRESHOLD, 50).select("seq", "cluster_id"), f"WITH RECURSIVE {E_.format(band=' AND b.vec_id >= a.vec_id - 50')}, {ROOTS} SELECT vec_id seq, root cluster_id FROM r" if name == "backwards" else None)
+S_ = "s AS (SELECT DISTINCT p_name m, lower(p_name) x FROM part), g AS (SELECT m, substr(x, i, 2) term, CAST(count(*) AS DOUBLE) c FROM s, unnest(range(1, length(x))) u(i) GROUP BY 1, 2), nn AS (SELECT m, sqrt(sum(c * c)) l FROM g GROUP BY 1), w AS (SELECT m, term, c / l w FROM g JOIN nn USING (m)), sim AS (SELECT a.m a, b.m b, round(sum(a.w * b.w), 9) score FROM w a JOIN w b USING (term) GROUP BY 1, 2 HAVING round(sum(a.w * b.w), 9) > 0.8)"
+add("bigram_tf", lambda s, d: linking.bigram_weights(parts(s, d)).select("mention", "term", F.round("w", 6).alias("w")), f"WITH {S_} SELECT m mention, term, round(w, 6) w FROM w")
+add("mention_similarity", lambda s, d: linking.similar_strings(linking.bigram_weights(parts(s, d)), 0.8).select("a", "b", F.round("score", 6).alias("score")), f"WITH {S_} SELECT a, b, round(score, 6) score FROM sim")
+add("feature_cluster", lambda s, d: linking.overwrite_cluster(parts(s, d), linking.similar_strings(linking.bigram_weights(parts(s, d)), 0.8)), None)
+
+
+def heap(spark: SparkSession, d: str) -> DataFrame:
+    """A binary tree over the embeddings rows: row i hangs under (i - 1) div 2; the leaves' labels count."""
+    return read(spark, d, "embeddings").select(F.col("vec_id").alias("uid"), F.when(F.col("vec_id") > 0, F.floor((F.col("vec_id") - 1) / 2)).alias("parent"), F.col("label").cast("string").alias("label"))
+
+
+TREE = "tr AS (SELECT vec_id uid, CASE WHEN vec_id > 0 THEN (vec_id - 1) // 2 END parent, CAST(label AS VARCHAR) label FROM embeddings), cl(node, via, leaf) AS (SELECT uid, CAST(NULL AS BIGINT), uid FROM tr WHERE uid NOT IN (SELECT parent FROM tr WHERE parent IS NOT NULL) UNION ALL SELECT tr.parent, tr.uid, cl.leaf FROM cl JOIN tr ON tr.uid = cl.node WHERE tr.parent IS NOT NULL)"
+add("tree_leaves", lambda s, d: trees.leaves(heap(s, d)).select("uid", "label"), f"WITH RECURSIVE {TREE} SELECT uid, label FROM tr WHERE uid NOT IN (SELECT parent FROM tr WHERE parent IS NOT NULL)")
+add("tree_closure", lambda s, d: trees.leaf_paths(heap(s, d)).select("node", "via", "leaf"), f"WITH RECURSIVE {TREE} SELECT * FROM cl")
+add("dendrogram_purity", lambda s, d: trees.purity(heap(s, d)), f"WITH RECURSIVE {TREE}, h AS (SELECT node, via, label, count(*)::DOUBLE c FROM cl JOIN tr l ON l.uid = cl.leaf WHERE via IS NOT NULL GROUP BY 1, 2, 3), nl AS (SELECT node, sum(c) n FROM h GROUP BY 1), pr AS (SELECT node, label, (sum(c) * sum(c) - sum(c * c)) / 2 pairs, sum(c) tot FROM h GROUP BY 1, 2) SELECT round(sum(pairs * tot / n) / sum(pairs), 6) purity FROM pr JOIN nl USING (node)")

@@ -73,8 +73,8 @@ add("span_split_tokens", lambda s, d: read(s, d, "documents").select("doc_id", *
 add("json_project", lambda s, d: read(s, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k")), "SELECT event_id, json_extract_string(props, '$.k') k FROM events")
 add("sectionize", lambda s, d: corpus.sectionize(read(s, d, "conversations"), F.when(F.col("role") == "user", F.col("turn")), "conv_id", "turn").select("conv_id", "turn", "section", "mention_index"), "WITH m AS (SELECT conv_id, turn, role, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) section FROM conversations) SELECT conv_id, turn, section, row_number() OVER (PARTITION BY conv_id, section ORDER BY turn) - 1 mention_index FROM m WHERE role <> 'user'")
 add("contingency", lambda s, d: metrics.contingency(assigned(s, d)), f"WITH {SIDES} SELECT * FROM n")
-add("muc", lambda s, d: metrics.muc(assigned(s, d)), f"WITH {SIDES}, r AS (SELECT (SELECT sum(size - parts) / (sum(size - 1) + 1e-13) FROM p) x, (SELECT sum(size - parts) / (sum(size - 1) + 1e-13) FROM t) y) SELECT round(x, 6) AS "precision", round(y, 6) recall, round(CASE WHEN x + y > 0 THEN 2 * x * y / (x + y) ELSE 0.0 END, 6) f1 FROM r")
-add("b_cubed", lambda s, d: metrics.b_cubed(assigned(s, d)), f"WITH {SIDES}, r AS (SELECT sum(n.n * n.n / CAST(p.size AS DOUBLE)) / sum(n.n) x, sum(n.n * n.n / CAST(t.size AS DOUBLE)) / sum(n.n) y FROM n JOIN t USING (true_id) JOIN p USING (pred_id)) SELECT round(x, 6) AS "precision", round(y, 6) recall, round(2 * x * y / (x + y), 6) f1 FROM r")
+add("muc", lambda s, d: metrics.muc(assigned(s, d)), f"WITH {SIDES}, r AS (SELECT (SELECT sum(size - parts) / (sum(size - 1) + 1e-13) FROM p) x, (SELECT sum(size - parts) / (sum(size - 1) + 1e-13) FROM t) y) SELECT round(x, 6) AS \"precision\", round(y, 6) recall, round(CASE WHEN x + y > 0 THEN 2 * x * y / (x + y) ELSE 0.0 END, 6) f1 FROM r")
+add("b_cubed", lambda s, d: metrics.b_cubed(assigned(s, d)), f"WITH {SIDES}, r AS (SELECT sum(n.n * n.n / CAST(p.size AS DOUBLE)) / sum(n.n) x, sum(n.n * n.n / CAST(t.size AS DOUBLE)) / sum(n.n) y FROM n JOIN t USING (true_id) JOIN p USING (pred_id)) SELECT round(x, 6) AS \"precision\", round(y, 6) recall, round(2 * x * y / (x + y), 6) f1 FROM r")
 add("phi4", lambda s, d: metrics.phi4(assigned(s, d)), f"WITH {SIDES} SELECT true_id, pred_id, round(2 * n.n / CAST(t.size + p.size AS DOUBLE), 6) phi4 FROM n JOIN t USING (true_id) JOIN p USING (pred_id)")
 add("conflated_divided", lambda s, d: metrics.conflated_divided(assigned(s, d)), f"WITH {SIDES} SELECT CAST((SELECT sum(parts - 1) FROM p) AS BIGINT) conflated, CAST((SELECT sum(parts - 1) FROM t) AS BIGINT) divided")
 add("most_conflated", lambda s, d: metrics.most_mixed(assigned(s, d), "pred_id", "true_id"), f"WITH {A} SELECT pred_id, count(DISTINCT true_id) parts, min(seq) first_seq, count(*) size FROM a GROUP BY 1 ORDER BY 2 DESC, 3 LIMIT 1")

@@ -202,7 +202,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + f @ self.weights[1:], -30, 30)))
 
 
-def learn(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = 4000) -> Model | None:
+def learn(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = 2000) -> Model | None:
     """A model of at most about rows labelled documents of each class, chosen by a hash of the key; None without both classes.
 
     Keys labelled twice count as toxic if any label says so; other labels than 0 and 1, and null ones, are left out. Rows
@@ -217,7 +217,9 @@ def learn(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
     chosen = known.filter(spread < keep)
     found = documents.select(key, text).join(F.broadcast(chosen), key).select("toxic", (bucket_of(F.col(key), 5) == 1).alias("fits"), F.col(text).alias("t")).limit(4 * rows).collect()
     texts = sorted((r["fits"], r["toxic"], r["t"] or "") for r in found)
-    model = Model([(c, words_of(t)) for fits, c, t in texts if not fits])
+    del found
+    pool: dict[str, str] = {}  # one object for each distinct word
+    model = Model([(c, [pool.setdefault(w, w) for w in words_of(t)]) for fits, c, t in texts if not fits])
     held = [(c, words_of(t)) for fits, c, t in texts if fits]
     if len({c for c, _ in held}) == 2:
         model.fit(model.features([w for _, w in held]), np.array([c for c, _ in held]), counts[1] / (counts[0] + counts[1]))

@@ -80,17 +80,20 @@ class Parser:
         tables, starts, base = [], [], 0
         for name in self.names:
             steps = suffix_automaton(self.code[code_points(f" {references[name]} ")])
-            # Where a state has no such step, the phrase ends (lowest bit) and the next begins with this character.
-            root = np.full(self.width, (base << 1) | 1, np.int64)
+            # Where a state has no such step, the phrase ends (lowest bit) and the next begins with this character. A character that
+            # the reference lacks is a phrase of its own: its state, the last one, has no step at all.
+            dead = len(steps)
+            root = np.full(self.width, ((base + dead) << 1) | 1, np.int64)
             for c, to in steps[0].items():
                 root[c] = ((base + to) << 1) | 1
-            grid = np.tile(root, (len(steps), 1))
+            grid = np.tile(root, (dead + 1, 1))
+            grid[0] = root & ~1
             for i, step in enumerate(steps):
                 for c, to in step.items():
                     grid[i, c] = (base + to) << 1
             tables.append(grid)
             starts.append(base)
-            base += len(steps)
+            base += dead + 1
         self.steps = np.concatenate(tables).ravel().astype(np.int32) if tables else np.zeros(0, np.int32)
         self.starts = np.array(starts, np.int32)
         self.bits = np.log2([max(2, len(references[n])) for n in self.names])

@@ -8,6 +8,8 @@ partitions of set length only, since sets whose sizes differ by more than the th
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,12 +65,12 @@ def fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint") ->
     return df.withColumn(out, signatures(F.col(text)))
 
 
-def with_next(df: DataFrame, key: str = "doc_id", text: str = "text", rows: int = 20_000) -> DataFrame:
+def with_next(df: DataFrame, key: str = "doc_id", text: str = "text", rows: int = 5_000, derive: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """df with `next`, the struct of the other columns of the next row by descending key; after the last, the first.
 
     Rows are dealt into ranges of the key of about rows rows each (bounds by approximate quantiles); the first row of a range also goes to
     the range before it, so each range finds its successors alone. Rows with one key are ordered by text, null keys come last.
-    One row alone is its own next. A key is expected to name few rows: all rows of one key meet in one range.
+    One row alone is its own next. derive adds columns once the rows are dealt, so that they aren't shuffled. A key is expected to name few rows: all rows of one key meet in one range.
     """
     n = df.count()
     cuts = n // rows
@@ -82,15 +84,17 @@ def with_next(df: DataFrame, key: str = "doc_id", text: str = "text", rows: int
     first = {r["range"]: r["key"] for r in df.select(F.col(key).alias("key"), place.alias("range")).groupBy("range").agg(F.max("key").alias("key")).collect()}
     order = sorted(first)
     if not order:
+        df = derive(df) if derive else df
         return df.withColumn("next", F.struct(*[c for c in df.columns if c != key]))
     before = dict(zip(order, [order[-1], *order[:-1]], strict=True))
     heads = F.lit(None).cast("int")
     for r in order:  # as many as ranges
         heads = F.when((place == r) & F.col(key).eqNullSafe(F.lit(first[r])), F.lit(before[r])).otherwise(heads)
     copies = F.array_compact(F.array(F.struct(place.alias("to"), F.lit(False).alias("guest")), F.when(heads.isNotNull(), F.struct(heads.alias("to"), F.lit(True).alias("guest")))))
-    dealt = df.withColumn("_c", F.explode(copies)).select(*df.columns, "_c.to", "_c.guest")
+    dealt = df.withColumn("_c", F.explode(copies)).select(*df.columns, "_c.to", "_c.guest").repartition("to")
+    dealt = derive(dealt) if derive else dealt
     w = Window.partitionBy("to").orderBy("guest", F.desc_nulls_last(key), F.asc_nulls_first(text))
-    return dealt.withColumn("next", F.lead(F.struct(*[c for c in df.columns if c != key])).over(w)).filter(~F.col("guest")).drop("to", "guest")
+    return dealt.withColumn("next", F.lead(F.struct(*[c for c in dealt.columns if c not in (key, "to", "guest")])).over(w)).filter(~F.col("guest")).drop("to", "guest")
 
 
 def near_pairs(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
@@ -116,8 +120,8 @@ def near_pairs(df: DataFrame, key: str = "doc_id", text: str = "text", threshold
 
 
 def op10(documents: DataFrame) -> DataFrame:
-    filled = fingerprint(documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", "f")
-    both = with_next(filled).withColumn("n_chars", F.length("text").cast("long"))
+    filled = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    both = with_next(filled, derive=lambda df: fingerprint(df, "text", "f")).withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = both.withColumn("edited", F.concat(F.expr("substring(text, 1, cast(n_chars - n_chars div 2 as int))"), F.substring("next.text", F.lit(1), half)))
     marked = fingerprint(edited, "edited", "e")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ceaf import best_assignment
+from .trees import _checkpointed
+
 
 def contingency(df: DataFrame) -> DataFrame:
     return df.groupBy("true_id", "pred_id").agg(F.count("*").alias("n"))
@@ -60,3 +65,46 @@ def median_cluster_size(df: DataFrame, by: str = "pred_id") -> DataFrame:
 
 def trailing(df: DataFrame, by: str, seq: str) -> DataFrame:
     return df.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(seq)) - 1)
+
+
+def overlap_components(n: DataFrame) -> DataFrame:
+    """n (true_id, pred_id, ...) with component: the least true_id that is reached over shared clusters. Rounds are as many as the longest such way."""
+    now = _checkpointed(n.withColumn("component", F.col("true_id")))
+    while True:
+        by_pred = now.groupBy("pred_id").agg(F.min("component").alias("least"))
+        over = now.join(by_pred, "pred_id")
+        by_true = over.groupBy("true_id").agg(F.min("least").alias("lowest"))
+        after = _checkpointed(over.join(by_true, "true_id").withColumn("moved", F.col("lowest") != F.col("component")))
+        if after.filter("moved").isEmpty():
+            return after.select(*n.columns, "component")
+        now = after.select(*n.columns, F.col("lowest").alias("component"))
+
+
+def ceaf_e(df: DataFrame, compat: bool = False) -> DataFrame:
+    """One row: precision (over predicted clusters), recall (over true ones), f1 of the best one-to-one assignment by phi4. compat swaps the two divisors.
+
+    Clusters that share no mention score 0, so each component of the overlap graph is assigned by itself, in one task.
+    """
+    n, true, pred = _sides(df)
+    whole = n.join(true.select("true_id", F.col("size").alias("t")), "true_id").join(pred.select("pred_id", F.col("size").alias("p")), "pred_id")
+
+    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
+        (r, rows), (c, cols) = pd.factorize(pdf["true_id"]), pd.factorize(pdf["pred_id"])
+        score = np.zeros((len(rows), len(cols)))
+        score[r, c] = 2 * pdf["n"] / (pdf["t"] + pdf["p"])
+        return pd.DataFrame({"best": [best_assignment(score)], "rows": [len(rows)], "cols": [len(cols)]})
+
+    best = overlap_components(whole).groupBy("component").applyInPandas(assign, "best double, rows long, cols long")
+    sums = best.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("best", "rows", "cols")))
+    ratio = lambda by: F.when(F.col(by) > 0, F.col("best") / F.col(by)).otherwise(0.0)
+    both = sums.select(ratio("rows" if compat else "cols").alias("precision"), ratio("cols" if compat else "rows").alias("recall"))
+    return both.select(F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"), F.round(_f1(F.col("precision"), F.col("recall")), 6).alias("f1"))
+
+
+def coref_scores(df: DataFrame) -> DataFrame:
+    """One row: cluster counts, the median predicted size, precision, recall and f1 of each metric, and the mean of the three f1."""
+    parts = [metric(df).select(*(F.col(c).alias(f"{name}_{c}") for c in ("precision", "recall", "f1"))) for name, metric in (("muc", muc), ("b_cubed", b_cubed), ("ceaf_e", ceaf_e))]
+    sizes = df.agg(F.countDistinct("true_id").alias("n_true"), F.countDistinct("pred_id").alias("n_pred"))
+    for part in (median_cluster_size(df), *parts):  # one row each
+        sizes = sizes.join(F.broadcast(part))
+    return sizes.withColumn("mean_f1", F.round((F.col("muc_f1") + F.col("b_cubed_f1") + F.col("ceaf_e_f1")) / 3, 6))

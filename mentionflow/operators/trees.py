@@ -20,12 +20,12 @@ def leaves(tree: DataFrame) -> DataFrame:
 
 
 def leaf_paths(tree: DataFrame) -> DataFrame:
-    """node, via, leaf: for each leaf each node on its way to the root; via is the child of node on that way, null at the leaf."""
+    """node, via, leaf, height: for each leaf each node on its way to the root; via is the child of node on that way, null at the leaf; height counts the steps."""
     up = tree.select("uid", "parent")
-    now = _checkpointed(leaves(tree).select(F.col("uid").alias("node"), F.lit(None).cast(tree.schema["uid"].dataType).alias("via"), F.col("uid").alias("leaf")))
+    now = _checkpointed(leaves(tree).select(F.col("uid").alias("node"), F.lit(None).cast(tree.schema["uid"].dataType).alias("via"), F.col("uid").alias("leaf"), F.lit(0).alias("height")))
     out = now
     while True:
-        now = _checkpointed(now.join(up, now["node"] == up["uid"]).filter("parent is not null").select(F.col("parent").alias("node"), F.col("uid").alias("via"), "leaf"))
+        now = _checkpointed(now.join(up, now["node"] == up["uid"]).filter("parent is not null").select(F.col("parent").alias("node"), F.col("uid").alias("via"), "leaf", (F.col("height") + 1).alias("height")))
         if now.isEmpty():
             return out
         out = out.unionByName(now)
@@ -39,3 +39,29 @@ def purity(tree: DataFrame) -> DataFrame:
     total = inner.groupBy("node").agg(F.sum("c").alias("size"))
     weighted = each.join(total, "node").agg(F.sum(F.col("pairs") * F.col("n") / F.col("size")).alias("hit"), F.sum("pairs").alias("pairs"))
     return weighted.select(F.round(F.col("hit") / F.col("pairs"), 6).alias("purity"))
+
+
+def child_means(paths: DataFrame, vectors: DataFrame, leaf: str = "uid", vector: str = "embedding") -> DataFrame:
+    """node, via, pos, value: the mean vector of the leaves under each child (via) of each inner node."""
+    parts = vectors.select(F.col(leaf).alias("leaf"), F.posexplode(vector).alias("pos", "x"))
+    return paths.filter("via is not null").join(parts, "leaf").groupBy("node", "via", "pos").agg(F.avg(F.col("x").cast("double")).alias("value"))
+
+
+def centroids(paths: DataFrame, vectors: DataFrame, leaf: str = "uid", vector: str = "embedding") -> DataFrame:
+    """node, pos, value: the mean vector of the leaves under each node, the leaf itself at a leaf."""
+    parts = vectors.select(F.col(leaf).alias("leaf"), F.posexplode(vector).alias("pos", "x"))
+    return paths.join(parts, "leaf").groupBy("node", "pos").agg(F.avg(F.col("x").cast("double")).alias("value"))
+
+
+def scores(paths: DataFrame, vectors: DataFrame, dot_product: bool = False, leaf: str = "uid", vector: str = "embedding") -> DataFrame:
+    """node, score: the cosine (or inner product) of the mean vectors of a node's two children; a node with one child has no score, a zero mean gives 0."""
+    means = child_means(paths, vectors, leaf, vector)
+    sides = means.groupBy("node", "pos").agg(F.min_by("value", "via").alias("a"), F.max_by("value", "via").alias("b"), F.count("*").alias("k")).filter("k = 2")
+    product, sizes = F.sum(F.col("a") * F.col("b")), F.sqrt(F.sum(F.col("a") * F.col("a")) * F.sum(F.col("b") * F.col("b")))
+    return sides.groupBy("node").agg((product if dot_product else F.when(sizes > 0, product / sizes).otherwise(0.0)).alias("score"))
+
+
+def cut(paths: DataFrame, node_scores: DataFrame, threshold: float) -> DataFrame:
+    """leaf, cluster_id: the topmost node on the leaf's way with a score of threshold or more, else the leaf itself."""
+    scored = paths.join(node_scores, "node", "left").filter((F.col("score") >= threshold) | F.col("via").isNull())
+    return scored.groupBy("leaf").agg(F.max_by("node", "height").alias("cluster_id"))

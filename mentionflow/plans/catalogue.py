@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mentionflow.operators import corpus, linking, metrics, ordered, trees
+from mentionflow.functions import vectors as vec
+from mentionflow.operators import corpus, linking, metrics, ordered, sampling, text, trees
 from mentionflow.streaming import strategies
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -102,3 +103,56 @@ TREE = "tr AS (SELECT vec_id uid, CASE WHEN vec_id > 0 THEN (vec_id - 1) // 2 EN
 add("tree_leaves", lambda s, d: trees.leaves(heap(s, d)).select("uid", "label"), f"WITH RECURSIVE {TREE} SELECT uid, label FROM tr WHERE uid NOT IN (SELECT parent FROM tr WHERE parent IS NOT NULL)")
 add("tree_closure", lambda s, d: trees.leaf_paths(heap(s, d)).select("node", "via", "leaf"), f"WITH RECURSIVE {TREE} SELECT * FROM cl")
 add("dendrogram_purity", lambda s, d: trees.purity(heap(s, d)), f"WITH RECURSIVE {TREE}, h AS (SELECT node, via, label, count(*)::DOUBLE c FROM cl JOIN tr l ON l.uid = cl.leaf WHERE via IS NOT NULL GROUP BY 1, 2, 3), nl AS (SELECT node, sum(c) n FROM h GROUP BY 1), pr AS (SELECT node, label, (sum(c) * sum(c) - sum(c * c)) / 2 pairs, sum(c) tot FROM h GROUP BY 1, 2) SELECT round(sum(pairs * tot / n) / sum(pairs), 6) purity FROM pr JOIN nl USING (node)")
+
+V_ = ", unnest(range(1, len(embedding) + 1)) u(i)"
+MEANS = f"m AS (SELECT node, via, i pos, avg(embedding[i]::DOUBLE) v FROM cl JOIN embeddings e ON e.vec_id = cl.leaf{V_} WHERE via IS NOT NULL GROUP BY 1, 2, 3), sc AS (SELECT a.node, sum(a.v * b.v) / sqrt(sum(a.v * a.v) * sum(b.v * b.v)) score FROM m a JOIN m b ON a.node = b.node AND a.pos = b.pos AND a.via < b.via GROUP BY 1)"
+CUT = 0.05
+
+
+def uids(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "embeddings").select(F.col("vec_id").alias("uid"), "embedding")
+
+
+def tree_cut(spark: SparkSession, d: str) -> DataFrame:
+    paths = trees.leaf_paths(heap(spark, d))
+    return trees.cut(paths, trees.scores(paths, uids(spark, d)), CUT)
+
+
+DEPTH = TREE.replace("cl(node, via, leaf)", "cl(node, via, leaf, h)").replace("CAST(NULL AS BIGINT), uid FROM tr", "CAST(NULL AS BIGINT), uid, 0 FROM tr").replace("tr.uid, cl.leaf FROM", "tr.uid, cl.leaf, h + 1 FROM")
+add("tree_centroids", lambda s, d: trees.centroids(trees.leaf_paths(heap(s, d)), uids(s, d)).select("node", "pos", F.round("value", 6).alias("value")), f"WITH RECURSIVE {TREE} SELECT node, CAST(i - 1 AS INTEGER) pos, round(avg(embedding[i]::DOUBLE), 6) value FROM cl JOIN embeddings e ON e.vec_id = cl.leaf{V_} GROUP BY 1, 2")
+add("tree_scores", lambda s, d: trees.scores(trees.leaf_paths(heap(s, d)), uids(s, d)).select("node", F.round("score", 6).alias("score")), f"WITH RECURSIVE {TREE}, {MEANS} SELECT node, round(score, 6) score FROM sc")
+add("tree_cut", tree_cut, f"WITH RECURSIVE {DEPTH}, {MEANS} SELECT leaf, arg_max(cl.node, h) cluster_id FROM cl LEFT JOIN sc USING (node) WHERE via IS NULL OR score >= {CUT} GROUP BY 1")
+
+for norm, over in (("l2", "sqrt(sum(v * v))"), ("linf", "max(abs(v))"), ("none", "1.0")):
+    add(f"centroids_{norm}", lambda s, d, norm=norm: vec.centroids(read(s, d, "embeddings"), "label", norm="l_inf" if norm == "linf" else norm).select("label", "pos", F.round("value", 6).alias("value")), f"WITH m AS (SELECT label, i - 1 pos, avg(embedding[i]::DOUBLE) v FROM embeddings{V_} GROUP BY 1, 2), z AS (SELECT label, {over} z FROM m GROUP BY 1) SELECT label, CAST(pos AS INTEGER) pos, round(v / z, 6) value FROM m JOIN z USING (label)")
+
+
+def neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """Each vector beside the next one."""
+    a = read(spark, d, "embeddings").select(F.col("vec_id").alias("seq"), F.col("embedding").alias("a"))
+    return a.join(a.select((F.col("seq") - 1).alias("seq"), F.col("a").alias("b")), "seq")
+
+
+NEXT = "FROM (SELECT a.vec_id seq, a.embedding::DOUBLE[] a, b.embedding::DOUBLE[] b FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)"
+for name, own, formula in (("sim_dot", vec.dot, "list_dot_product(a, b)"), ("sim_l2", vec.sim_l2, "1 / (1 + list_distance(a, b))"), ("sim_sql2", vec.sim_sql2, "1 / (1 + list_distance(a, b) * list_distance(a, b))")):
+    add(name, lambda s, d, own=own: neighbours(s, d).select("seq", F.round(own(F.col("a"), F.col("b")), 6).alias("score")), f"SELECT seq, round({formula}, 6) score {NEXT}")
+add("l2_normalize", lambda s, d: read(s, d, "embeddings").select("vec_id", F.posexplode(vec.l2_normalize(F.col("embedding"))).alias("pos", "x")).select("vec_id", "pos", F.round("x", 6).alias("x")), f"SELECT vec_id, CAST(i - 1 AS INTEGER) pos, round(embedding[i]::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) x FROM embeddings{V_}")
+
+W_ = "(SELECT {k} k, unnest(regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}_]{{2,}}')) term FROM {t})"
+IDF = "c AS (SELECT rid, term, count(*) c FROM rw GROUP BY 1, 2), tm AS (SELECT term, sum(c) a, count(*) df FROM c GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10000), idf AS (SELECT term, ln((1 + n) / (1 + df)) + 1 idf FROM tm, rn)"
+add("tfidf", lambda s, d: text.tfidf_weights(read(s, d, "documents"), "doc_id", "text", text.fit_idf(read(s, d, "documents"), "text")).select("doc_id", "term", F.round("w", 6).alias("w")), f"WITH rw AS (SELECT k rid, term FROM {W_.format(k='doc_id', x='text', t='documents')}), rn AS (SELECT count(*) n FROM documents), {IDF}, w AS (SELECT rid, term, c * idf w FROM c JOIN idf USING (term)), l AS (SELECT rid, sqrt(sum(w * w)) l FROM w GROUP BY 1) SELECT rid doc_id, term, round(w / l, 6) w FROM w JOIN l USING (rid)")
+FEATURE = 0.95
+add("feature_score", lambda s, d: text.feature_score(parts(s, d).withColumnRenamed("document_id", "context"), FEATURE), f"WITH rw AS (SELECT k rid, term FROM {W_.format(k='p_partkey', x='p_type', t='part')}), rn AS (SELECT count(*) n FROM part), {IDF}, {S_}, x AS (SELECT DISTINCT p_type k FROM part), xt AS (SELECT k, term, count(*) c FROM {W_.format(k='k', x='k', t='x')} GROUP BY 1, 2), xw AS (SELECT k, term, c * idf w FROM xt JOIN idf USING (term)), xl AS (SELECT k, sqrt(sum(w * w)) l FROM xw GROUP BY 1), xn AS (SELECT k, term, w / l w FROM xw JOIN xl USING (k)), xs AS (SELECT a.k a, b.k b, round(sum(a.w * b.w), 9) c FROM xn a JOIN xn b USING (term) GROUP BY 1, 2), p AS (SELECT DISTINCT p_name m, p_type k FROM part) SELECT p.m mention_a, p.k context_a, q.m mention_b, q.k context_b, round(0.8 * score + 0.2 * c, 6) score FROM p JOIN sim ON sim.a = p.m JOIN xs ON xs.a = p.k JOIN p q ON q.m = sim.b AND q.k = xs.b WHERE round(0.8 * score + 0.2 * c, 6) > {FEATURE}")
+
+
+def combined(spark: SparkSession, d: str) -> DataFrame:
+    return text.combo_score(parts(spark, d).select("seq", "mention").join(vectors(spark, d).select("seq", "embedding"), "seq"), 0.6)
+
+
+add("combo_score", combined, f"WITH {S_.replace('> 0.8', '> -1')}, r AS (SELECT vec_id seq, embedding::DOUBLE[] v, p_name m FROM embeddings JOIN part ON p_partkey = vec_id), f AS (SELECT x.seq, y.seq earlier, round(0.5 * coalesce(score, 0) + 0.5 * list_dot_product(x.v, y.v), 6) score FROM r x JOIN r y ON y.seq < x.seq LEFT JOIN sim ON sim.a = x.m AND sim.b = y.m) SELECT * FROM f WHERE score > 0.6")
+add("ceaf_e", lambda s, d: metrics.ceaf_e(assigned(s, d)))
+add("coref_scores", lambda s, d: metrics.coref_scores(assigned(s, d)))
+DRAW = "CAST('0x' || substr(md5('1234:' || {}), 1, 15) AS BIGINT)"
+add("chunk_shuffle", lambda s, d: sampling.chunk_shuffle(events(s, d), 1024).select("seq", "chunk", "place"), f"SELECT event_id seq, event_id // 1024 chunk, row_number() OVER (PARTITION BY event_id // 1024 ORDER BY {DRAW.format('event_id')}, event_id) - 1 place FROM events")
+add("triplets", lambda s, d: sampling.triplets(events(s, d)), f"WITH m AS (SELECT user_id e, event_id s, {DRAW.format('event_id')} d FROM events), g AS (SELECT e, arg_min(s, d) a, arg_max(s, d) b FROM m GROUP BY 1), k AS (SELECT *, row_number() OVER (ORDER BY {DRAW.format('e')}, e) - 1 n, count(*) OVER () c FROM g) SELECT x.e entity, x.a anchor, x.b positive, y.a negative FROM k x JOIN k y ON y.n = (x.n + 1) % x.c WHERE x.a <> x.b AND x.c > 1")
+add("shard", lambda s, d: sampling.shard(events(s, d), 1, 4).select("seq"), "SELECT event_id seq FROM events WHERE event_id % 4 = 1")

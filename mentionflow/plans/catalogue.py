@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mentionflow.functions import vectors as vec
-from mentionflow.operators import corpus, linking, metrics, ordered, sampling, text, trees
+from mentionflow.operators import corpus, hierarchy, linking, metrics, ordered, sampling, text, trees
 from mentionflow.streaming import strategies
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -156,3 +156,4 @@ DRAW = "CAST('0x' || substr(md5('1234:' || {}), 1, 15) AS BIGINT)"
 add("chunk_shuffle", lambda s, d: sampling.chunk_shuffle(events(s, d), 1024).select("seq", "chunk", "place"), f"SELECT event_id seq, event_id // 1024 chunk, row_number() OVER (PARTITION BY event_id // 1024 ORDER BY {DRAW.format('event_id')}, event_id) - 1 place FROM events")
 add("triplets", lambda s, d: sampling.triplets(events(s, d)), f"WITH m AS (SELECT user_id e, event_id s, {DRAW.format('event_id')} d FROM events), g AS (SELECT e, arg_min(s, d) a, arg_max(s, d) b FROM m GROUP BY 1), k AS (SELECT *, row_number() OVER (ORDER BY {DRAW.format('e')}, e) - 1 n, count(*) OVER () c FROM g) SELECT x.e entity, x.a anchor, x.b positive, y.a negative FROM k x JOIN k y ON y.n = (x.n + 1) % x.c WHERE x.a <> x.b AND x.c > 1")
 add("shard", lambda s, d: sampling.shard(events(s, d), 1, 4).select("seq"), "SELECT event_id seq FROM events WHERE event_id % 4 = 1")
+add("hierarchy", lambda s, d: hierarchy.flat(hierarchy.build(vectors(s, d), limit=64, pruning="similarity"), THRESHOLD).select("seq", "cluster_id"))

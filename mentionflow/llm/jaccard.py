@@ -1,6 +1,6 @@
 """N-gram Jaccard self-join with Bayesian candidate pruning.
 
-Documents with the same set of word shingles are one class. Classes that share a band of MinHash values are linked into
+Documents with the same set of word shingles are one class, whatever their keys are. Classes that share a band of MinHash values are linked into
 candidate components. Within a component, pairs are compared incrementally, STEP values at a time: a pair is dropped
 when the posterior probability that its similarity reaches the threshold (uniform prior, binomial agreement of MinHash
 values) falls below TOLERANCE. The rest are verified exactly, on their shingle sets. Large components are cut into blocks,
@@ -174,10 +174,39 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, 256):
             part = batch.slice(start, 256)
-            sets = shingle_sets(part.column(1).to_pylist())
+            sets = shingle_sets(part.column(2).to_pylist())
             keys = [band_keys(minhash(s)) if len(s) else np.zeros(0, np.int64) for s in sets]
             marks = [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(marks, pa.string()), pa.array(keys, pa.list_(pa.int64()))], ["key", "mark", "keys"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(marks, pa.string()), pa.array(keys, pa.list_(pa.int64()))], ["row", "key", "mark", "keys"])
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """own (a struct of df's columns), row (a number that no other row has)."""
+    return materialize(df.select(F.struct("*").alias("own"), F.monotonically_increasing_id().alias("row")))
+
+
+def linked(rows: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
+    """row, key, mark, class_id, n_links, group_id, root: one row for each of rows, as numbered() gives them.
+
+    mark: a digest of the row's shingles, null without a word. Rows with one mark are a class, known by its least row whatever their keys are; root is the
+    least such number in the row's group, its own row without a word. Keys only name what is found, so they may repeat or be null.
+    """
+    kind = rows.schema["own"].dataType[key].dataType.simpleString()
+    read = rows.select("row", F.col("own")[key].alias("key"), F.col("own")[text].alias("text"))
+    sketched = materialize(read.mapInArrow(_sketch, f"row long, key {kind}, mark string, keys array<bigint>"))
+    classes = materialize(sketched.filter("mark is not null").groupBy("mark").agg(F.min("row").alias("id"), F.min("key").alias("class"), F.count("*").alias("copies"), F.first("keys").alias("keys")))
+    bands = classes.select("id", F.explode("keys").alias("band"))
+    shared = bands.groupBy("band").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least <> most").select("band", "least")
+    edges = bands.join(shared, "band").filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
+    counted = verified(read.select(F.col("row").alias("id"), "text"), classes, components(edges), threshold)
+    found = counted.groupBy("id").agg(F.sum("n").alias("n"))
+    group = components(counted.select(F.col("id").alias("a"), F.col("peer").alias("b"))).withColumnRenamed("node", "id")
+    whole = materialize(classes.select("mark", "id", "class", "copies").join(found, "id", "left").join(group, "id", "left").withColumn("root", F.coalesce("root", "id")))
+    names = whole.groupBy("root").agg(F.min("class").alias("group"))
+    return (
+        sketched.select("row", "key", "mark").join(whole.join(names, "root"), "mark", "left")
+        .select("row", "key", "mark", F.coalesce("class", "key").alias("class_id"), (F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("group", "key").alias("group_id"), F.coalesce("root", "row").alias("root"))
+    )
 
 
 def join(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -185,46 +214,33 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: floa
 
     class_id is the least key among rows with the same shingles; n_links the number of other rows with a similarity of threshold or more
     (copies included); group_id the least class_id that the row is linked to through any number of links, its own if it has none. Rows without a word,
-    null or empty, are alike to none: their class and group are their own key. A null key is a row's own too, but never the name of a class with other keys.
+    null or empty, are alike to none: their class and group are their own key. Rows with a null key are compared too, but give a name to nothing: class_id
+    and group_id are null where all keys are. Keys may repeat: rows are compared by their texts, so texts under one key have their own links,
+    though their classes have one name.
     """
-    kind = df.schema[key].dataType
-    sketched = materialize(df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(_sketch, "key long, mark string, keys array<bigint>"))
-    classes = materialize(sketched.filter("mark is not null").groupBy("mark").agg(F.min("key").alias("class"), F.count("*").alias("copies"), F.first("keys").alias("keys")).filter("class is not null"))
-    bands = classes.select("class", F.explode("keys").alias("band"))
-    shared = bands.groupBy("band").agg(F.min("class").alias("least"), F.max("class").alias("most")).filter("least <> most").select("band", "least")
-    edges = bands.join(shared, "band").filter("class <> least").select(F.col("least").alias("a"), F.col("class").alias("b")).distinct()
-    candidate = components(edges)
-    counted = verified(df, key, text, classes, candidate, threshold)
-    found = counted.filter("n is not null").groupBy(F.col("class")).agg(F.sum("n").alias("n"))
-    group = components(counted.filter("peer is not null").select(F.col("class").alias("a"), F.col("peer").alias("b"))).select(F.col("node").alias("class"), F.col("root").alias("group"))
-    whole = classes.select("mark", "class", "copies").join(found, "class", "left").join(group, "class", "left")
-    return (
-        sketched.select("key", "mark").join(whole, "mark", "left")
-        .select(F.col("key").cast(kind).alias(key), F.coalesce("class", "key").cast(kind).alias("class_id"), (F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("group", "class", "key").cast(kind).alias("group_id"))
-    )
+    found = linked(numbered(df.select(key, text)), key, text, threshold)
+    return found.select(F.col("key").alias(key), "class_id", "n_links", "group_id")
 
 
-def verified(df: DataFrame, key: str, text: str, classes: DataFrame, candidate: DataFrame, threshold: float) -> DataFrame:
-    """class, n (rows linked to it, by block pair), peer (a class in the same local group): the exact links within candidate components."""
+def verified(texts: DataFrame, classes: DataFrame, candidate: DataFrame, threshold: float) -> DataFrame:
+    """id, n (rows linked to it, by block pair), peer (a class in the same local group): the exact links within candidate components. texts: id, text."""
     sizes = candidate.groupBy("root").agg(F.count("*").alias("size"))
-    member = candidate.join(sizes, "root").select(F.col("node").alias("class"), "root", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    copies = classes.select("class", "copies")
-    member = member.join(copies, "class").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    texts = df.select(F.col(key).cast("long").alias("class"), F.col(text).alias("text"))
-    known = texts.join(member, "class").dropDuplicates(["class"])
+    member = candidate.join(sizes, "root").select(F.col("node").alias("id"), "root", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    copies = classes.select("id", "copies")
+    member = member.join(copies, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    known = texts.join(member, "id")
     # A block meets each block of its component once: the pair is named by the smaller and the larger number. Small components share a group by hash.
     met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("x"), F.greatest(o, F.col("block")).alias("y")))
-    dealt = known.select("class", "copies", "text", "root", "block", F.explode(met).alias("pair"))
+    dealt = known.select("id", "copies", "text", "root", "block", F.explode(met).alias("pair"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = pdf["x"].iloc[0], pdf["y"].iloc[0]
-        pdf = pdf.drop_duplicates("class")
         sets = shingle_sets(pdf["text"].tolist())
         sig = np.array([minhash(s) for s in sets])
-        ids, copies, block = pdf["class"].to_numpy(), pdf["copies"].to_numpy(), pdf["block"].to_numpy()
+        ids, copies, block = pdf["id"].to_numpy(), pdf["copies"].to_numpy(), pdf["block"].to_numpy()
         a, b = np.flatnonzero(block == x), np.flatnonzero(block == y)
         if not len(a) or not len(b):
-            return pd.DataFrame({"class": [], "n": [], "peer": []}).astype("int64")
+            return pd.DataFrame({"id": [], "n": [], "peer": []}).astype("int64")
         i, j = links(sig[a], [sets[k] for k in a], sig[b], [sets[k] for k in b], x == y, threshold)
         i, j = a[i], b[j]
         n = np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))
@@ -238,19 +254,21 @@ def verified(df: DataFrame, key: str, text: str, classes: DataFrame, candidate:
             if (was == peer).all():
                 break
         some = n > 0
-        return pd.DataFrame({"class": ids[some], "n": n[some].astype("int64"), "peer": ids[peer[some]]})
+        return pd.DataFrame({"id": ids[some], "n": n[some].astype("int64"), "peer": ids[peer[some]]})
 
-    flat = dealt.select("class", "copies", "text", "root", "block", "pair.x", "pair.y")
-    return materialize(flat.groupBy("root", "x", "y").applyInPandas(compare, "class long, n long, peer long"))
+    flat = dealt.select("id", "copies", "text", "root", "block", "pair.x", "pair.y")
+    return materialize(flat.groupBy("root", "x", "y").applyInPandas(compare, "id long, n long, peer long"))
 
 
 def distinct(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """df without near-duplicates: of each group the row stays whose key is the group's; rows without a word all stay.
+    """df without near-duplicates: one row of each group stays, that with the least key (null keys last); rows without a word all stay.
 
-    Of rows that repeat a key that stays, all stay.
+    Rows are judged one by one: a row that goes takes no other row of its key along.
     """
-    gone = join(df, key, text, threshold).filter(F.col(key) != F.col("group_id")).select(key)
-    return df.join(gone, key, "left_anti")
+    rows = numbered(df)
+    first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "mark", "row")).alias("first")
+    stays = linked(rows, key, text, threshold).groupBy("root").agg(first).select("first.row")
+    return rows.join(stays, "row", "left_semi").select("own.*")
 
 
 def op8(documents: DataFrame) -> DataFrame:

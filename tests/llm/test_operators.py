@@ -132,6 +132,20 @@ def test_jaccard(spark, monkeypatch):
     assert all(got[i]["group_id"] == i for i, x in enumerate(near) if not x)
 
 
+def test_jaccard_repeated_keys(spark):
+    rng = np.random.default_rng(2)
+    a, b, c = (rng.choice(list("abcdefghijklmnop"), 80).tolist() for _ in range(3))
+    edited = lambda w: " ".join([*w[:-1], "z"])
+    rows = [(7, " ".join(a)), (7, " ".join(b)), (7, edited(a)), (8, edited(b)), (9, edited(a)), (9, "one"), (9, None), (None, " ".join(c)), (None, edited(c)), (None, None)]
+    df = spark.createDataFrame([(k, t, i) for i, (k, t) in enumerate(rows)], "doc_id long, text string, row long")
+    got = sorted(((r["doc_id"] or 0, r["n_links"], r["group_id"] or 0) for r in jaccard.op8(df).collect()))
+    assert got == [(0, 0, 0), (0, 1, 0), (0, 1, 0), (7, 1, 7), (7, 2, 7), (7, 2, 7), (8, 1, 7), (9, 0, 9), (9, 0, 9), (9, 2, 7)]
+    kept = {r["row"] for r in jaccard.distinct(df).collect()}
+    assert len(kept) == 6 and {1, 5, 6, 9} <= kept and len(kept & {0, 2}) == 1 and len(kept & {7, 8}) == 1
+    names = jaccard.join(df.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))).filter("doc_id = 'd8'").first()
+    assert (names["n_links"], names["group_id"]) == (1, "d7")
+
+
 def test_packing(docs):
     rows = packing.op9(docs.filter("doc_id is not null").dropDuplicates(["doc_id"]), WORDS).collect()
     own = packing._tokenizer(open(WORDS).read()).tokenizer

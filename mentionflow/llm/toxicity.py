@@ -13,20 +13,24 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, held_out, learns
+from .common import bucket_of, held_out, learns, materialize
 
 WORD = re.compile(r"\w+")
 WINDOW, DISCOUNT = 3, 0.75
 CLASSES = (0, 1)
+#: Stands before a text's first word, and equals none.
+START = "\2"
+#: Distinct pairs that a task counts before it sends them on.
+HELD = 400_000
 #: Words that a worker remembers the spelling's ratio of.
 MEMO = 200_000
 
@@ -35,20 +39,28 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
+def hashed(words: list[str]) -> np.ndarray:
+    out = np.empty(len(words), object)
+    out[:] = words
+    return pd.util.hash_array(out, categorize=False).view(np.int64)
+
+
+def grams_of(w: str) -> list[str]:
+    """The 5-character contexts of a word's characters and of its end."""
+    x = f"\1\1\1\1{w[:32]}\2"
+    return [x[i - 4 : i + 1] for i in range(4, len(x))]
+
+
 class Spelling:
     """Character model of a class: contexts of 4 and of 2 characters are the class's, shorter ones are shared."""
 
-    def __init__(self, types: dict[int, list[str]]):
-        self.long = {c: Counter() for c in CLASSES}
+    def __init__(self, long: dict[int, dict[str, int]]):
+        """long: for each class, how often its distinct words have each 5 characters, as grams_of() gives them."""
+        self.long = long
         self.mid = {c: Counter() for c in CLASSES}
         shared: Counter = Counter()
-        for c, words in types.items():
-            long: Counter = Counter()
-            for w in words:
-                x = f"\1\1\1\1{w[:32]}\2"
-                long.update([x[i - 4 : i + 1] for i in range(4, len(x))])
-            self.long[c] = long
-            for g in long:  # continuation counts: of distinct longer grams
+        for c in CLASSES:
+            for g in long[c]:  # continuation counts: of distinct longer grams
                 self.mid[c][g[2:]] += 1
         for g in {g for c in CLASSES for g in self.mid[c]}:
             shared[g[1:]] += 1
@@ -57,8 +69,7 @@ class Spelling:
         last = Counter(g[-1] for g in shared)
         n = sum(last.values()) or 1
         self.last = {ch: v / n for ch, v in last.items()}
-        self.seen = [set(t[0]) | set(t[1]) for t in (self.long, self.mid)]
-        self.ratios = [{g: self._ratio(g, 0) for g in self.seen[0]}, {g: self._ratio(g, 1) for g in self.seen[1]}]
+        self.ratios = [{g: self._ratio(g, k) for g in t[0].keys() | t[1].keys()} for k, t in enumerate((self.long, self.mid))]
         self.gaps = [{h: self._gap(h, k) for h in set(self.sums[k][0]) | set(self.sums[k][1])} for k in (0, 1)]
 
     @staticmethod
@@ -93,14 +104,12 @@ class Spelling:
         return left[1] - left[0]
 
     def word(self, w: str, c: int) -> float:
-        x = f"\1\1\1\1{w[:32]}\2"
-        return math.exp(sum(math.log(self.probability(x[i - 4 : i + 1], c)) for i in range(4, len(x))))
+        return math.exp(sum(math.log(self.probability(g, c)) for g in grams_of(w)))
 
     def log_ratio(self, w: str) -> float:
-        x, out = f"\1\1\1\1{w[:32]}\2", 0.0
+        out = 0.0
         long, mid = self.ratios
-        for i in range(4, len(x)):
-            g = x[i - 4 : i + 1]
+        for g in grams_of(w):
             v = long.get(g)
             if v is None:
                 m = mid.get(g[2:])
@@ -110,44 +119,30 @@ class Spelling:
 
 
 class Model:
-    """texts: (label, words) of the learning documents."""
-
-    def __init__(self, texts: list[tuple[int, list[str]]]):
-        pairs = {c: Counter() for c in CLASSES}
-        for c, words in texts:
-            pairs[c].update(zip(["\2", *words], words, strict=False))
-        unigrams = {c: Counter(w for _, w in pairs[c]) for c in CLASSES}  # continuation counts
-        self.spelling = Spelling({c: list(unigrams[c]) for c in CLASSES})
-        total = {c: sum(unigrams[c].values()) for c in CLASSES}
-        left = {c: DISCOUNT * len(unigrams[c]) / total[c] if total[c] else 1.0 for c in CLASSES}
-        self.unknown = math.log(left[1] / left[0])
-        known = sorted({w for c in CLASSES for w, n in unigrams[c].items() if n + unigrams[1 - c][w] > 1})
-        self.ids = {w: i for i, w in enumerate(known, 1)}
-
-        def single(w: str, c: int) -> float:
-            return (max(unigrams[c][w] - DISCOUNT, 0) / total[c] if total[c] else 0.0) + left[c] * self.spelling.word(w, c)
-
-        prob = {c: {w: single(w, c) for w in known} for c in CLASSES}
-        self.single = np.array([0.0, *(math.log(prob[1][w] / prob[0][w]) for w in known)])
-        after = {c: defaultdict(lambda: [0, 0]) for c in CLASSES}
-        for c in CLASSES:
-            for (v, _), n in pairs[c].items():
-                s = after[c][v]
-                s[0] += n
-                s[1] += 1
-        rest = {c: {v: DISCOUNT * s[1] / s[0] for v, s in after[c].items()} for c in CLASSES}
-        self.gap = np.array([0.0, *(math.log(rest[1].get(w, 1.0) / rest[0].get(w, 1.0)) for w in known)])
-        table = {}
-        for c in CLASSES:
-            for (v, w), n in pairs[c].items():
-                if n + pairs[1 - c][v, w] > 1 and v in self.ids and w in self.ids:
-                    p = [(max(pairs[k][v, w] - DISCOUNT, 0) / after[k][v][0] if v in rest[k] else 0.0) + rest[k].get(v, 1.0) * prob[k][w] for k in CLASSES]
-                    table[self.ids[v] * (len(known) + 1) + self.ids[w]] = math.log(p[1] / p[0])
-        self.keys = np.array(sorted(table), np.int64)
-        self.pairs = np.array([table[k] for k in self.keys.tolist()])
+    """Log ratios of the known words and of the known pairs of them, by the words' 64-bit hashes.
+
+    words: hash, single (in any place), gap (what the word leaves to the backoff after it); pairs: hash of the first word, of the
+    second, ratio. unknown: the log ratio of what the classes leave to the spelling.
+    """
+
+    def __init__(self, spelling: Spelling, unknown: float, words: tuple[np.ndarray, ...], pairs: tuple[np.ndarray, ...]):
+        self.spelling, self.unknown = spelling, unknown
+        hashes, first = np.unique(words[0], return_index=True)
+        self.hashes = hashes
+        self.single, self.gap = (np.concatenate([[0.0], x[first]]) for x in words[1:])
+        keys = self._ids(pairs[0]) * len(self.single) + self._ids(pairs[1])
+        self.keys, first = np.unique(keys, return_index=True)
+        self.pairs = pairs[2][first].astype(np.float32)
         self.memo: dict[str, float] = {}
         self.weights = np.zeros(3)
 
+    def _ids(self, hashes: np.ndarray) -> np.ndarray:
+        """From 1 on; 0 for unknown words."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, at + 1, 0)
+
     def rare(self, w: str) -> float:
         v = self.memo.get(w)
         if v is None:
@@ -163,12 +158,17 @@ class Model:
         flat = [w for x in texts for w in x]
         if not flat:
             return out
-        ids = np.fromiter(map(self.ids.get, flat, repeat(0)), np.int64, len(flat))
+        column = np.empty(len(flat), object)
+        column[:] = flat
+        codes, uniques = pd.factorize(column)
+        known = self._ids(hashed(uniques))
+        once = self.single[known]
+        for i in np.flatnonzero(known == 0).tolist():
+            once[i] = self.rare(uniques[i])
+        ids = known[codes]
         some = np.flatnonzero(sizes)
         starts = (np.cumsum(sizes) - sizes)[some]
-        ratio = self.single[ids]
-        for i in np.flatnonzero(ids == 0).tolist():
-            ratio[i] = self.rare(flat[i])
+        ratio = once[codes]
         before = np.concatenate([[0], ids[:-1]])
         before[starts] = 0
         if len(self.keys):
@@ -202,27 +202,114 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + f @ self.weights[1:], -30, 30)))
 
 
-def learn(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = 2000) -> Model | None:
-    """A model of at most about rows labelled documents of each class, chosen by a hash of the key; None without both classes.
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """pair (a word and the word before it), n0, n1 from toxic, text: its counts in each class. Sent in order, which makes the shuffle small."""
+    seen: dict[int, Counter] = {c: Counter() for c in CLASSES}
+
+    def sent() -> Iterator[pa.RecordBatch]:
+        for c, found in seen.items():
+            pairs = sorted(found)
+            for at in range(0, len(pairs), 10_000):
+                part = pairs[at : at + 10_000]
+                n, none = pa.array([found[x] for x in part], pa.int64()), pa.array(np.zeros(len(part), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), none if c else n, n if c else none], ["pair", "n0", "n1"])
+            found.clear()
+
+    for batch in batches:
+        for c, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            words = words_of(t.as_py())
+            seen[c].update(map("%s %s".__mod__, zip([START, *words], words, strict=False)))
+            if len(seen[0]) + len(seen[1]) > HELD:
+                yield from sent()
+    yield from sent()
+
+
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """g, n0, n1 from w, k0, k1: how many of each class's words have the characters."""
+    for batch in batches:
+        seen: dict[int, Counter] = {c: Counter() for c in CLASSES}
+        for w, *k in zip(*(batch.column(x).to_pylist() for x in ("w", "k0", "k1")), strict=True):
+            grams = grams_of(w)
+            for c in CLASSES:
+                if k[c]:
+                    seen[c].update(grams)
+        grams = list(seen[0].keys() | seen[1].keys())
+        yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), *(pa.array([seen[c][g] for g in grams], pa.int64()) for c in CLASSES)], ["g", "n0", "n1"])
+
+
+def _arrays(df: DataFrame) -> tuple[np.ndarray, ...]:
+    found = df.toArrow()
+    return tuple(found.column(x).to_numpy() for x in df.columns)
+
+
+def learn(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model | None:
+    """A model of all labelled documents; None without both classes.
 
     Keys labelled twice count as toxic if any label says so; other labels than 0 and 1, and null ones, are left out. Rows
-    with crc32(key) modulo 5 = 0 are not learned from; those with 1 fit the curve, the others the word models.
+    with crc32(key) modulo 5 = 0 are not learned from; those with 1 fit the curve, the others the word models. Pairs of words and their
+    spelling are counted by Spark; the driver holds the model only: its words and pairs seen more than once, and its character n-grams.
     """
     known = labels.filter(learns(F.col(key)) & F.col(label).isin(0, 1)).groupBy(key).agg(F.max(label).cast("int").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     if len(counts) < 2:
         return None
-    spread = F.pmod(F.xxhash64(F.col(key)), F.lit(1_000_000))
-    keep = F.when(F.col("toxic") == 1, F.lit(rows / counts[1])).otherwise(F.lit(rows / counts[0])) * 1_000_000
-    chosen = known.filter(spread < keep)
-    found = documents.select(key, text).join(F.broadcast(chosen), key).select("toxic", (bucket_of(F.col(key), 5) == 1).alias("fits"), F.col(text).alias("t")).limit(4 * rows).collect()
-    texts = sorted((r["fits"], r["toxic"], r["t"] or "") for r in found)
-    del found
-    pool: dict[str, str] = {}  # one object for each distinct word
-    model = Model([(c, [pool.setdefault(w, w) for w in words_of(t)]) for fits, c, t in texts if not fits])
-    held = [(c, words_of(t)) for fits, c, t in texts if fits]
-    if len({c for c, _ in held}) == 2:
-        model.fit(model.features([w for _, w in held]), np.array([c for c, _ in held]), counts[1] / (counts[0] + counts[1]))
+    texts = documents.select(key, text).join(F.broadcast(known), key).select("toxic", F.col(text).alias("t"), (bucket_of(F.col(key), 5) == 1).alias("fits"))
+    pairs = materialize(texts.filter("not fits").select("toxic", "t").mapInArrow(_pairs, "pair string, n0 long, n1 long").groupBy("pair").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
+    v, w = F.substring_index("pair", " ", 1), F.substring_index("pair", " ", -1)
+    some = lambda x: F.sum((F.col(x) > 0).cast("long"))
+    # k: continuation counts; s and t: how many words, and how many distinct ones, come after.
+    after = pairs.groupBy(v.alias("w")).agg(F.sum("n0").alias("s0"), F.sum("n1").alias("s1"), some("n0").alias("t0"), some("n1").alias("t1"))
+    words = materialize(pairs.groupBy(w.alias("w")).agg(some("n0").alias("k0"), some("n1").alias("k1")).join(after, "w", "left").na.fill(0, ["s0", "s1", "t0", "t1"]))
+    sums = words.agg(*(x for c in CLASSES for x in (F.sum(f"k{c}").alias(f"total{c}"), some(f"k{c}").alias(f"kinds{c}")))).first()
+    total = [sums[f"total{c}"] or 0 for c in CLASSES]
+    left = [DISCOUNT * sums[f"kinds{c}"] / total[c] if total[c] else 1.0 for c in CLASSES]
+    long: dict[int, dict[str, int]] = {c: {} for c in CLASSES}
+    for r in words.select("w", "k0", "k1").mapInArrow(_grams, "g string, n0 long, n1 long").groupBy("g").agg(F.sum("n0"), F.sum("n1")).toLocalIterator():
+        for c in CLASSES:
+            if r[1 + c]:
+                long[c][r[0]] = r[1 + c]
+    spelling = Spelling(long)
+    sent = documents.sparkSession.sparkContext.broadcast((spelling, total, left))
+
+    def singles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        spelling, total, left = sent.value
+        for pdf in batches:
+            p = [np.maximum(pdf[f"k{c}"] - DISCOUNT, 0) / max(1, total[c]) + left[c] * np.array([spelling.word(w, c) for w in pdf["w"]]) for c in CLASSES]
+            rest = [np.where(pdf[f"s{c}"] > 0, DISCOUNT * pdf[f"t{c}"] / np.maximum(pdf[f"s{c}"], 1), 1.0) for c in CLASSES]
+            out = {"h": hashed(pdf["w"].tolist()), "single": np.log(p[1] / p[0]), "gap": np.log(rest[1] / rest[0])}
+            yield pd.DataFrame(out | {f"{x}{c}": y[c] for x, y in (("p", p), ("rest", rest)) for c in CLASSES} | {f"s{c}": pdf[f"s{c}"] for c in CLASSES})
+
+    shape = "h long, single double, gap double, p0 float, p1 float, rest0 float, rest1 float, s0 float, s1 float"
+    h, single, gap, *parts = _arrays(words.filter("k0 + k1 > 1").mapInPandas(singles, shape))
+    order = np.argsort(h)
+    table = documents.sparkSession.sparkContext.broadcast((h[order], [x[order] for x in parts]))
+
+    def ratios(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        h, (p0, p1, rest0, rest1, s0, s1) = table.value
+        for pdf in batches:
+            both = [hashed([x[k] for x in pdf["pair"].str.split(" ")]) for k in (0, 1)]
+            at = [np.minimum(np.searchsorted(h, x), max(0, len(h) - 1)) for x in both]
+            known = (h[at[0]] == both[0]) & (h[at[1]] == both[1]) if len(h) else np.zeros(len(pdf), bool)
+            v, w = at[0][known], at[1][known]
+            p = [np.maximum(pdf[n][known] - DISCOUNT, 0) / np.maximum(s[v], 1) + rest[v] * p[w] for n, s, rest, p in (("n0", s0, rest0, p0), ("n1", s1, rest1, p1))]
+            yield pd.DataFrame({"v": both[0][known], "w": both[1][known], "ratio": np.log(p[1] / p[0])})
+
+    model = Model(spelling, math.log(left[1] / left[0]), (h, single, gap), _arrays(pairs.filter("n0 + n1 > 1").mapInPandas(ratios, "v long, w long, ratio float")))
+    table.unpersist()
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                f = shared.value.features([words_of(x.as_py()) for x in part.column(1)])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(f[:, 0]), pa.array(f[:, 1])], ["toxic", "mean", "most"])
+
+    c, mean, most = _arrays(texts.filter("fits").select("toxic", "t").mapInArrow(measure, "toxic int, mean double, most double").orderBy("toxic", "mean", "most"))
+    if len(set(c.tolist())) == 2:
+        model.fit(np.stack([mean, most], axis=1), c, counts[1] / (counts[0] + counts[1]))
+    sent.unpersist()
+    shared.unpersist()
     return model
 
 

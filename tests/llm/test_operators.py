@@ -97,6 +97,18 @@ def test_toxicity(spark):
     assert toxicity.op6(docs, labels.limit(0)).filter("score > 0").count() == 0
 
 
+def test_toxicity_learns_all_labels(spark):
+    rng = np.random.default_rng(0)
+    rows = [(i, " ".join(rng.choice(["tree", "house", "river", "stone"], 6)) + (" awful" if i % 2 else "")) for i in range(6000)]
+    late = [i for i, _ in rows if i % 2 and zlib.crc32(str(i).encode()) % 5 > 1][:3000]
+    rows = [(i, f"{t} w{i}" if i in set(late) else t) for i, t in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels)
+    # Each learned word wN came once; its end is in the count of pairs only if its row was read.
+    assert sum(model.spelling.long[1].get(g, 0) for g in model.spelling.long[1] if g.startswith("\1\1\1\1w")) == len(late)
+
+
 def test_maxent_counts(docs):
     got = maxent.op7(docs).collect()
     words = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), "\0"]

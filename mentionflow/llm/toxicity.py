@@ -26,6 +26,7 @@ from .common import bucket_of, held_out, learns, materialize
 
 WORD = re.compile(r"\w+")
 WINDOW, DISCOUNT = 3, 0.75
+LONG = 32
 CLASSES = (0, 1)
 #: Stands before a text's first word, and equals none.
 START = "\2"
@@ -36,7 +37,12 @@ MEMO = 200_000
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    """Longer words than LONG characters come as stretches of LONG that share a quarter with the next, so all of them is read."""
+    words = WORD.findall(text.lower()) if text else []
+    if words and max(map(len, words)) > LONG:
+        step = LONG * 3 // 4
+        words = [x for w in words for x in ([w] if len(w) <= LONG else [w[i : i + LONG] for i in range(0, len(w) - LONG + step, step)])]
+    return words
 
 
 def hashed(words: list[str]) -> np.ndarray:
@@ -47,7 +53,7 @@ def hashed(words: list[str]) -> np.ndarray:
 
 def grams_of(w: str) -> list[str]:
     """The 5-character contexts of a word's characters and of its end."""
-    x = f"\1\1\1\1{w[:32]}\2"
+    x = f"\1\1\1\1{w}\2"
     return [x[i - 4 : i + 1] for i in range(4, len(x))]
 
 

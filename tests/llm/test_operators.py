@@ -109,6 +109,14 @@ def test_toxicity_learns_all_labels(spark):
     assert sum(model.spelling.long[1].get(g, 0) for g in model.spelling.long[1] if g.startswith("\1\1\1\1w")) == len(late)
 
 
+def test_toxicity_long_words():
+    for n in range(1, 200):
+        w = "".join(chr(0x4E00 + i) for i in range(n))
+        parts = toxicity.words_of(w)
+        assert set("".join(parts)) == set(w) and max(map(len, parts)) <= 32 and (len(parts) == 1) == (n <= 32)
+        assert all(any(w[i : i + 8] in x for x in parts) for i in range(max(1, n - 7)))
+
+
 def test_maxent_counts(docs):
     got = maxent.op7(docs).collect()
     words = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), "\0"]

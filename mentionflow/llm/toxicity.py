@@ -27,6 +27,8 @@ from .common import bucket_of, held_out, learns, materialize
 WORD = re.compile(r"\w+")
 WINDOW, DISCOUNT = 3, 0.75
 LONG = 32
+#: So that a text without any ratio is never called toxic by an unfitted curve.
+MOST_PRIOR = 0.25
 CLASSES = (0, 1)
 #: Stands before a text's first word, and equals none.
 START = "\2"
@@ -314,6 +316,10 @@ def learn(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
     c, mean, most = _arrays(texts.filter("fits").select("toxic", "t").mapInArrow(measure, "toxic int, mean double, most double").orderBy("toxic", "mean", "most"))
     if len(set(c.tolist())) == 2:
         model.fit(np.stack([mean, most], axis=1), c, counts[1] / (counts[0] + counts[1]))
+    else:
+        # Nothing to fit the curve on: the labels' prior, at most MOST_PRIOR, and the mean ratio as it is.
+        prior = min(counts[1] / (counts[0] + counts[1]), MOST_PRIOR)
+        model.weights = np.array([math.log(prior / (1 - prior)), 1.0, 0.0])
     sent.unpersist()
     shared.unpersist()
     return model

@@ -117,6 +117,17 @@ def test_toxicity_long_words():
         assert all(any(w[i : i + 8] in x for x in parts) for i in range(max(1, n - 7)))
 
 
+def test_toxicity_without_labels_to_fit(spark):
+    rng = np.random.default_rng(0)
+    some = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 > 1]
+    rows = [(i, " ".join(rng.choice(["tree", "house", "river", "stone"], 30)) if i % 3 else "awful fool " * 9) for i in some]
+    docs = spark.createDataFrame([*rows, (900, None), (901, "")], "doc_id long, text string")
+    for share in (1000, 3):  # a third of the labels are toxic, or nearly all are
+        labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in some if i % 3 == 0 or i % 100 < share + 1], "doc_id long, toxic int")
+        got = {r["doc_id"]: r["predicted"] for r in toxicity.op6(docs, labels).collect()}
+        assert got[900] == got[901] == 0 and all(got[i] == int(i % 3 == 0) for i in some)
+
+
 def test_maxent_counts(docs):
     got = maxent.op7(docs).collect()
     words = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), "\0"]

@@ -1,7 +1,7 @@
 """Document fingerprints from spot signatures, in DataFrame and SQL functions only.
 
 A spot is a common word (an anchor); its signature is the anchor with the chain of CHAIN content words that follow it,
-common words skipped. A document's fingerprint is the sorted set of its signatures, each as eight hex digits of a digest.
+common words skipped. A document's fingerprint is the sorted set of its signatures, each as sixteen hex digits of a digest.
 Two fingerprints are compared by the Jaccard similarity of their sets. Near-duplicates are sought within neighbouring
 partitions of set length only, since sets whose sizes differ by more than the threshold's factor can't reach it.
 """
@@ -9,11 +9,16 @@ partitions of set length only, since sets whose sizes differ by more than the th
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import ceil, log2
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CHAIN, DIGITS = 2, 8
+from .common import materialize
+
+CHAIN, DIGITS = 2, 16
+#: Rows of a key range, more where there would be more than RANGES of them.
+ROWS, RANGES = 1_000, 1 << 20
 # Common words of English, French, German and Spanish.
 ANCHORS = (
     "a an and are as at be but by for from had has have he her his in is it its not of on or she that the their they this to was we were which with you "
@@ -65,61 +70,85 @@ def fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint") ->
     return df.withColumn(out, signatures(F.col(text)))
 
 
-def with_next(df: DataFrame, key: str = "doc_id", text: str = "text", rows: int = 5_000, derive: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def _above(key: Column, bounds: Column, n: int, strictly: bool) -> Column:
+    """How many of n ascending bounds are above the key (or not below it), by binary search."""
+    state = lambda lo, hi: F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        at = F.get(bounds, middle)
+        left = at <= key if strictly else at < key
+        return F.when(s["lo"] >= s["hi"], s).otherwise(state(F.when(left, middle + 1).otherwise(s["lo"]), F.when(left, s["hi"]).otherwise(middle)))
+
+    return F.lit(n) - F.aggregate(F.sequence(F.lit(0), F.lit(ceil(log2(n + 1)))), state(F.lit(0), F.lit(n)), halve)["lo"]
+
+
+def with_next(df: DataFrame, key: str = "doc_id", text: str = "text", rows: int = ROWS, derive: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """df with `next`, the struct of the other columns of the next row by descending key; after the last, the first.
 
-    Rows are dealt into ranges of the key of about rows rows each (bounds by approximate quantiles); the first row of a range also goes to
-    the range before it, so each range finds its successors alone. Rows with one key are ordered by text, null keys come last.
-    One row alone is its own next. derive adds columns once the rows are dealt, so that they aren't shuffled. A key is expected to name few rows: all rows of one key meet in one range.
+    Rows are dealt into ranges of a numeric key of about rows rows each, bounds being approximate quantiles; a key that several quantiles fall on is split among
+    their ranges by its rows' order. The first row of a range also goes to the range before it, so each range finds its successors alone. Rows
+    with one key are ordered by the MD5 of text, null keys come last; rows alike in both meet in one range. One row alone is its own next. derive adds
+    columns once the rows are dealt, so that they aren't shuffled. Bounds and first rows' keys are broadcast: RANGES rows at most.
     """
+    spark = df.sparkSession
     n = df.count()
-    cuts = n // rows
-    bounds: list = []
+    cuts = min(n // rows, RANGES - 1)
+    tie = F.conv(F.substring(F.md5(F.coalesce(F.col(text), F.lit(""))), 1, 15), 16, 10).cast("long")
+    own = df.withColumn("tie", tie)
     if cuts:
-        got = df.agg(F.percentile_approx(key, [i / (cuts + 1) for i in range(1, cuts + 1)], 100 * (cuts + 1)).alias("q")).first()["q"]
-        bounds = sorted(set(got or []), reverse=True)
-    place = F.lit(0)
-    if bounds:  # the number of bounds above the key
-        place = F.coalesce(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b > F.col(key))), F.lit(len(bounds)))
-    first = {r["range"]: r["key"] for r in df.select(F.col(key).alias("key"), place.alias("range")).groupBy("range").agg(F.max("key").alias("key")).collect()}
-    order = sorted(first)
-    if not order:
-        df = derive(df) if derive else df
-        return df.withColumn("next", F.struct(*[c for c in df.columns if c != key]))
-    before = dict(zip(order, [order[-1], *order[:-1]], strict=True))
-    heads = F.lit(None).cast("int")
-    for r in order:  # as many as ranges
-        heads = F.when((place == r) & F.col(key).eqNullSafe(F.lit(first[r])), F.lit(before[r])).otherwise(heads)
-    copies = F.array_compact(F.array(F.struct(place.alias("to"), F.lit(False).alias("guest")), F.when(heads.isNotNull(), F.struct(heads.alias("to"), F.lit(True).alias("guest")))))
-    dealt = df.withColumn("_c", F.explode(copies)).select(*df.columns, "_c.to", "_c.guest").repartition("to")
+        share = F.transform(F.sequence(F.lit(1), F.lit(cuts)), lambda i: i / F.lit(cuts + 1.0))
+        wanted = spark.range(1).select(share.alias("p")).first()["p"]
+        quantiles = F.sort_array(F.percentile_approx(key, wanted, min(100 * (cuts + 1), 1 << 30)))
+        bounds = materialize(df.agg(F.coalesce(quantiles, F.array().cast(f"array<{df.schema[key].dataType.simpleString()}>")).alias("bounds")))
+        size = len(bounds.first()["bounds"])
+        above, upto = (_above(F.col(key), F.col("bounds"), size, strictly) for strictly in (True, False))
+        part = F.floor(F.col("tie") / F.lit(float(1 << 60)) * (upto - above + 1))
+        place = F.when(F.col(key).isNull(), F.lit(size)).otherwise(F.least(upto, above + part)).cast("int")
+        own = own.join(F.broadcast(bounds)).withColumn("range", place).drop("bounds")  # one row
+    else:
+        own = own.withColumn("range", F.lit(0))
+    order = F.struct(F.col(key).alias("key"), (-F.col("tie")).alias("tie"))
+    first = materialize(own.groupBy("range").agg(F.max(order).alias("first")))
+    around = Window.orderBy("range")  # a row for each range
+    last = first.agg(F.max("range").alias("last"))
+    heads = first.withColumn("before", F.lag("range").over(around)).join(F.broadcast(last)).select(F.col("range"), "first", F.coalesce("before", "last").alias("before"))
+    copies = F.array_compact(F.array(F.struct(F.col("range").alias("to"), F.lit(False).alias("guest")), F.when(order.eqNullSafe(F.col("first")), F.struct(F.col("before").alias("to"), F.lit(True).alias("guest")))))
+    dealt = own.join(F.broadcast(heads), "range").withColumn("_c", F.explode(copies)).select(*df.columns, "tie", "_c.to", "_c.guest").repartition("to")
     dealt = derive(dealt) if derive else dealt
-    w = Window.partitionBy("to").orderBy("guest", F.desc_nulls_last(key), F.asc_nulls_first(text))
-    return dealt.withColumn("next", F.lead(F.struct(*[c for c in dealt.columns if c not in (key, "to", "guest")])).over(w)).filter(~F.col("guest")).drop("to", "guest")
+    w = Window.partitionBy("to").orderBy("guest", F.desc_nulls_last(key), "tie")
+    return dealt.withColumn("next", F.lead(F.struct(*[c for c in dealt.columns if c not in (key, "tie", "to", "guest")])).over(w)).filter(~F.col("guest")).drop("tie", "to", "guest")
 
 
 def near_pairs(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
     """a, b, likeness of each pair of different fingerprints with a likeness of threshold or more; a and b stand for their least keys.
 
-    Rows of one fingerprint are one class, so copies make no pairs. Classes are partitioned by set length: partition p has the
-    lengths from threshold^-p on, so a pair lies in one partition or two neighbouring ones. Within those, pairs meet that share one of a set's
-    first signatures (in the order of digests), enough of them that no pair of the threshold can be missed; the count of common signatures decides.
+    Rows of one fingerprint are one class, so copies make no pairs; rows without a word take no part, null keys name nothing. Classes are partitioned by set
+    length: partition p has the lengths from threshold^-p on, so a pair lies in one partition or two neighbouring ones. Within those, pairs meet that
+    share one of a set's first signatures, the rarest first, enough of them that no pair of the threshold can be missed; then the number of common
+    signatures decides. Every pair is a row: a group of m near copies with fingerprints of their own gives up to m^2 / 2.
     """
     base = 1 / threshold
-    found = df.select(F.col(key).alias("key"), signatures(F.col(text)).alias("s")).groupBy("s").agg(F.min("key").alias("key")).filter(F.size("s") > 0)
-    size = F.size("s")
-    parted = found.withColumn("part", F.floor(F.log(size) / F.log(F.lit(base)) + 1e-9).cast("int"))
-    lead = size - F.ceil(size * F.lit(threshold) - 1e-9).cast("int") + 1
-    probe = parted.withColumn("token", F.explode(F.slice("s", F.lit(1), lead)))
-    left = probe.select(F.col("key").alias("a"), F.col("s").alias("sa"), F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("part"), "token", F.col("part").alias("pa"))
-    right = probe.select(F.col("key").alias("b"), F.col("s").alias("sb"), "part", "token")
-    pairs = left.join(right, ["part", "token"]).filter((F.col("pa") < F.col("part")) | (F.col("a") < F.col("b")))
-    # A pair is taken at its first common leading signature only, and if the sizes allow it.
-    small, large = F.least(F.size("sa"), F.size("sb")), F.greatest(F.size("sa"), F.size("sb"))
-    taken = pairs.filter((small >= F.lit(threshold) * large - 1e-9) & (F.array_min(F.array_intersect("sa", "sb")) == F.col("token")))
-    return taken.withColumn("likeness", likeness(F.col("sa"), F.col("sb"))).filter(F.col("likeness") >= threshold - 1e-12).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "likeness")
+    found = df.select(F.col(key).alias("key"), signatures(F.col(text)).alias("s")).filter(F.size("s") > 0)
+    classes = materialize(found.groupBy("s").agg(F.min("key").alias("key")).withColumn("id", F.md5(F.array_join("s", ""))).withColumn("n", F.size("s")))
+    each = classes.select("id", "n", F.explode("s").alias("token"))
+    often = each.groupBy("token").agg(F.count("*").alias("often"))
+    # Each set's tokens, the rarest first; no more are kept than may not be missed.
+    lead = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9).cast("int") + 1
+    ranked = each.join(often, "token").withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("often", "token"))).filter(F.col("place") <= lead)
+    part = F.floor(F.log(F.col("n")) / F.log(F.lit(base)) + 1e-9).cast("int")
+    probe = ranked.filter("often > 1").select("id", "n", "token", part.alias("own"))
+    left = probe.select(F.col("id").alias("x"), F.col("n").alias("nx"), "token", F.col("own").alias("px"), F.explode(F.array(F.col("own"), F.col("own") + 1)).alias("part"))
+    right = probe.select(F.col("id").alias("y"), F.col("n").alias("ny"), "token", F.col("own").alias("part"))
+    small, large = F.least("nx", "ny"), F.greatest("nx", "ny")
+    pairs = left.join(right, ["part", "token"]).filter(((F.col("px") < F.col("part")) | (F.col("x") < F.col("y"))) & (small >= F.lit(threshold) * large - 1e-9)).select("x", "y").distinct()
+    side = lambda c, s, k: classes.select(F.col("id").alias(c), F.col("s").alias(s), F.col("key").alias(k))
+    compared = pairs.join(side("x", "sx", "kx"), "x").join(side("y", "sy", "ky"), "y").withColumn("likeness", likeness(F.col("sx"), F.col("sy")))
+    return compared.filter(F.col("likeness") >= threshold - 1e-12).select(F.least("kx", "ky").alias("a"), F.greatest("kx", "ky").alias("b"), "likeness")
 
 
 def op10(documents: DataFrame) -> DataFrame:
+    """The contract's columns: each text's fingerprint beside those of its edited text and of the next document. Null texts count as empty; every row gives one."""
     filled = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     both = with_next(filled, derive=lambda df: fingerprint(df, "text", "f")).withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
@@ -135,7 +164,7 @@ def _sql() -> str:
     common = ", ".join(f"'{w}'" for w in sorted(set(ANCHORS)))
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') t FROM documents),
-n AS (SELECT doc_id, t, lead(t) OVER w nx, first_value(t) OVER w f0 FROM d WINDOW w AS (ORDER BY doc_id DESC NULLS LAST, t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+n AS (SELECT doc_id, t, lead(t) OVER w nx, first_value(t) OVER w f0 FROM d WINDOW w AS (ORDER BY doc_id DESC NULLS LAST, md5(t) ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
 e AS (SELECT doc_id, t, coalesce(nx, f0) x, length(t) n_chars, substr(t, 1, length(t) - length(t) // 2) || substr(coalesce(nx, f0), 1, length(t) // 2) e FROM n),
 r AS (SELECT row_number() OVER () r, * FROM e),
 u AS (SELECT r, 1 k, t v FROM r UNION ALL SELECT r, 2, e FROM r UNION ALL SELECT r, 3, x FROM r),

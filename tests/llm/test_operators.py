@@ -1,9 +1,12 @@
 """Small tables against brute force, with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
+import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -72,18 +75,52 @@ def test_licences(spark):
     assert got[3]["digest"] is None and got[4]["notices"] == ["MIT"] and got[4]["licence"] is None and got[5]["licence"] is None
 
 
+def nearest(queries, rows, k):
+    """By query id and rank: (score, id) of the k best rows of other ids and of the query's length."""
+    out = {}
+    for q, x in queries:
+        best = sorted((-int(np.dot(x, y)), i) for i, y in rows if i != q and len(y) == len(x))[:k]
+        out |= {(q, r + 1): (-s, i) for r, (s, i) in enumerate(best)}
+    return out
+
+
 def test_topk(spark):
     rng = np.random.default_rng(0)
     x = rng.integers(-9, 9, (90, 16))
     x[10:20] = x[0]
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(200, None)], "vec_id long, v array<long>")
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(300 + i, rng.integers(-9, 9, 3).tolist()) for i in range(0, 40, 20)]
+    df = spark.createDataFrame([*rows, (200, None), (None, [1] * 16), (220, [])], "vec_id long, v array<long>")
     for block in (4096, 3):
-        got = {}
-        for r in topk.search(df, df.filter("vec_id % 20 = 0"), 5, block).collect():
-            got.setdefault(r["query_id"], {})[r["rank"]] = (r["score"], r["vec_id"])
-        for q in range(0, 90, 20):
-            want = sorted((-int(x[q] @ x[i]), i) for i in range(90) if i != q)[:5]
-            assert [got[q][k + 1] for k in range(5)] == [(-s, i) for s, i in want]
+        got = {(r["query_id"], r["rank"]): (r["score"], r["vec_id"]) for r in topk.search(df, df.filter("vec_id % 20 = 0"), 5, block, 4 * block).collect()}
+        assert got == nearest([r for r in rows if r[0] % 20 == 0], rows, 5)
+    assert topk.search(df.limit(0), df, 5).count() == topk.search(df, df.limit(0), 5).count() == 0
+
+
+def test_topk_of_other_queries(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.integers(-9, 9, 8).tolist()) for i in range(60)]
+    queries = [(1000 + i, (100 * rng.integers(-9, 9, 8)).tolist()) for i in range(30)]  # far better among themselves than with the rows
+    frame = lambda x: spark.createDataFrame(x, "vec_id long, v array<long>")
+    got = {(r["query_id"], r["rank"]): (r["score"], r["vec_id"]) for r in topk.search(frame(rows), frame(queries), 5).collect()}
+    assert got == nearest(queries, rows, 5)
+
+
+def test_topk_unusable_vectors(spark):
+    rows = [(0, [1.0, 2.0]), (1, [float("nan"), 1.0]), (2, [float("inf"), 0.0]), (3, None), (4, [None, 1.0]), (5, []), (6, [0.5, 0.25]), (7, [1.0, 1.0, 1.0]), (20, [2.0, 2.0]), (20, [2.0, 2.0])]
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.op5(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())
+    assert got == [(0, 1, 20, 24576), (0, 2, 20, 24576), (0, 3, 6, 4096), (20, 1, 0, 24576), (20, 2, 6, 6144)]
+
+
+def test_topk_prunes_clustered_vectors():
+    rng = np.random.default_rng(2)
+    middle = rng.normal(size=(20, 64)) * 40
+    x = np.rint(middle[rng.integers(0, 20, 3000)] + rng.normal(size=(3000, 64)) * 3).astype(np.int64)
+    ids = np.arange(3000)
+    floor = topk.seeds(ids[:200], x[:200], (ids[:1000], x[:1000]), 5)
+    best, left = topk.best_pairs(ids[:200], x[:200], floor, ids, x, topk.rotation(x.astype(float)), 5)
+    assert left[-1] < 0.1 * 200 * 3000 and (np.diff(left) <= 0).all()
+    want = nearest(list(zip(range(200), x[:200], strict=True)), list(zip(range(3000), x, strict=True)), 5)
+    assert [(int(s), int(i)) for _, s, i in best] == [want[q, r] for q in range(200) for r in range(1, 6)]
 
 
 def test_toxicity(spark):
@@ -199,6 +236,88 @@ def test_spotsigs(docs):
     got = {r["doc_id"]: r for r in spotsigs.op10(docs.filter("doc_id is not null")).collect()}
     assert got[2]["fingerprint"] == got[3]["fingerprint"] and got[0]["n_chars"] == 0
     assert got[3]["near_next"] == 1.0
-    pairs = spotsigs.near_pairs(docs, threshold=0.8)
-    assert all(r["likeness"] >= 0.8 for r in pairs.collect())
     assert spotsigs.op10(docs.limit(0)).count() == 0
+
+
+def test_url_rows_are_whole(spark):
+    urls = ["http://h.com/a path:b", "http://h.com/a/b", "http://h.com/a/b", None, "", "http://x.net/q", "http://h.com/" + "/".join(f"s{i}" for i in range(60))]
+    df = spark.createDataFrame([(i // 2, u, "v") for i, u in enumerate(urls)], "page_id long, url string, verdict string")
+    got = url_rules.op2(df).collect()
+    assert sorted(r["page_id"] for r in got) == sorted(i // 2 for i in range(len(urls)))
+    assert {r["verdict"] for r in got} <= {"allow", "block"}
+    assert url_rules.op2(df.limit(0)).count() == 0
+
+
+def mined_by_hand(rows, support, confidence):
+    """(tokens, verdict) -> (confidence, support) of all minimal rules, from every set of up to all tokens."""
+    n, verdicts = len(rows), {v for _, v in rows}
+    names = {}
+    for t in {t for s, _ in rows for t in s}:
+        at = tuple(i for i, (s, _) in enumerate(rows) if t in s)
+        if len(at) >= support * n:
+            names.setdefault(at, []).append(t)
+    name = {t: min(ts) for ts in names.values() for t in ts}
+    rows = [(frozenset(name[t] for t in s if t in name), v) for s, v in rows]
+    found = {}
+    for size in range(1, len(names) + 1):
+        for c in itertools.combinations(sorted(set(name.values())), size):
+            every = [v for s, v in rows if s >= set(c)]
+            for v in verdicts:
+                k = every.count(v)
+                if k >= support * n and k >= confidence * len(every) and k / len(every) > sum(w == v for _, w in rows) / n:
+                    found[frozenset(c), v] = (k / len(every), k / n)
+    minimal = {r: x for r, x in found.items() if not any(o[1] == r[1] and o[0] < r[0] and y[0] >= x[0] for o, y in found.items())}
+    return minimal, name
+
+
+def test_url_mined_verdicts(spark):
+    rng = np.random.default_rng(5)
+    hosts, parts = ["a.net", "b.a.net", "example.com", "w.example.com", "q.org", "example.net", "z.edu"], ["de", "fr", "en", "x", "y", "z"]
+    urls = [f"http://{rng.choice(hosts)}/" + "/".join(rng.choice(parts, rng.integers(1, 4))) + "/" for _ in range(300)] + ["http://z.edu/de/same/always/here/"] * 9 + ["http://q.org/fr/same/always/here/"] * 9
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    full = url_rules.parsed(df, "url", url_rules.RULES).withColumn("tokens", url_rules.tokens_of(F.col("host"), F.col("path"))).collect()
+    rules, name = mined_by_hand([(frozenset(r["tokens"]), r["matched"]["verdict"]) for r in full if r["matched"]], 0.05, 0.6)
+    assert len(rules) > 5
+    got = {r["page_id"]: r for r in url_rules.judge(df, support=0.05, confidence=0.6).collect()}
+    for r in full:
+        own = {name[t] for t in r["tokens"] if t in name}
+        fits = [(round(x[0], 9), round(x[1], 9), len(c), v) for (c, v), x in rules.items() if c <= own]
+        want = r["matched"]["verdict"] if r["matched"] else max(fits)[3] if fits else "allow"
+        assert got[r["page_id"]]["verdict"] == want, (r["url"], fits)
+
+
+def test_spotsigs_ranges(spark):
+    con = duckdb.connect()
+    rows = [((i * 7919) % 5000, f"the word{i} and other{i % 50} of thing{i % 11} {'é' * (i % 5)}") for i in range(5000)] + [(None, EN), (None, DE), (3, "x y"), (3, EN), (3, ""), (3, None)]
+    rows += [(77, f"the copy{i} of it") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    con.register("documents", df.toArrow())
+    want = sorted(con.sql(spotsigs.OP10_SQL).fetchall(), key=str)
+    for size in (1, 1000):
+        filled = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+        got = spotsigs.with_next(filled, rows=size).select("doc_id", "text", "next.text").collect()
+        order = sorted(((r["doc_id"] is None, -(r["doc_id"] or 0), hashlib.md5(r["text"].encode()).hexdigest(), r["text"]) for r in filled.collect()))
+        follows = Counter((x[0], -x[1], x[3], y[3]) for x, y in zip(order, [*order[1:], order[0]], strict=True))
+        assert Counter((r[0] is None, r[0] or 0, r[1], r[2]) for r in got) == follows
+    got = sorted((tuple(r) for r in spotsigs.op10(df).collect()), key=str)
+    assert [tuple(map(str, r[:5])) for r in got] == [tuple(map(str, r[:5])) for r in want]
+    assert all(abs(a[k] - b[k]) < 1e-9 for a, b in zip(got, want, strict=True) for k in (5, 6))
+
+
+def test_near_pairs_equal_brute_force(spark):
+    rng = np.random.default_rng(7)
+    base = [f"{rng.choice(['the', 'of', 'and', 'to'])} w{rng.integers(30)} v{rng.integers(30)}" for _ in range(25)]
+    texts = [None, "", "...", EN]
+    for i in range(70):
+        spots = list(base if i < 40 else [f"the x{rng.integers(9)} y{rng.integers(99)}" for _ in range(20)])
+        for _ in range(i % 4):
+            spots[rng.integers(len(spots))] = f"a q{rng.integers(99)} r{rng.integers(99)}"
+        texts.append(" ".join(spots))
+    df = spark.createDataFrame([*enumerate(texts), (999, EN), (None, EN)], "doc_id long, text string")
+    sets = {r["doc_id"]: frozenset(r["s"]) for r in df.filter("doc_id < 999").select("doc_id", spotsigs.signatures(F.col("text")).alias("s")).collect() if r["s"]}
+    least = {}
+    for k, s in sorted(sets.items()):
+        least.setdefault(s, k)
+    want = sorted((min(least[s], least[t]), max(least[s], least[t]), round(len(s & t) / len(s | t), 9)) for s, t in itertools.combinations(least, 2) if len(s & t) / len(s | t) >= 0.8)
+    assert len(want) > 20
+    assert sorted((r["a"], r["b"], round(r["likeness"], 9)) for r in spotsigs.near_pairs(df).collect()) == want

@@ -6,7 +6,8 @@ contexts are of the class and whose short ones are shared by both classes. So a
 by what it has in common with others.
 
 A text's score comes from its length-normalised ratio, over the whole text and over its most toxic window of WINDOW
-words, by a logistic curve fitted on documents that the word models haven't seen.
+words, from its strongest word, from what its words' ratios have above CLEAR together, and from its length, by a logistic curve fitted on documents that the
+word models haven't seen.
 """
 
 from __future__ import annotations
@@ -26,10 +27,20 @@ from .common import bucket_of, held_out, learns, materialize
 
 WORD = re.compile(r"\w+")
 WINDOW, DISCOUNT = 3, 0.75
+#: Log ratio that words of ordinary texts seldom have.
+CLEAR = 2.5
+#: Labelled documents of a class that the models learn from, about; the least by a hash of their keys are taken. This bounds the models.
+SAMPLE = 16384
+#: Words, and pairs of them, that came fewer times in both classes together are judged as unknown ones, by their spelling or by backing off. One
+#: occurrence says nothing of a class: with it counted, held-out ordinary documents with a word that one toxic document had are called toxic.
+CUTOFF = 2
+#: Weight of the squared coefficients in the curve's loss.
+RIDGE = 0.1
 LONG = 32
 #: So that a text without any ratio is never called toxic by an unfitted curve.
 MOST_PRIOR = 0.25
 CLASSES = (0, 1)
+FEATURES = 5
 #: Stands before a text's first word, and equals none.
 START = "\2"
 #: Distinct pairs that a task counts before it sends them on.
@@ -142,7 +153,8 @@ class Model:
         self.keys, first = np.unique(keys, return_index=True)
         self.pairs = pairs[2][first].astype(np.float32)
         self.memo: dict[str, float] = {}
-        self.weights = np.zeros(3)
+        self.weights = np.zeros(FEATURES + 1)
+        self.prior = 0.0
 
     def _ids(self, hashes: np.ndarray) -> np.ndarray:
         """From 1 on; 0 for unknown words."""
@@ -160,8 +172,8 @@ class Model:
         return v
 
     def features(self, texts: list[list[str]]) -> np.ndarray:
-        """Mean ratio of the text and of its most toxic window, for each text; zeros for one without words."""
-        out = np.zeros((len(texts), 2))
+        """For each text the mean ratio, that of its most toxic window and its greatest one, the logarithms of 1 and the excess over CLEAR and of 1 and its words; zeros without words."""
+        out = np.zeros((len(texts), FEATURES))
         sizes = np.array([len(x) for x in texts], np.int64)
         flat = [w for x in texts for w in x]
         if not flat:
@@ -189,25 +201,40 @@ class Model:
         ends = np.arange(1, len(flat) + 1)
         first = np.maximum(ends - WINDOW, np.repeat(starts, sizes[some]))
         out[some, 1] = np.maximum.reduceat((sums[ends] - sums[first]) / np.minimum(WINDOW, np.repeat(sizes[some], sizes[some])), starts)
+        out[some, 2] = np.maximum.reduceat(ratio, starts)
+        out[some, 3] = np.log1p(np.add.reduceat(np.maximum(ratio - CLEAR, 0), starts))
+        out[some, 4] = np.log1p(sizes[some])
         return out
 
     def fit(self, features: np.ndarray, labels: np.ndarray, share: float) -> None:
-        """share: of toxic ones among all labels; the sample's classes are weighted to it."""
+        """share: of toxic ones among all labels; the sample's classes are weighted to it. Texts without words get the share, at most MOST_PRIOR."""
+        self.prior = min(share, MOST_PRIOR)
+        if len(set(labels.tolist())) < 2:
+            # Nothing to fit the curve on: the prior, and the mean ratio as it is.
+            self.weights[:2] = math.log(self.prior / (1 - self.prior)), 1.0
+            return
         x = np.hstack([np.ones((len(features), 1)), features])
-        weight = np.where(labels == 1, share / max(1, (labels == 1).sum()), (1 - share) / max(1, (labels == 0).sum())) * len(labels)
-        w = np.zeros(3)
-        for _ in range(50):
+        weight = np.where(labels == 1, share / (labels == 1).sum(), (1 - share) / (labels == 0).sum()) * len(labels)
+        w = np.zeros(x.shape[1])
+
+        def loss(w: np.ndarray) -> float:
+            z = x @ w
+            return float(weight @ (np.logaddexp(0, z) - labels * z) + RIDGE / 2 * w @ w)
+
+        for _ in range(100):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            slope = x.T @ (weight * (labels - p)) - 1e-2 * w
-            step = np.linalg.solve((x.T * (weight * p * (1 - p))) @ x + 1e-2 * np.eye(3), slope)
-            w += step
+            step = np.linalg.solve((x.T * (weight * p * (1 - p))) @ x + RIDGE * np.eye(x.shape[1]), x.T @ (weight * (labels - p)) - RIDGE * w)
+            now = loss(w)
+            while loss(w + step) > now and np.abs(step).max() > 1e-9:
+                step /= 2  # Newton's step may be too long where the classes are nearly parted
+            w = w + step
             if np.abs(step).max() < 1e-9:
                 break
         self.weights = w
 
     def scores(self, texts: list[list[str]]) -> np.ndarray:
         f = self.features(texts)
-        return 1 / (1 + np.exp(-np.clip(self.weights[0] + f @ self.weights[1:], -30, 30)))
+        return np.where(f[:, -1] > 0, 1 / (1 + np.exp(-np.clip(self.weights[0] + f @ self.weights[1:], -30, 30))), self.prior)
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,17 +277,20 @@ def _arrays(df: DataFrame) -> tuple[np.ndarray, ...]:
     return tuple(found.column(x).to_numpy() for x in df.columns)
 
 
-def learn(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model | None:
-    """A model of all labelled documents; None without both classes.
+def learn(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model | None:
+    """A model of labelled documents, about sample of each class or all if there are fewer; None without both classes.
 
     Keys labelled twice count as toxic if any label says so; other labels than 0 and 1, and null ones, are left out. Rows
     with crc32(key) modulo 5 = 0 are not learned from; those with 1 fit the curve, the others the word models. Pairs of words and their
-    spelling are counted by Spark; the driver holds the model only: its words and pairs seen more than once, and its character n-grams.
+    spelling are counted by Spark; the driver holds the model only: words and pairs that reach CUTOFF, and character n-grams.
     """
     known = labels.filter(learns(F.col(key)) & F.col(label).isin(0, 1)).groupBy(key).agg(F.max(label).cast("int").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     if len(counts) < 2:
         return None
+    part = F.pmod(F.xxhash64(key, F.lit(1)), F.lit(1 << 30))
+    limits = [min(1 << 30, (sample << 30) // counts[c]) for c in CLASSES]
+    known = known.filter(part < F.when(F.col("toxic") == 1, limits[1]).otherwise(limits[0]))
     texts = documents.select(key, text).join(F.broadcast(known), key).select("toxic", F.col(text).alias("t"), (bucket_of(F.col(key), 5) == 1).alias("fits"))
     pairs = materialize(texts.filter("not fits").select("toxic", "t").mapInArrow(_pairs, "pair string, n0 long, n1 long").groupBy("pair").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
     v, w = F.substring_index("pair", " ", 1), F.substring_index("pair", " ", -1)
@@ -287,8 +317,8 @@ def learn(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
             out = {"h": hashed(pdf["w"].tolist()), "single": np.log(p[1] / p[0]), "gap": np.log(rest[1] / rest[0])}
             yield pd.DataFrame(out | {f"{x}{c}": y[c] for x, y in (("p", p), ("rest", rest)) for c in CLASSES} | {f"s{c}": pdf[f"s{c}"] for c in CLASSES})
 
-    shape = "h long, single double, gap double, p0 float, p1 float, rest0 float, rest1 float, s0 float, s1 float"
-    h, single, gap, *parts = _arrays(words.filter("k0 + k1 > 1").mapInPandas(singles, shape))
+    shape = "h long, single double, gap double, p0 double, p1 double, rest0 float, rest1 float, s0 float, s1 float"
+    h, single, gap, *parts = _arrays(words.filter(F.col("k0") + F.col("k1") >= CUTOFF).mapInPandas(singles, shape))
     order = np.argsort(h)
     table = documents.sparkSession.sparkContext.broadcast((h[order], [x[order] for x in parts]))
 
@@ -302,7 +332,7 @@ def learn(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
             p = [np.maximum(pdf[n][known] - DISCOUNT, 0) / np.maximum(s[v], 1) + rest[v] * p[w] for n, s, rest, p in (("n0", s0, rest0, p0), ("n1", s1, rest1, p1))]
             yield pd.DataFrame({"v": both[0][known], "w": both[1][known], "ratio": np.log(p[1] / p[0])})
 
-    model = Model(spelling, math.log(left[1] / left[0]), (h, single, gap), _arrays(pairs.filter("n0 + n1 > 1").mapInPandas(ratios, "v long, w long, ratio float")))
+    model = Model(spelling, math.log(left[1] / left[0]), (h, single, gap), _arrays(pairs.filter(F.col("n0") + F.col("n1") >= CUTOFF).mapInPandas(ratios, "v long, w long, ratio float")))
     table.unpersist()
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
@@ -311,22 +341,18 @@ def learn(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
                 f = shared.value.features([words_of(x.as_py()) for x in part.column(1)])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(f[:, 0]), pa.array(f[:, 1])], ["toxic", "mean", "most"])
-
-    c, mean, most = _arrays(texts.filter("fits").select("toxic", "t").mapInArrow(measure, "toxic int, mean double, most double").orderBy("toxic", "mean", "most"))
-    if len(set(c.tolist())) == 2:
-        model.fit(np.stack([mean, most], axis=1), c, counts[1] / (counts[0] + counts[1]))
-    else:
-        # Nothing to fit the curve on: the labels' prior, at most MOST_PRIOR, and the mean ratio as it is.
-        prior = min(counts[1] / (counts[0] + counts[1]), MOST_PRIOR)
-        model.weights = np.array([math.log(prior / (1 - prior)), 1.0, 0.0])
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x) for x in f.T)], ["toxic", *(f"f{i}" for i in range(FEATURES))])
+
+    names = [f"f{i}" for i in range(FEATURES)]
+    c, *found = _arrays(texts.filter("fits").select("toxic", "t").mapInArrow(measure, ", ".join(["toxic int", *(f"{x} double" for x in names)])).orderBy("toxic", *names))
+    model.fit(np.stack(found, axis=1), c, counts[1] / (counts[0] + counts[1]))
     sent.unpersist()
     shared.unpersist()
     return model
 
 
 def score(df: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, score of each row: near 1 for a toxic text. A null text counts as empty, whose ratios are 0. Without a model all scores are 0.
+    """key, score of each row: near 1 for a toxic text. A null text counts as empty; one without words gets the labels' prior. Without a model all scores are 0.
 
     One row comes out for each row that goes in; other columns are not read.
     """
@@ -345,5 +371,6 @@ def score(df: DataFrame, model: Model | None, key: str = "doc_id", text: str = "
 
 
 def op6(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """The contract's columns: a row for each document; all scores are 0 without labels of both classes."""
     found = score(documents, learn(documents, labels))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -5,7 +5,8 @@ each the longest stretch that occurs in the reference. The language needing the
 normalisation by reference size and text length: phrases * log2(reference) / characters.
 
 Texts are lower-cased; what is no letter becomes one space, and a space stands at either end. They are parsed whole, in blocks of BLOCK characters, so
-that numpy advances thousands of blocks by one character at once; a phrase never spans two blocks.
+that numpy advances thousands of blocks by one character at once. A block is parsed as if a phrase began there; then the parse that really comes from the
+block before is followed until both are in one state, from where on they are the same. So phrases span blocks, and counts are those of one parse.
 """
 
 from __future__ import annotations
@@ -106,25 +107,76 @@ class Parser:
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases for each coded text and language."""
-        count = np.zeros((len(texts), len(self.names)), np.int64)
         cuts = [(i, at) for i, x in enumerate(texts) for at in range(0, len(x), BLOCK)]
-        for first in range(0, len(cuts), LOCKSTEP):
-            part = sorted(cuts[first : first + LOCKSTEP], key=lambda c: c[1] + BLOCK <= len(texts[c[0]]) and -BLOCK or -(len(texts[c[0]]) - c[1]))
-            sizes = np.array([min(BLOCK, len(texts[i]) - at) for i, at in part])
-            grid = np.zeros((len(part), sizes[0]), np.int32)
-            for row, (i, at) in enumerate(part):
-                grid[row, : sizes[row]] = texts[i][at : at + BLOCK]
-            grid = np.ascontiguousarray(grid.T)
-            state = np.repeat(self.starts[:, None], len(part), axis=1)
-            ends = np.zeros(state.shape, np.int32)
-            active = np.searchsorted(-sizes, -np.arange(sizes[0]), "left")
-            for t in range(sizes[0]):
-                n = active[t]
-                got = self.steps.take(state[:, :n] * self.width + grid[t, :n])
-                ends[:, :n] += got & 1
-                state[:, :n] = got >> 1
-            np.add.at(count, [i for i, _ in part], (ends + 1).T)
-        return count
+        text, sizes = np.array([i for i, _ in cuts]), np.array([min(BLOCK, len(texts[i]) - at) for i, at in cuts])
+        inner = np.array([at > 0 for _, at in cuts])
+        count, ends = np.zeros((len(cuts), len(self.names)), np.int64), np.zeros((len(cuts), len(self.names)), np.int32)
+        assumed = np.tile(self.starts, (len(cuts), 1))
+        for rows in self._parts(sizes, np.arange(len(cuts))):
+            grid = self._grid(texts, cuts, rows, sizes)
+            state, n = self._run(grid, sizes[rows], assumed[rows].T.copy())
+            count[rows], ends[rows] = n.T, state.T
+        while True:
+            real = assumed.copy()
+            real[1:][inner[1:]] = ends[:-1][inner[1:]]
+            wrong = np.flatnonzero((real != assumed).any(1))
+            if not wrong.size:
+                break
+            for rows in self._parts(sizes, wrong):
+                grid = self._grid(texts, cuts, rows, sizes)
+                more, last, met = self._follow(grid, sizes[rows], assumed[rows].T.copy(), real[rows].T.copy())
+                count[rows] += more.T
+                ends[rows] = np.where(met.T, ends[rows], last.T)
+            assumed = real
+        out = np.ones((len(texts), len(self.names)), np.int64)
+        np.add.at(out, text, count)
+        return out
+
+    @staticmethod
+    def _parts(sizes: np.ndarray, rows: np.ndarray) -> Iterator[np.ndarray]:
+        """Rows of LOCKSTEP blocks, longest first."""
+        for first in range(0, len(rows), LOCKSTEP):
+            part = rows[first : first + LOCKSTEP]
+            yield part[np.argsort(-sizes[part], kind="stable")]
+
+    @staticmethod
+    def _grid(texts: list[np.ndarray], cuts: list[tuple[int, int]], rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """A row for each character of the blocks, a column for each block."""
+        grid = np.zeros((len(rows), sizes[rows[0]]), np.int32)
+        for k, r in enumerate(rows.tolist()):
+            i, at = cuts[r]
+            grid[k, : sizes[r]] = texts[i][at : at + BLOCK]
+        return np.ascontiguousarray(grid.T)
+
+    def _run(self, grid: np.ndarray, sizes: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after the blocks, and how many phrases ended in them."""
+        ends = np.zeros(state.shape, np.int32)
+        active = np.searchsorted(-sizes, -np.arange(sizes[0]), "left")
+        for t in range(sizes[0]):
+            n = active[t]
+            got = self.steps.take(state[:, :n] * self.width + grid[t, :n])
+            ends[:, :n] += got & 1
+            state[:, :n] = got >> 1
+        return state, ends
+
+    def _follow(self, grid: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How many phrases more end from states b than from a until both meet, the last states from b, and whether they met."""
+        lanes = np.flatnonzero((a != b).ravel())
+        blocks = lanes % a.shape[1]
+        more, last, met = np.zeros(a.size, np.int64), b.ravel().copy(), (a == b).ravel()
+        x, y = a.ravel()[lanes].copy(), last[lanes].copy()
+        for t in range(sizes[0]):
+            if not lanes.size:
+                break
+            c = grid[t, blocks]
+            x, y = self.steps.take(x * self.width + c), self.steps.take(y * self.width + c)
+            more[lanes] += (y & 1) - (x & 1)
+            x, y = x >> 1, y >> 1
+            last[lanes] = y
+            met[lanes] = x == y
+            go = (x != y) & (sizes[blocks] > t + 1)
+            lanes, blocks, x, y = lanes[go], blocks[go], x[go], y[go]
+        return more.reshape(a.shape), last.reshape(a.shape), met.reshape(a.shape)
 
     def costs(self, texts: list[np.ndarray]) -> np.ndarray:
         size = np.array([max(1, len(x)) for x in texts])
@@ -132,33 +184,33 @@ class Parser:
 
 
 def references(documents: DataFrame, key: str, text: str, lang: str, rows: int, chars: int) -> dict[str, str]:
-    """A normalised reference text of at most chars characters for each language.
+    """A normalised reference text for each language, of whole documents.
 
-    It is taken from at most rows documents per language: the key with the least hash in each of rows hash buckets, so
-    no group of documents meets in one task. Each document gives as much of the bound as it has, in equal shares.
+    They are taken from at most rows documents per language: among those of at most chars characters the key with the least hash in each of rows hash
+    buckets, so no group of documents meets in one task. In the order of these hashes, documents are taken as long as they fit into chars characters
+    together; so the driver gets rows x chars characters a language at most. A language that has longer documents only is learned from the shortest.
     """
     spread = F.xxhash64(F.col(key))
-    known = documents.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    least = known.groupBy(lang, F.pmod(spread, F.lit(rows)).alias("bucket")).agg(F.min(spread).alias("least")).collect()
+    known = documents.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).withColumn("_n", F.length(text))
+    fits = F.col("_n") <= chars
+    bucket = F.when(fits, F.pmod(spread, F.lit(rows))).otherwise(-1)
+    least = known.groupBy(F.col(lang).alias("l"), bucket.alias("bucket")).agg(F.min(F.when(fits, spread)).alias("h"), F.min(F.struct("_n", spread.alias("h"))).alias("short")).collect()
     if not least:
         return {}
-    chosen = documents.sparkSession.createDataFrame([(r[lang], r["least"]) for r in least], "l string, h long")
-    found = known.select(spread.alias("h"), F.col(lang).alias("l"), F.col(text).alias("t")).join(F.broadcast(chosen), ["l", "h"]).orderBy("h").limit(len(least)).collect()
+    some = {r["l"] for r in least if r["bucket"] >= 0}
+    chosen = [(r["l"], r["h"] if r["bucket"] >= 0 else r["short"]["h"]) for r in least if r["bucket"] >= 0 or r["l"] not in some]
+    wanted = documents.sparkSession.createDataFrame(chosen, "l string, h long")
+    own = known.filter(fits | ~F.col(lang).isin(*some) if some else F.lit(True)).select(spread.alias("h"), F.col(lang).alias("l"), F.col(text).alias("t"))
+    found = own.join(F.broadcast(wanted), ["l", "h"]).groupBy("l", "h").agg(F.min_by("t", F.struct(F.length("t"), F.xxhash64("t"))).alias("t"))
     whole: dict[str, list[str]] = {}
-    for r in found:
+    left: dict[str, int] = {}
+    for r in sorted(found.collect(), key=lambda r: (r["l"], r["h"])):
         x = normalise(r["t"])
-        if x and x not in whole.setdefault(r["l"], []):
-            whole[r["l"]].append(x)
-    out = {}
-    for name, texts in whole.items():
-        texts.sort(key=len)
-        left, parts = chars, []
-        for i, x in enumerate(texts):
-            parts.append(x[: max(1, left // (len(texts) - i))])
-            left -= len(parts[-1])
-        if parts:
-            out[name] = " ".join(parts)[:chars]
-    return out
+        own, room = whole.setdefault(r["l"], []), left.get(r["l"], chars)
+        if x and x not in own and (len(x) <= room or not own):
+            own.append(x)
+            left[r["l"]] = room - len(x) - 1
+    return {name: " ".join(texts) for name, texts in whole.items() if texts}
 
 
 _PARSERS: dict[tuple, Parser] = {}
@@ -173,11 +225,12 @@ def _parser(refs: dict[str, str]) -> Parser:
 
 
 def identify(df: DataFrame, refs: dict[str, str], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, lang_pred, score, cost, n_letters of each row.
+    """key, lang_pred, score, cost, n_letters, phrase_rate of each row.
 
     A text that is null or has no letter is `und` with score 0; so is every text if no reference was learned. Ties go to
     the language first in alphabetical order. score is the runner-up's cost over the sum of both: 0.5 for a tie, 1 for the only
-    language. cost is the winner's: about 1 for its own language's running text, the more the stranger the text. One row
+    language. cost is the winner's: the more the stranger the text. phrase_rate is the winner's phrases a character: 1 for a text of
+    unknown characters, over 0.5 where not even pairs of characters are known. Both are null for `und`. One row
     comes out for each row that goes in; other columns are not read.
     """
     shared = df.sparkSession.sparkContext.broadcast(refs)
@@ -190,24 +243,28 @@ def identify(df: DataFrame, refs: dict[str, str], key: str = "doc_id", text: str
                 part = batch.slice(start, 2048)
                 codes = [own.coded(x.as_py() or "") for x in part.column(1)]
                 letters = np.array([int((x != SPACE).sum()) for x in codes], np.int64)
-                names, score, cost = np.full(len(codes), "und", object), np.zeros(len(codes)), np.full(len(codes), np.nan)
+                names, score = np.full(len(codes), "und", object), np.zeros(len(codes))
+                cost, rate = np.full(len(codes), np.nan), np.full(len(codes), np.nan)
                 some = np.flatnonzero(letters)
                 if some.size and own.names:
                     costs = own.costs([codes[i] for i in some])
-                    names[some] = np.array(own.names, object)[costs.argmin(1)]
+                    best = costs.argmin(1)
+                    names[some] = np.array(own.names, object)[best]
+                    rate[some] = costs.min(1) / own.bits[best]
                     ranked = np.sort(costs, axis=1)
                     cost[some] = ranked[:, 0]
                     score[some] = ranked[:, 1] / (ranked[:, 0] + ranked[:, 1]) if len(own.names) > 1 else 1.0
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names.tolist(), pa.string()), pa.array(score), pa.array(cost), pa.array(letters)], [key, "lang_pred", "score", "cost", "n_letters"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names.tolist(), pa.string()), pa.array(score), pa.array(cost, from_pandas=True), pa.array(letters), pa.array(rate, from_pandas=True)], [key, "lang_pred", "score", "cost", "n_letters", "phrase_rate"])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double, cost double, n_letters long")
+    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double, cost double, n_letters long, phrase_rate double")
 
 
-def learn(documents: DataFrame, rows: int = 64, chars: int = 16_000) -> dict[str, str]:
+def learn(documents: DataFrame, rows: int = 64, chars: int = 32_000) -> dict[str, str]:
     """References from the documents that may be learned from: crc32 of doc_id modulo 5 is not 0."""
     return references(documents.filter(learns(F.col("doc_id"))), "doc_id", "text", "lang", rows, chars)
 
 
 def op1(documents: DataFrame) -> DataFrame:
+    """The contract's columns and the cost: a row for each document."""
     found = identify(documents, learn(documents))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "cost")

@@ -9,6 +9,7 @@ bounded by the number of lengths, is packed best-fit. The histogram has at most
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
 import zlib
@@ -22,7 +23,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-SIZE, UNIT, SALTS, END = 2048, 4, 32, 1
+SIZE, UNIT, END = 2048, 4, 1
+#: Parts that each length class is ranked in, at least; rows of all classes for one more part.
+SALTS, SALT_ROWS = 32, 10_000_000
 #: Words that a worker remembers, twice: the latest, and those before.
 MEMO = 150_000
 PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
@@ -182,10 +185,11 @@ def inverted(matrix: np.ndarray) -> np.ndarray:
     return work[:, n:].copy()
 
 
-def generate(demand: np.ndarray, capacity: int, gap: float = 1e-3, rounds: int = 800) -> list[tuple[np.ndarray, float]]:
+def generate(demand: np.ndarray, capacity: int, gap: float = 1e-3) -> list[tuple[np.ndarray, float]]:
     """Patterns and how often the linear program uses each. demand[l]: pieces of length l; demand[0] is unused.
 
-    It ends at the optimum, when the objective is within gap of the bound that pricing gives, or after rounds columns.
+    It ends at the optimum, or when the objective is within gap of the best bound that pricing has given. Ties in the ratio test go to the lengths in turn,
+    so that it doesn't cycle.
     """
     lengths = np.flatnonzero(demand)
     lengths = lengths[lengths > 0]
@@ -196,18 +200,21 @@ def generate(demand: np.ndarray, capacity: int, gap: float = 1e-3, rounds: int =
     columns = first_basis(lengths, need, capacity)
     inverse = inverted(columns)
     x = np.maximum(inverse @ need, 0)
-    for turn in range(rounds):
+    bound = 0.0
+    for turn in itertools.count():
         duals = inverse.sum(axis=0)
         values = np.zeros(capacity + 1)
         values[lengths] = np.maximum(duals, 0)
         best, uses = knapsack(values, capacity)
-        if best <= 1 + 1e-9 or x.sum() <= (1 + gap) * (need @ values[lengths]) / best:
+        bound = max(bound, float(need @ values[lengths]) / best)
+        if best <= 1 + 1e-9 or x.sum() <= (1 + gap) * bound:
             break
         column = uses[lengths].astype(float)
         step = inverse @ column
         with np.errstate(divide="ignore", invalid="ignore"):
             ratio = np.where(step > 1e-10, x / step, np.inf)
-        out = int(ratio.argmin())
+        ties = np.flatnonzero(ratio <= ratio.min() * (1 + 1e-12))
+        out = int(ties[turn % len(ties)])
         if not np.isfinite(ratio[out]):
             break
         columns[:, out] = column
@@ -264,14 +271,16 @@ def pack(df: DataFrame, tokenizer_file: str, key: str = "doc_id", text: str = "t
     """key, start, length, ids_crc32, doc_tokens, sequence_id, offset of each piece.
 
     Every text has at least one id (END), so every row has a piece, also null and empty texts and repeated rows. Documents of one length class
-    are ranked by key, then by tokens and checksum; rows equal in all have interchangeable places. Ranks are counted in SALTS parts of each
-    class, so no class, however common, is ranked in one task. An empty table gives an empty result.
+    are ranked by key, then by tokens and checksum; rows equal in all have interchangeable places. Ranks are counted in parts of each
+    class, the more the more rows, so no class, however common, is ranked in one task, nor are copies of one row. An empty table gives an empty result.
     """
     spark = df.sparkSession
     counted = pieces(df, tokenizer_file, key, text, size)
     rest = F.col("tokens") % size
-    parted = counted.select(F.col(key).alias("key"), "tokens", "crcs", rest.cast("int").alias("rest"), F.floor(F.col("tokens") / size).alias("whole"), F.ceil(rest / unit).cast("int").alias("class")).withColumn("salt", F.pmod(F.xxhash64("key", "tokens", F.col("crcs")[0]), F.lit(SALTS)).cast("int"))
+    parted = counted.select(F.col(key).alias("key"), "tokens", "crcs", rest.cast("int").alias("rest"), F.floor(F.col("tokens") / size).alias("whole"), F.ceil(rest / unit).cast("int").alias("class")).withColumn("draw", F.xxhash64(F.monotonically_increasing_id(), "key"))
     parted = materialize(parted)
+    salts = max(SALTS, -(-parted.count() // SALT_ROWS))
+    parted = parted.withColumn("salt", F.pmod("draw", F.lit(salts)).cast("int"))
     groups = parted.groupBy("class", "salt").agg(F.count("*").alias("n"), F.sum("whole").alias("w")).orderBy("class", "salt").collect()
     capacity = size // unit
     demand = np.zeros(capacity + 1, np.int64)
@@ -313,4 +322,5 @@ def pack(df: DataFrame, tokenizer_file: str, key: str = "doc_id", text: str = "t
 
 
 def op9(documents: DataFrame, tokenizer_file: str) -> DataFrame:
+    """The contract's columns: the pieces of every document."""
     return pack(documents.select("doc_id", "text"), tokenizer_file)

@@ -37,17 +37,44 @@ def test_language(docs):
     assert language.op1(docs.limit(0)).count() == 0
 
 
-def test_phrases_equal_greedy_parse():
-    p = language.Parser({"a": "abc abd bcd", "b": "zzz"})
-    text = "abdx bcda zz" * 3
-    ref, n, at = " abc abd bcd ", 0, 0
-    x = f" {text} "
+def phrases_by_hand(text, ref):
+    """Longest matches one after another; a character that the reference lacks is a phrase."""
+    x, ref, n, at = f" {text} ", f" {ref} ", 0, 0
     while at < len(x):
         k = 1
-        while at + k < len(x) + 0 and x[at : at + k + 1] in ref:
+        while at + k < len(x) and x[at : at + k + 1] in ref:
             k += 1
         n, at = n + 1, at + k
-    assert p.phrases([p.coded(text)])[0, 0] == n
+    return n
+
+
+def test_phrases_equal_greedy_parse(monkeypatch):
+    refs = {"a": "abc abd bcd", "b": "zzz", "c": "ab" * 40}
+    p = language.Parser(refs)
+    rng = np.random.default_rng(3)
+    texts = ["abdx bcda zz" * 3, "ab" * 700, "abc abd bcd " * 200, "z" * 500, *(" ".join("".join(rng.choice(list("abcdxz"), rng.integers(1, 9))) for _ in range(n)) for n in (1, 30, 400))]
+    texts = [language.normalise(t) for t in texts]
+    want = [[phrases_by_hand(t, refs[k]) for k in p.names] for t in texts]
+    for block, lockstep in ((1024, 4096), (7, 5), (1, 3)):
+        monkeypatch.setattr(language, "BLOCK", block)
+        monkeypatch.setattr(language, "LOCKSTEP", lockstep)
+        assert p.phrases([p.coded(t) for t in texts]).tolist() == want
+
+
+def test_references_are_whole_documents(spark):
+    rows = [(i, f"{EN} w{'x' * i}", "en") for i in range(30)] + [(50, f"{DE} " * 100, "de"), (51, f"{DE} " * 60, "de"), (52, None, "fr"), (None, "x", None)]
+    refs = language.references(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang", 64, 400)
+    whole = {language.normalise(t) for _, t, _ in rows if t}
+    assert set(refs) == {"en", "de"} and refs["de"] == language.normalise(f"{DE} " * 60)
+    assert len(refs["en"]) <= 400 and sum(w in refs["en"] for w in whole) >= 2
+
+
+def test_language_ties_and_accuracy(spark):
+    rows = [(i, f"{(EN, DE)[i % 2]} {i}", ("en", "de")[i % 2]) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {(r["doc_id"] % 2, r["lang_pred"]) for r in language.op1(df).filter("held_out").collect()} == {(0, "en"), (1, "de")}
+    same = language.identify(df, {"x": "abc", "b": "abc"})
+    assert {(r["lang_pred"], r["score"]) for r in same.collect()} == {("b", 0.5)}
 
 
 def test_byte_bpe(docs):
@@ -214,6 +241,37 @@ def test_jaccard_repeated_keys(spark):
     assert (names["n_links"], names["group_id"]) == (1, "d7")
 
 
+def test_packing_covers_every_row(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i % 37 if i % 5 else None, " ".join(["word"] * int(rng.integers(0, 300 if i % 9 else 5000))) or None, 1, 2) for i in range(400)] + [(1, "same", 1, 2)] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string, length int, tokens int")
+    got = packing.op9(df, WORDS).collect()
+    own = packing._tokenizer(open(WORDS).read()).tokenizer
+    want = Counter((k, len(own.encode(t or "", add_special_tokens=False).ids) + 1) for k, t, *_ in rows)
+    whole: Counter = Counter()
+    for r in got:
+        whole[r["doc_id"], r["doc_tokens"]] += r["length"]
+    assert whole == Counter({(k, n): n * times for (k, n), times in want.items()})
+    assert all(r["start"] % 2048 == 0 and r["start"] + r["length"] <= r["doc_tokens"] for r in got)
+    used: Counter = Counter()
+    for r in got:
+        used[r["sequence_id"]] += r["length"]
+    assert max(used.values()) <= 2048 and set(used) == set(range(len(used)))
+    assert len(used) <= 1.02 * sum(used.values()) / 2048 + 1
+    assert packing.op9(df.limit(0), WORDS).count() == 0
+
+
+def test_column_generation_reaches_its_gap():
+    rng = np.random.default_rng(5)
+    for many in (3, 40, 400):
+        demand = np.zeros(513, np.int64)
+        demand[rng.choice(np.arange(1, 513), many, replace=False)] = rng.integers(1, 1000, many)
+        patterns = packing.generate(demand, 512)
+        made = sum(p * x for p, x in patterns)
+        assert np.allclose(made[1:], demand[1:], atol=1e-4) and all((p * np.arange(513)).sum() <= 512 for p, _ in patterns)
+        assert sum(x for _, x in patterns) >= (demand * np.arange(513)).sum() / 512 - 1e-6
+
+
 def test_packing(docs):
     rows = packing.op9(docs.filter("doc_id is not null").dropDuplicates(["doc_id"]), WORDS).collect()
     own = packing._tokenizer(open(WORDS).read()).tokenizer

@@ -49,6 +49,23 @@ def discard() -> None:
 atexit.register(discard)
 
 
+#: A key that this share of the rows has is joined by broadcast; there are no more such keys than the share's inverse.
+COMMON = 1e-3
+
+
+def common_join(rows: DataFrame, found: DataFrame, key: str, often: str, total: int) -> DataFrame:
+    """rows left-joined by key with found, which has one row a key and, in often, how many of the total rows have it. Null keys find nothing.
+
+    Common keys are joined by broadcast and null ones not at all, so no task gets all rows of one key.
+    """
+    common = found.filter(F.col(often) >= max(1.0, COMMON * total))
+    fields = [f for f in found.schema.fields if f.name != key]
+    none = rows.filter(F.col(key).isNull()).select(*rows.columns, *(F.lit(None).cast(f.dataType).alias(f.name) for f in fields))
+    hot = rows.join(F.broadcast(common), key)
+    rest = rows.filter(F.col(key).isNotNull()).join(F.broadcast(common.select(key)), key, "left_anti").join(found, key, "left")
+    return none.unionByName(hot).unionByName(rest)
+
+
 def bucket_of(key: Column, buckets: int) -> Column:
     """crc32 of the key as text, modulo buckets; null for a null key."""
     return F.crc32(key.cast("string").cast("binary")) % buckets

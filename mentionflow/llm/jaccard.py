@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import common_join, materialize
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: 40 bands of 6 values: a pair at similarity 0.8 shares none with probability 6e-6, at 0.85 with 2e-9.
@@ -203,8 +203,9 @@ def linked(rows: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
     group = components(counted.select(F.col("id").alias("a"), F.col("peer").alias("b"))).withColumnRenamed("node", "id")
     whole = materialize(classes.select("mark", "id", "class", "copies").join(found, "id", "left").join(group, "id", "left").withColumn("root", F.coalesce("root", "id")))
     names = whole.groupBy("root").agg(F.min("class").alias("group"))
+    classes_of = materialize(whole.join(names, "root"))
     return (
-        sketched.select("row", "key", "mark").join(whole.join(names, "root"), "mark", "left")
+        common_join(sketched.select("row", "key", "mark"), classes_of, "mark", "copies", sketched.count())
         .select("row", "key", "mark", F.coalesce("class", "key").alias("class_id"), (F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("group", "key").alias("group_id"), F.coalesce("root", "row").alias("root"))
     )
 
@@ -272,4 +273,5 @@ def distinct(df: DataFrame, key: str = "doc_id", text: str = "text", threshold:
 
 
 def op8(documents: DataFrame) -> DataFrame:
+    """doc_id, class_id, n_links and group_id of each document; see join()."""
     return join(documents.select("doc_id", "text"))

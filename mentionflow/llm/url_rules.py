@@ -12,7 +12,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import common_join, materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (rule, verdict): a rule is a host and the start of a path.
@@ -20,8 +20,6 @@ RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "b
 LABEL = "verdict="
 #: Rules are sent to every executor up to this number, else joined by a shuffle.
 BROADCAST_RULES = 50_000
-#: A set of tokens that this share of the rows has is joined by broadcast; there are no more than the share's inverse.
-HOT = 1e-3
 
 
 def host_of(url: Column) -> Column:
@@ -153,11 +151,7 @@ def judge(df: DataFrame, url: str = "url", rules: list[tuple[str, str]] = RULES,
     sets = named(open_.groupBy("tokens").agg(F.count("*").alias("n")), names, "tokens")
     judged = apply_rules(sets.filter("size(named) > 0").select("named").distinct(), mined, "named")
     verdicts = materialize(sets.join(judged, "named", "left").select("tokens", "found", "n"))
-    # Common sets are joined by broadcast, the others by their tokens, so no task gets all rows of one set.
-    common = F.broadcast(verdicts.filter(F.col("n") >= F.lit(max(1.0, HOT * full.count()))).select("tokens", "found"))
-    rest = open_.join(common, "tokens", "left_anti").join(verdicts.select("tokens", "found"), "tokens", "left")
-    none = F.lit(None).cast(verdicts.schema["found"].dataType).alias("found")
-    whole = full.filter("matched is not null or size(tokens) = 0").withColumn("found", none).unionByName(open_.join(common, "tokens")).unionByName(rest)
+    whole = common_join(full.withColumn("tokens", F.when(F.col("matched").isNull() & (F.size("tokens") > 0), F.col("tokens"))), verdicts, "tokens", "n", full.count())
     return whole.select(*kept, "host", "path", F.col("matched.rule").alias("rule"), F.coalesce("matched.verdict", "found.verdict", F.lit(default)).alias("verdict"), F.col("found.confidence").alias("confidence"))
 
 

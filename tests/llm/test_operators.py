@@ -102,6 +102,20 @@ def test_licences(spark):
     assert got[3]["digest"] is None and got[4]["notices"] == ["MIT"] and got[4]["licence"] is None and got[5]["licence"] is None
 
 
+def test_licences_of_other_tables(spark, monkeypatch):
+    texts = [("PD", "notice", "Released into the public domain"), ("X", "notice", "© 2020 Licence"), ("Y", "notice", "copyright holders"), ("W", "licence", "Do as you like."), ("E", "licence", "...")]
+    rows = [(1, "a\n-- RELEASED into the public domain!\nb"), (1, "do AS you, like"), (2, "Copyright owners"), (2, None), (None, ""), (3, "license"), (4, "..."), (5, f"{EN}\n" * 3000 + "released into the public domain")] + [(9, "Do as you like")] * 5
+    df = spark.createDataFrame([(k, t, "old") for k, t in rows], "id long, text string, digest string")
+    want = Counter({(1, None, ("PD",)): 1, (1, "W", ()): 1, (2, None, ("Y",)): 1, (2, None, ()): 1, (None, None, ()): 1, (3, None, ()): 1, (4, None, ()): 1, (5, None, ("PD",)): 1, (9, "W", ()): 5})
+    for at_hand in (100, 0):
+        monkeypatch.setattr(licences, "KNOWN_AT_HAND", at_hand)
+        got = licences.scan(df, texts=spark.createDataFrame(texts, "licence string, kind string, text string"))
+        assert got.columns == ["id", "text", "digest", "licence", "notices"]
+        assert Counter((r["id"], r["licence"], tuple(r["notices"])) for r in got.collect()) == want
+    assert licences.scan(df.limit(0)).count() == 0
+    assert len({d for d, in licences.known(spark).filter("kind = 'licence'").select("digest").collect()}) == 9
+
+
 def nearest(queries, rows, k):
     """By query id and rank: (score, id) of the k best rows of other ids and of the query's length."""
     out = {}
@@ -227,6 +241,23 @@ def test_jaccard(spark, monkeypatch):
     assert all(got[i]["group_id"] == i for i, x in enumerate(near) if not x)
 
 
+def test_jaccard_of_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 7)
+    rng = np.random.default_rng(8)
+    base = rng.choice(list("abcdefghijklmnop"), 80)
+    texts = []
+    for i in range(90):
+        w = base.copy()
+        w[rng.integers(0, 80, i % 5)] = "z"
+        texts += [" ".join(w)] * (1 + 2 * (i % 11 == 0))
+    sets = [shingles(t) for t in texts]
+    near = [sum(len(a & b) >= 0.8 * len(a | b) for b in sets) - 1 for a in sets]
+    got = {r["doc_id"]: r["n_links"] for r in jaccard.op8(spark.createDataFrame([*enumerate(texts), (-1, None), (-2, "?!")], "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == near and got[-1] == got[-2] == 0 and max(near) > 30
+    empty = spark.createDataFrame([], "doc_id long, text string, class_id long")
+    assert jaccard.op8(empty).count() == jaccard.distinct(empty).count() == 0
+
+
 def test_jaccard_repeated_keys(spark):
     rng = np.random.default_rng(2)
     a, b, c = (rng.choice(list("abcdefghijklmnop"), 80).tolist() for _ in range(3))

@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
@@ -17,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none."""
+    """The folder that all executors share, which the session names; a temporary one only where driver and executors are one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="mentionflow-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -49,6 +52,14 @@ def discard() -> None:
 atexit.register(discard)
 
 
+def with_row(df: DataFrame, key: str, text: str, found: str, whole: bool) -> tuple[DataFrame, StructType]:
+    """The rows' key and text, and with whole all their columns as the struct own; and the schema of a map over them that gives the columns found instead of the text."""
+    spark_type = StructType.fromDDL(found)
+    given = df.select(F.col(key), F.col(text).alias("_text"), F.struct(*df.columns).alias("own")) if whole else df.select(F.col(key), F.col(text).alias("_text"))
+    own = [StructField("own", given.schema["own"].dataType)] if whole else []
+    return given, StructType([StructField(key, df.schema[key].dataType), *own, *spark_type.fields])
+
+
 #: A key that this share of the rows has is joined by broadcast; there are no more such keys than the share's inverse.
 COMMON = 1e-3
 

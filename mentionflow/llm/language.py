@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, learns
+from .common import held_out, learns, with_row
 
 BLOCK, LOCKSTEP = 1024, 4096
 SPACE, OTHER = 0, 1
@@ -224,17 +224,17 @@ def _parser(refs: dict[str, str]) -> Parser:
     return _PARSERS[key]
 
 
-def identify(df: DataFrame, refs: dict[str, str], key: str = "doc_id", text: str = "text") -> DataFrame:
+def identify(df: DataFrame, refs: dict[str, str], key: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
     """key, lang_pred, score, cost, n_letters, phrase_rate of each row.
 
     A text that is null or has no letter is `und` with score 0; so is every text if no reference was learned. Ties go to
     the language first in alphabetical order. score is the runner-up's cost over the sum of both: 0.5 for a tie, 1 for the only
     language. cost is the winner's: the more the stranger the text. phrase_rate is the winner's phrases a character: 1 for a text of
     unknown characters, over 0.5 where not even pairs of characters are known. Both are null for `und`. One row
-    comes out for each row that goes in; other columns are not read.
+    comes out for each row that goes in; with whole its columns come too, as the struct own, else other columns are not read.
     """
     shared = df.sparkSession.sparkContext.broadcast(refs)
-    kind = df.schema[key].dataType.simpleString()
+    given, schema = with_row(df, key, text, "lang_pred string, score double, cost double, n_letters long, phrase_rate double", whole)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _parser(shared.value)
@@ -254,9 +254,9 @@ def identify(df: DataFrame, refs: dict[str, str], key: str = "doc_id", text: str
                     ranked = np.sort(costs, axis=1)
                     cost[some] = ranked[:, 0]
                     score[some] = ranked[:, 1] / (ranked[:, 0] + ranked[:, 1]) if len(own.names) > 1 else 1.0
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names.tolist(), pa.string()), pa.array(score), pa.array(cost, from_pandas=True), pa.array(letters), pa.array(rate, from_pandas=True)], [key, "lang_pred", "score", "cost", "n_letters", "phrase_rate"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], pa.array(names.tolist(), pa.string()), pa.array(score), pa.array(cost, from_pandas=True), pa.array(letters), pa.array(rate, from_pandas=True)], schema.names)
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double, cost double, n_letters long, phrase_rate double")
+    return given.mapInArrow(run, schema)
 
 
 def learn(documents: DataFrame, rows: int = 64, chars: int = 32_000) -> dict[str, str]:

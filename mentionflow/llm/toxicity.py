@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, held_out, learns, materialize
+from .common import bucket_of, held_out, learns, materialize, with_row
 
 WORD = re.compile(r"\w+")
 WINDOW, DISCOUNT = 3, 0.75
@@ -351,13 +351,13 @@ def learn(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
     return model
 
 
-def score(df: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
+def score(df: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
     """key, score of each row: near 1 for a toxic text. A null text counts as empty; one without words gets the labels' prior. Without a model all scores are 0.
 
-    One row comes out for each row that goes in; other columns are not read.
+    One row comes out for each row that goes in; with whole its columns come too, as the struct own, else other columns are not read.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
-    kind = df.schema[key].dataType.simpleString()
+    given, schema = with_row(df, key, text, "score double", whole)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -365,9 +365,9 @@ def score(df: DataFrame, model: Model | None, key: str = "doc_id", text: str = "
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
                 made = own.scores([words_of(x.as_py()) for x in part.column(1)]) if own else np.zeros(part.num_rows)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.float64())], [key, "score"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], pa.array(made, pa.float64())], schema.names)
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, score double")
+    return given.mapInArrow(run, schema)
 
 
 def op6(documents: DataFrame, labels: DataFrame) -> DataFrame:

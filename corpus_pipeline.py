@@ -14,21 +14,20 @@ from mentionflow.llm.common import materialize, table
 from mentionflow.llm.queries import WORD_FILE
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """docs but those whose doc_id is rejected; rows with a null doc_id stay."""
-    return docs.join(rejected.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+#: Phrases a character from which on a text is of no learned language: on average not even its pairs of characters are known.
+STRANGE = 0.5
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a language: a null text or one without a letter."""
-    found = language.identify(docs, language.learn(docs))
-    return _without(docs, found.filter(F.col("lang_pred") == "und"))
+    """Rejects documents without a language: a null text, one without a letter, or one that the parse finds strange. Rows are judged one by one, whatever their keys."""
+    found = language.identify(docs, language.learn(docs), whole=True)
+    return found.filter((F.col("lang_pred") != "und") & (F.coalesce("phrase_rate", F.lit(0.0)) <= STRANGE)).select("own.*")
 
 
 def by_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents with a toxicity of 0.5 or more."""
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    return _without(docs, toxicity.score(docs, model).filter("score >= 0.5"))
+    return toxicity.score(docs, model, whole=True).filter("score < 0.5").select("own.*")
 
 
 def by_likeness(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

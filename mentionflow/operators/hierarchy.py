@@ -21,7 +21,8 @@ NODE_TABLE = "block string, node long, parent long, active boolean, seq long, sc
 class Hierarchy:
     """Nodes have ids in the order in which they appear, points among inner nodes. parent is -1 at the root."""
 
-    def __init__(self, sim: str = "dot", norm: str = "l2", rotate_cap: int = 100, graft_cap: int = 100, limit: int | None = None, pruning: str = "least_recent", pruning_threshold: float | None = None):
+    def __init__(self, sim: str = "dot", norm: str = "l2", rotate_cap: int = 100, graft_cap: int = 100, limit: int | None = None, pruning: str = "least_recent", pruning_threshold: float | None = None, compat: bool = False):
+        """compat: a graft compares pairs with those that may not join scored 0, so that a joinable pair below 0 is passed over."""
         if sim not in SIMS or norm not in NORMS or pruning not in PRUNINGS:
             raise ValueError(f"sim, norm and pruning must be among {SIMS}, {NORMS} and {PRUNINGS}")
         if pruning == "combined" and pruning_threshold is None:
@@ -29,7 +30,7 @@ class Hierarchy:
         if limit is not None and limit < 2:
             raise ValueError("limit must be 2 or more")
         self.sim, self.norm, self.rotate_cap, self.graft_cap = sim, norm, rotate_cap, graft_cap
-        self.limit, self.pruning, self.pruning_threshold = limit, pruning, pruning_threshold
+        self.limit, self.pruning, self.pruning_threshold, self.compat = limit, pruning, pruning_threshold, compat
         self.sums: list[np.ndarray] = []
         self.counts: list[int] = []
         self.parents: list[int] = []
@@ -135,9 +136,9 @@ class Hierarchy:
         s = self.likeness(np.stack([self.centroid(k) for k in one]), np.stack([self.centroid(k) for k in two]))
         bar = np.maximum.outer([self.linkage(self.parents[k]) for k in one], [self.linkage(self.parents[k]) for k in two])
         same = np.equal.outer([self.parents[k] for k in one], [self.parents[k] for k in two])  # siblings already
-        s = np.where((s > bar) & ~same, s, -np.inf)
-        a, b = np.unravel_index(int(s.argmax()), s.shape)
-        if s[a, b] > -np.inf:
+        free = (s > bar) & ~same
+        a, b = np.unravel_index(int(np.where(free, s, 0 if self.compat else -np.inf).argmax()), s.shape)
+        if free[a, b]:
             self._join(one[a], two[b])
 
     def below(self, node: int) -> set[int]:

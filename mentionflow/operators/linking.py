@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordered import dense_ids, running_sum
+from .trees import _checkpointed
 
 BLOCK = 1024
 
@@ -28,23 +29,18 @@ def oracle_within_document_compat(df: DataFrame, seq: str = "seq", entity: str =
 
 def roots(parents: DataFrame, seq: str = "seq", parent: str = "parent") -> DataFrame:
     """seq, cluster_id: the root of each row under parent (null or itself at a root). Pointers are doubled until they rest."""
-    now = parents.select(F.col(seq).alias("n"), F.coalesce(parent, seq).alias("r"))
-    spark = parents.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="mentionflow-"))
-    now = now.checkpoint()
+    now = _checkpointed(parents.select(F.col(seq).alias("n"), F.coalesce(parent, seq).alias("r")))
     while True:
         up = now.select(F.col("n").alias("r"), F.col("r").alias("further"))
-        after = now.join(up, "r").select("n", F.col("further").alias("r"), (F.col("further") != F.col("r")).alias("moved")).checkpoint()
+        after = _checkpointed(now.join(up, "r").select("n", F.col("further").alias("r"), (F.col("further") != F.col("r")).alias("moved")))
         if after.filter("moved").isEmpty():
             return after.select(F.col("n").alias(seq), F.col("r").alias("cluster_id"))
         now = after.select("n", "r")
 
 
 def block_pairs(df: DataFrame, seq: str, vector: str, block: int = BLOCK) -> DataFrame:
-    """x, y, side, seq, v: each row once for each pair of blocks that its own block belongs to. Blocks have about block rows."""
+    """x, y, b, seq, v: each row once for each pair of blocks that its own block b belongs to. Blocks have about block rows. Rows with a null vector take no part."""
+    df = df.filter(F.col(vector).isNotNull())
     n = df.count()
     blocks = max(1, -(-n // block))
     own = df.select(F.col(seq).alias("seq"), F.transform(vector, lambda x: x.cast("double")).alias("v")).withColumn("b", F.pmod(F.xxhash64("seq"), F.lit(blocks)).cast("int"))
@@ -52,16 +48,26 @@ def block_pairs(df: DataFrame, seq: str, vector: str, block: int = BLOCK) -> Dat
     return own.withColumn("p", F.explode(met)).select("p.x", "p.y", "b", "seq", "v")
 
 
+def band_pairs(df: DataFrame, seq: str, vector: str, limit: int, block: int = BLOCK) -> DataFrame:
+    """x, y, b, seq, v: blocks of consecutive seq, each with the limit rows before it, which have another b. So rows are copied once at most."""
+    wide = max(block, limit, 1)
+    own = df.filter(F.col(vector).isNotNull()).select(F.col(seq).alias("seq"), F.transform(vector, lambda x: x.cast("double")).alias("v")).withColumn("b", F.floor(F.col("seq") / wide).cast("long"))
+    after = F.col("seq") >= (F.col("b") + 1) * wide - limit
+    met = F.array_compact(F.array(F.col("b"), F.when(after, F.col("b") + 1)))
+    return own.withColumn("x", F.explode(met)).select("x", F.col("x").alias("y"), "b", "seq", "v")
+
+
 def backward_links(df: DataFrame, threshold: float, seq: str = "seq", vector: str = "embedding", limit: int | None = None, block: int = BLOCK) -> DataFrame:
     """seq, parent, best: the latest earlier row within limit whose inner product is above threshold, and the greatest such product below it or above.
 
     parent is null for a row that starts a cluster. best is the greatest product with an eligible earlier row, null for the first. Rows meet in pairs
-    of blocks, multiplied as matrices; one row a side leaves each pair of blocks.
+    of blocks, multiplied as matrices; one row a side leaves each pair of blocks. With a limit each block meets only the rows before it that the limit reaches; without,
+    all pairs of blocks meet. Rows with a null vector take no part.
     """
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = pdf["x"].iloc[0], pdf["y"].iloc[0]
-        a, b = pdf[pdf["b"] == x], pdf[pdf["b"] == y]
+        a, b = pdf[pdf["b"] == x], pdf[pdf["b"] == y] if limit is None else pdf
         out = []
         for late, early in ((a, b), (b, a)) if x != y else ((a, b),):
             if not len(late) or not len(early):
@@ -76,7 +82,8 @@ def backward_links(df: DataFrame, threshold: float, seq: str = "seq", vector: st
             out.append(pd.DataFrame({"seq": i, "parent": above, "best": best}))
         return pd.concat(out) if out else pd.DataFrame({"seq": [], "parent": [], "best": []})
 
-    found = block_pairs(df, seq, vector, block).groupBy("x", "y").applyInPandas(compare, "seq long, parent long, best double")
+    pairs = block_pairs(df, seq, vector, block) if limit is None else band_pairs(df, seq, vector, limit, block)
+    found = pairs.groupBy("x", "y").applyInPandas(compare, "seq long, parent long, best double")
     merged = found.groupBy("seq").agg(F.max("parent").alias("parent"), F.max("best").alias("best"))
     return merged.select(F.col("seq").alias(seq), F.when(F.col("parent") >= 0, F.col("parent")).alias("parent"), F.when(F.col("best") > float("-inf"), F.col("best")).alias("best"))
 
@@ -86,34 +93,84 @@ def backward_cluster(df: DataFrame, threshold: float, seq: str = "seq", vector:
     return roots(backward_links(df, threshold, seq, vector, limit), seq)
 
 
-def threshold_curve(links: DataFrame, target: int, steps: int = 100, tolerance: float | None = None) -> tuple[float, int, bool]:
-    """Threshold, clusters and whether the target was met, by bisection of [0, 1] over the curve of best scores: a row starts a cluster at t if its best is not above t."""
-    n = links.count()
+def bisect(count_at, target: int, n: int, steps: int = 100, tolerance: float | None = None) -> tuple[float, int, bool]:
+    """Threshold in [0, 1], clusters there, and whether they are within tolerance (n / 1000) of the target; count_at(t) must not fall as t rises."""
     near = n / 1000 if tolerance is None else tolerance
     low, high, t, clusters = 0.0, 1.0, 0.5, 0
     for _ in range(steps):
         t = (low + high) / 2
-        clusters = links.filter(F.col("best").isNull() | (F.col("best") <= t)).count()
+        clusters = count_at(t)
         if abs(clusters - target) <= near:
             return t, clusters, True
+        if t in (low, high):
+            break
         low, high = (t, high) if clusters < target else (low, t)
     return t, clusters, False
 
 
-def bigram_weights(strings: DataFrame, mention: str = "mention") -> DataFrame:
-    """mention, term, w: character bigrams of distinct lower-cased strings, counts over their L2 norm."""
+def threshold_curve(links: DataFrame, target: int, steps: int = 100, tolerance: float | None = None) -> tuple[float, int, bool]:
+    """bisect() over the curve of best scores: a row starts a cluster at t if its best is null or not above t.
+
+    links is written once; each pass over it counts the rows in 1024 equal parts of the interval, which serves ten steps.
+    """
+    own = _checkpointed(links.select("best"))
+    held: dict[float, int] = {}
+
+    def counted(low: float, high: float) -> None:
+        place = F.ceil((F.col("best") - low) / (high - low) * 1024)
+        part = F.when(F.col("best").isNull(), -1).otherwise(F.greatest(F.least(place, F.lit(1025)), F.lit(0)))
+        found = {r["p"]: r["n"] for r in own.groupBy(part.cast("int").alias("p")).agg(F.count("*").alias("n")).collect()}
+        total = found.get(-1, 0)
+        for k in range(1025):
+            total += found.get(k, 0)
+            held[low + k * (high - low) / 1024] = total
+
+    def count_at(t: float) -> int:
+        if t not in held:
+            # The interval that the search is in: t is its middle.
+            half = min(abs(t - x) for x in (0.0, 1.0, *held))
+            counted(t - half, t + half)
+        return held[t]
+
+    return bisect(count_at, target, own.count(), steps, tolerance)
+
+
+def find_threshold(df: DataFrame, target: int | None = None, steps: int = 100, seq: str = "seq", vector: str = "embedding", entity: str = "entity_id", limit: int | None = None) -> DataFrame:
+    """One row: threshold, n_clusters, met, target. target is the number of distinct entities unless given."""
+    if target is None:
+        target = df.agg(F.countDistinct(entity)).first()[0]
+    t, clusters, met = threshold_curve(backward_links(df, 0.0, seq, vector, limit), target, steps)
+    return df.sparkSession.createDataFrame([(t, clusters, met, target)], "threshold double, n_clusters long, met boolean, target long")
+
+
+def bigram_weights(strings: DataFrame, mention: str = "mention", vocabulary: DataFrame | None = None) -> DataFrame:
+    """mention, term, w: character bigrams of distinct lower-cased strings, counts over their L2 norm. With a vocabulary (term) others are dropped first."""
     text = F.regexp_replace(F.lower(mention), r"\s+", " ")
     grams = F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substring(text, i, F.lit(2)))
     counts = strings.select(mention).distinct().filter(F.length(text) > 1).select(mention, F.explode(grams).alias("term")).groupBy(mention, "term").agg(F.count("*").cast("double").alias("c"))
+    if vocabulary is not None:
+        counts = counts.join(vocabulary.select("term"), "term", "left_semi").select(mention, "term", "c")
     norm = counts.groupBy(mention).agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("n"))
     return counts.join(norm, mention).select(mention, "term", (F.col("c") / F.col("n")).alias("w"))
 
 
 def similar_strings(weights: DataFrame, threshold: float, mention: str = "mention") -> DataFrame:
-    """a, b, score of distinct strings (both directions, each with itself) whose rounded cosine is above threshold, by an inverted index."""
-    left = weights.select(F.col(mention).alias("a"), "term", F.col("w").alias("wa"))
-    right = weights.select(F.col(mention).alias("b"), "term", F.col("w").alias("wb"))
-    return left.join(right, "term").groupBy("a", "b").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 9).alias("score")).filter(F.col("score") > threshold)
+    """a, b, score of distinct strings (both directions, each with itself) whose rounded cosine is above threshold; weights: unit vectors.
+
+    A string is found by its rarest terms only, as many as leave the others together too small to reach the threshold; so common terms pair strings only where
+    they must. Candidates' cosines are then computed from whole vectors. With a threshold of 0 or less all common terms pair.
+    """
+    own = _checkpointed(weights.select(F.col(mention).alias("m"), "term", "w"))
+    often = own.groupBy("term").agg(F.count("*").alias("often"))
+    w = Window.partitionBy("m").orderBy("often", "term")
+    ranked = own.join(often, "term").withColumn("rest", F.sum(F.col("w") * F.col("w")).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
+    probe = _checkpointed(ranked.filter(F.col("rest") >= max(0.0, threshold - 1e-6) ** 2 - 1e-9).select("m", "term"))
+    pairs = probe.select(F.col("m").alias("a"), "term").join(probe.select(F.col("m").alias("b"), "term"), "term").filter("a <= b").select("a", "b").distinct()
+    whole = own.groupBy("m").agg(F.sort_array(F.collect_list(F.struct("term", "w"))).alias("v"))
+    left, right = whole.select(F.col("m").alias("a"), F.col("v").alias("va")), whole.select(F.col("m").alias("b"), F.map_from_entries("v").alias("vb"))
+    product = F.aggregate("va", F.lit(0.0), lambda s, x: s + x["w"] * F.coalesce(F.element_at(F.col("vb"), x["term"]), F.lit(0.0)))
+    found = pairs.join(left, "a").join(right, "b").select("a", "b", F.round(product, 9).alias("score")).filter(F.col("score") > threshold)
+    return found.unionByName(found.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
 
 
 def overwrite_cluster(df: DataFrame, similar: DataFrame, seq: str = "seq", mention: str = "mention") -> DataFrame:
@@ -129,3 +186,17 @@ def overwrite_cluster(df: DataFrame, similar: DataFrame, seq: str = "seq", menti
     whole = linked.select("seq", "parent", "last").unionByName(alone)
     root = roots(whole)
     return whole.select(F.col("seq").alias("s"), F.col("last").alias("seq")).join(root, "seq").select(F.col("s").alias(seq), "cluster_id")
+
+
+def bigram_vocabulary(strings: DataFrame, mention: str = "mention") -> DataFrame:
+    """term: the character bigrams of the strings, as a model table for bigram_weights()."""
+    return bigram_weights(strings, mention).select("term").distinct()
+
+
+def overwrite_pairs(df: DataFrame, pairs: DataFrame, seq: str = "seq") -> DataFrame:
+    """seq, cluster_id of the sequential overwrite over pairs (seq, earlier) of similar rows: a row takes the root of the latest row that it is similar to."""
+    rows = df.select(F.col(seq).alias("seq"))
+    one, two = pairs.select(F.col(seq).alias("a"), F.col("earlier").alias("b")), pairs.select(F.col("earlier").alias("a"), F.col(seq).alias("b"))
+    # A row may count as similar to itself: that changes nothing.
+    similar = one.unionByName(two).unionByName(rows.select(F.col("seq").alias("a"), F.col("seq").alias("b")))
+    return overwrite_cluster(rows.withColumn("_own", F.col("seq")), similar, "seq", "_own").withColumnRenamed("seq", seq)

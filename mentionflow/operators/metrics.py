@@ -108,3 +108,25 @@ def coref_scores(df: DataFrame) -> DataFrame:
     for part in (median_cluster_size(df), *parts):  # one row each
         sizes = sizes.join(F.broadcast(part))
     return sizes.withColumn("mean_f1", F.round((F.col("muc_f1") + F.col("b_cubed_f1") + F.col("ceaf_e_f1")) / 3, 6))
+
+
+def allowed(assigned: DataFrame, test: DataFrame, train: DataFrame, choice: str, seq: str = "seq", entity: str = "entity_id") -> DataFrame:
+    """The assignments of those test mentions whose entity train has (choice seen) or has not (unseen); mentions are known by seq."""
+    from .corpus import split_seen
+
+    if choice not in ("seen", "unseen"):
+        raise ValueError("choice must be seen or unseen")
+    return assigned.join(split_seen(test, train, entity, choice == "seen").select(seq), seq, "left_semi")
+
+
+def mixed_samples(df: DataFrame, mentions: DataFrame, seq: str = "seq") -> DataFrame:
+    """kind, seq, entity_id and contexts of up to five mentions of the most split true cluster, and of up to five entities of the most conflated predicted one; nothing where none is mixed."""
+    from .mentions import samples
+
+    whole = df.join(mentions, seq)
+    out = []
+    for kind, by, other, distinct in (("split", "true_id", "pred_id", None), ("conflated", "pred_id", "true_id", "entity_id")):
+        top = most_mixed(df, by, other, seq).first()
+        some = samples(whole, by, top[by], 5, seq, distinct) if top and top["parts"] > 1 else whole.limit(0)
+        out.append(some.select(F.lit(kind).alias("kind"), seq, "entity_id", "left_context", "mention", "right_context"))
+    return out[0].unionByName(out[1])

@@ -18,8 +18,8 @@ def shard(df: DataFrame, rank: int, world: int, seq: str = "seq") -> DataFrame:
 
 
 def chunk_shuffle(df: DataFrame, chunk: int = 32768, seed: int = 1234, seq: str = "seq") -> DataFrame:
-    """df with chunk and place: rows keep their chunk of the order, and are shuffled within it."""
-    dealt = df.withColumn("chunk", F.floor(F.col(seq) / chunk).cast("long")).withColumn("_draw", draw(seed, seq))
+    """df with chunk and place: rows keep their chunk of the order, of chunk rows each but the last, and are shuffled within it."""
+    dealt = row_number(df, seq, "_at").withColumn("chunk", F.floor(F.col("_at") / chunk).cast("long")).drop("_at").withColumn("_draw", draw(seed, seq))
     return dealt.withColumn("place", F.row_number().over(Window.partitionBy("chunk").orderBy("_draw", seq)) - 1).drop("_draw")
 
 

@@ -35,25 +35,35 @@ def tfidf_weights(df: DataFrame, key: str, text: str, idf: DataFrame) -> DataFra
     return raw.join(norm, key).select(key, "term", (F.col("w") / F.col("l")).alias("w"))
 
 
-def feature_score(df: DataFrame, threshold: float, weights: tuple[float, float] = (0.8, 0.2), mention: str = "mention", context: str = "context") -> DataFrame:
+def feature_score(df: DataFrame, threshold: float, weights: tuple[float, float] = (0.8, 0.2), mention: str = "mention", context: str = "context", bigrams: DataFrame | None = None, idf: DataFrame | None = None) -> DataFrame:
     """mention_a, context_a, mention_b, context_b, score: distinct (mention, context) pairs whose weighted cosine is above threshold.
 
     The score is weights[0] times the mentions' bigram cosine plus weights[1] times the contexts' word cosine. Both directions, each with itself. As no
-    cosine is above 1, each side's own bound follows from threshold, so that only strings alike enough by themselves are paired. threshold must be so high
-    that both bounds are 0 or more: below, pairs without a common term would count.
+    cosine is above 1, each side's own bound follows from threshold, so that only strings alike enough by themselves are paired; where the contexts' bound is below 0, theirs is
+    computed for the pairs that the mentions make. threshold must be so high that the mentions' bound is 0 or more: below, pairs without a common bigram would count.
+    bigrams and idf are fitted vocabularies; without them they are fitted on df.
     """
     own, other = weights
     low_m, low_c = (threshold - other) / own, (threshold - own) / other
-    if low_m < 0 or low_c < 0:
+    if low_m < 0:
         raise ValueError("threshold is too low for the weights")
     # A hair below the bounds: the cosines are rounded, and the score decides.
-    names = similar_strings(bigram_weights(df, mention), low_m - 1e-6, mention).withColumnRenamed("score", "m")
-    texts = similar_strings(tfidf_weights(df.select(F.col(context), F.col(context).alias("_text")).distinct(), context, "_text", fit_idf(df, context)), low_c - 1e-6, context).withColumnRenamed("score", "c")
+    names = similar_strings(bigram_weights(df, mention, bigrams), low_m - 1e-6, mention).withColumnRenamed("score", "m")
+    idf = fit_idf(df, context) if idf is None else idf
+    words = tfidf_weights(df.select(F.col(context), F.col(context).alias("_text")).distinct(), context, "_text", idf)
     pairs = df.select(mention, context).distinct()
     left = pairs.select(F.col(mention).alias("a"), F.col(context).alias("context_a"))
     right = pairs.select(F.col(mention).alias("b"), F.col(context).alias("context_b"))
-    near = texts.select(F.col("a").alias("context_a"), F.col("b").alias("context_b"), "c")
-    found = left.join(names, "a").join(near, "context_a").join(right, ["b", "context_b"])
+    if low_c >= 0:
+        texts = similar_strings(words, low_c - 1e-6, context).withColumnRenamed("score", "c")
+        near = texts.select(F.col("a").alias("context_a"), F.col("b").alias("context_b"), "c")
+        found = left.join(names, "a").join(near, "context_a").join(right, ["b", "context_b"])
+    else:
+        whole = words.groupBy(context).agg(F.collect_list(F.struct("term", "w")).alias("v"))
+        side = lambda c, v: whole.select(F.col(context).alias(c), F.map_from_entries("v").alias(v))
+        each = left.join(names, "a").join(right, "b").join(side("context_a", "va"), "context_a", "left").join(side("context_b", "vb"), "context_b", "left")
+        product = F.aggregate(F.map_entries("va"), F.lit(0.0), lambda s, x: s + x["value"] * F.coalesce(F.element_at(F.col("vb"), x["key"]), F.lit(0.0)))
+        found = each.withColumn("c", F.round(F.coalesce(product, F.lit(0.0)), 9))
     return found.withColumn("score", F.round(own * F.col("m") + other * F.col("c"), 6)).filter(F.col("score") > threshold).select(F.col("a").alias("mention_a"), "context_a", F.col("b").alias("mention_b"), "context_b", "score")
 
 

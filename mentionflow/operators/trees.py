@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def _checkpointed(df: DataFrame) -> DataFrame:
+    """df cut off from its lineage, in the folder that the session names; a temporary one only where driver and executors are one process."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="mentionflow-"))
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(found or tempfile.mkdtemp(prefix="mentionflow-"))
     return df.checkpoint()
 
 
@@ -20,11 +24,14 @@ def leaves(tree: DataFrame) -> DataFrame:
 
 
 def leaf_paths(tree: DataFrame) -> DataFrame:
-    """node, via, leaf, height: for each leaf each node on its way to the root; via is the child of node on that way, null at the leaf; height counts the steps."""
+    """node, via, leaf, height: for each leaf each node on its way to the root; via is the child of node on that way, null at the leaf; height counts the steps. A cycle in the edges is an error."""
     up = tree.select("uid", "parent")
     now = _checkpointed(leaves(tree).select(F.col("uid").alias("node"), F.lit(None).cast(tree.schema["uid"].dataType).alias("via"), F.col("uid").alias("leaf"), F.lit(0).alias("height")))
-    out = now
+    out, n, height = now, tree.count(), 0
     while True:
+        height += 1
+        if height > n:
+            raise ValueError("the edges have a cycle")
         now = _checkpointed(now.join(up, now["node"] == up["uid"]).filter("parent is not null").select(F.col("parent").alias("node"), F.col("uid").alias("via"), "leaf", (F.col("height") + 1).alias("height")))
         if now.isEmpty():
             return out

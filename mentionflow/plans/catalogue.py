@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mentionflow.functions import vectors as vec
-from mentionflow.operators import corpus, hierarchy, linking, metrics, ordered, sampling, text, trees
+from mentionflow.operators import corpus, hierarchy, linking, metrics, ordered, sampling, text, training, trees
+from mentionflow.operators import mentions as mention_ops
+from mentionflow.sources import corpora
 from mentionflow.streaming import strategies
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,7 +93,13 @@ for name in strategies.STRATEGIES:
 S_ = "s AS (SELECT DISTINCT p_name m, lower(p_name) x FROM part), g AS (SELECT m, substr(x, i, 2) term, CAST(count(*) AS DOUBLE) c FROM s, unnest(range(1, length(x))) u(i) GROUP BY 1, 2), nn AS (SELECT m, sqrt(sum(c * c)) l FROM g GROUP BY 1), w AS (SELECT m, term, c / l w FROM g JOIN nn USING (m)), sim AS (SELECT a.m a, b.m b, round(sum(a.w * b.w), 9) score FROM w a JOIN w b USING (term) GROUP BY 1, 2 HAVING round(sum(a.w * b.w), 9) > 0.8)"
 add("bigram_tf", lambda s, d: linking.bigram_weights(parts(s, d)).select("mention", "term", F.round("w", 6).alias("w")), f"WITH {S_} SELECT m mention, term, round(w, 6) w FROM w")
 add("mention_similarity", lambda s, d: linking.similar_strings(linking.bigram_weights(parts(s, d)), 0.8).select("a", "b", F.round("score", 6).alias("score")), f"WITH {S_} SELECT a, b, round(score, 6) score FROM sim")
-add("feature_cluster", lambda s, d: linking.overwrite_cluster(parts(s, d), linking.similar_strings(linking.bigram_weights(parts(s, d)), 0.8)), None)
+add(
+    "feature_cluster",
+    lambda s, d: linking.overwrite_cluster(parts(s, d), linking.similar_strings(linking.bigram_weights(parts(s, d)), 0.8)),
+    f"WITH RECURSIVE {S_}, near AS (SELECT y.p_partkey seq, x.p_partkey o FROM part x JOIN sim ON sim.a = x.p_name JOIN part y ON y.p_name = sim.b), "
+    "par AS (SELECT seq, max(o) FILTER (o < seq) p, max(o) l FROM near GROUP BY 1), own AS (SELECT p_partkey seq, p, coalesce(l, p_partkey) l FROM part LEFT JOIN par ON seq = p_partkey), "
+    "r(seq, root) AS (SELECT seq, seq FROM own WHERE p IS NULL UNION ALL SELECT own.seq, r.root FROM own JOIN r ON own.p = r.seq) SELECT own.seq, r.root cluster_id FROM own JOIN r ON r.seq = own.l",
+)
 
 
 def heap(spark: SparkSession, d: str) -> DataFrame:
@@ -157,3 +165,97 @@ add("chunk_shuffle", lambda s, d: sampling.chunk_shuffle(events(s, d), 1024).sel
 add("triplets", lambda s, d: sampling.triplets(events(s, d)), f"WITH m AS (SELECT user_id e, event_id s, {DRAW.format('event_id')} d FROM events), g AS (SELECT e, arg_min(s, d) a, arg_max(s, d) b FROM m GROUP BY 1), k AS (SELECT *, row_number() OVER (ORDER BY {DRAW.format('e')}, e) - 1 n, count(*) OVER () c FROM g) SELECT x.e entity, x.a anchor, x.b positive, y.a negative FROM k x JOIN k y ON y.n = (x.n + 1) % x.c WHERE x.a <> x.b AND x.c > 1")
 add("shard", lambda s, d: sampling.shard(events(s, d), 1, 4).select("seq"), "SELECT event_id seq FROM events WHERE event_id % 4 = 1")
 add("hierarchy", lambda s, d: hierarchy.flat(hierarchy.build(vectors(s, d), limit=64, pruning="similarity"), THRESHOLD).select("seq", "cluster_id"))
+
+
+# Mentions of documents: titles are a text's first two words, each document links to one of fifty.
+def titled(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("document_id"), F.substring_index("text", " ", 2).alias("title"), "text", F.col("lang").alias("category"))
+
+
+def links(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents").select(F.col("doc_id").alias("seq"), F.col("doc_id").cast("string").alias("context_document_id"), (F.col("doc_id") % 50).cast("string").alias("label_document_id"), F.lit(2).alias("start_index"), F.lit(4).alias("end_index"))
+
+
+TITLED = (
+    "ti AS (SELECT CAST(doc_id AS VARCHAR) document_id, array_to_string(string_split(text, ' ')[1:2], ' ') title, text, lang category FROM documents), "
+    "li AS (SELECT doc_id seq, CAST(doc_id AS VARCHAR) context_document_id, CAST(doc_id % 50 AS VARCHAR) label_document_id FROM documents), "
+    "tk AS (SELECT document_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') t FROM ti), "
+    "lm AS (SELECT seq, array_to_string(t[1:2], ' ') left_context, array_to_string(t[3:5], ' ') mention, array_to_string(t[6:], ' ') right_context, lab.title entity_id, con.category, con.document_id "
+    "FROM li JOIN ti lab ON lab.document_id = label_document_id JOIN ti con ON con.document_id = context_document_id JOIN tk ON tk.document_id = context_document_id), "
+    "us AS (SELECT label_document_id document_id, min(seq) seq FROM li GROUP BY 1), "
+    "pg AS (SELECT seq, '' left_context, title mention, trim(CASE WHEN instr(text, title) > 0 AND title <> '' THEN substr(text, 1, instr(text, title) - 1) || substr(text, instr(text, title) + length(title)) ELSE text END, ' ') right_context, title entity_id, category, document_id "
+    "FROM us JOIN ti USING (document_id))"
+)
+add("mention_doc_join", lambda s, d: mention_ops.linked_mentions(links(s, d), titled(s, d)).drop("label_document_id"), f"WITH {TITLED} SELECT * FROM lm")
+add("entity_page_union", lambda s, d: mention_ops.entity_pages(links(s, d), titled(s, d)), f"WITH {TITLED} SELECT * FROM pg")
+add(
+    "mention_index",
+    lambda s, d: mention_ops.with_pages(links(s, d), titled(s, d)).select("document_id", "mention", "mention_index"),
+    f"WITH {TITLED}, al AS (SELECT *, 0 k FROM lm UNION ALL SELECT *, 1 FROM pg) SELECT document_id, mention, row_number() OVER (ORDER BY category, k, seq, document_id) - 1 mention_index FROM al",
+)
+add("category_count", lambda s, d: mention_ops.category_counts(links(s, d)), f"WITH {TITLED} SELECT label_document_id document_id, count(*) + 1 count FROM li GROUP BY 1")
+add("nil_filter", lambda s, d: mention_ops.not_nil(read(s, d, "events").select("event_id", F.when(F.col("event_type") == "view", mention_ops.NIL).otherwise(F.col("event_type")).alias("entity_id"))), "SELECT event_id, event_type entity_id FROM events WHERE event_type <> 'view'")
+add("valid_mention_filter", lambda s, d: read(s, d, "part").filter(mention_ops.is_valid(F.upper("p_type"), F.filter(F.split("p_name", " "), lambda x: F.length(x) > 4))).select("p_partkey"), "SELECT p_partkey FROM part WHERE NOT contains(upper(p_type), 'ACT') AND NOT contains(upper(p_type), 'NEG') AND len(list_filter(string_split(p_name, ' '), lambda x: length(x) > 4)) > 0")
+add("docid_regex", lambda s, d: read(s, d, "pages").select("page_id", corpora.docid(F.concat(F.lit("(("), F.col("url"), F.lit(") x) y"))).alias("docid")), "SELECT page_id, '(' || url || ') x' docid FROM pages")
+add("date_format", lambda s, d: events(s, d).select("seq", F.date_format("date", "dd/MM/yyyy").alias("date")), f"SELECT seq, strftime(date, '%d/%m/%Y') date FROM {EV}")
+add("composite_key", lambda s, d: parts(s, d).select("seq", mention_ops.composite("entity_id", "document_id").alias("key")), "SELECT p_partkey seq, p_brand || '::' || p_type AS \"key\" FROM part")
+add(
+    "pretty_mention",
+    lambda s, d: mention_ops.linked_mentions(links(s, d), titled(s, d)).select("seq", mention_ops.pretty().alias("shown")),
+    f"WITH {TITLED}, e AS (SELECT seq, " + ", ".join(f"regexp_replace({c}, '([{{{{}}}}_%])', '\\\\\\1', 'g') {c}" for c in ("left_context", "mention", "right_context")) + " FROM lm) "
+    "SELECT seq, '\\ldots ' || array_to_string(list_slice(string_split(left_context, ' '), greatest(len(string_split(left_context, ' ')) - 9, 1), len(string_split(left_context, ' '))), ' ') || ' \\emph{{' || mention || '}} ' || array_to_string(string_split(right_context, ' ')[1:10], ' ') || ' \\ldots' shown FROM e".replace("{{", "{").replace("}}", "}"),
+)
+add("split_routing", lambda s, d: mention_ops.routed(parts(s, d).select("seq", F.col("document_id").alias("pmid")), {n: parts(s, d).filter(F.col("seq") % 3 <= i).select(F.col("document_id").alias("id")).distinct() for i, n in enumerate(("train", "dev", "test"))}).select("seq", "split"), "SELECT p_partkey seq, CASE min(p_partkey % 3) OVER (PARTITION BY p_type) WHEN 0 THEN 'train' WHEN 1 THEN 'dev' ELSE 'test' END split FROM part")
+add("cluster_count", lambda s, d: assigned(s, d).agg(F.countDistinct("pred_id").alias("n_pred")), "SELECT count(DISTINCT p_name) n_pred FROM part")
+for kind in ("seen", "unseen"):
+    add(
+        f"eval_{kind}",
+        lambda s, d, kind=kind: metrics.allowed(assigned(s, d), parts(s, d), parts(s, d).filter("seq % 5 = 0 and entity_id < 'Brand#3'"), kind),
+        f"WITH {A} SELECT * FROM a WHERE true_id {'' if kind == 'seen' else 'NOT '}IN (SELECT true_id FROM a WHERE seq % 5 = 0 AND true_id < 'Brand#3')",
+    )
+add(
+    "split_samples",
+    lambda s, d: metrics.mixed_samples(assigned(s, d), parts(s, d).withColumn("left_context", F.lit("")).withColumn("right_context", F.lit(""))).select("kind", "seq"),
+    f"WITH {A}, sp AS (SELECT true_id FROM a GROUP BY 1 ORDER BY count(DISTINCT pred_id) DESC, min(seq) LIMIT 1), co AS (SELECT pred_id FROM a GROUP BY 1 ORDER BY count(DISTINCT true_id) DESC, min(seq) LIMIT 1) "
+    "SELECT 'split' kind, seq FROM (SELECT seq FROM a JOIN sp USING (true_id) ORDER BY seq LIMIT 5) UNION ALL SELECT 'conflated', seq FROM (SELECT min(seq) seq FROM a JOIN co USING (pred_id) GROUP BY true_id ORDER BY 1 LIMIT 5)",
+)
+BEST = "e AS (SELECT vec_id, embedding::DOUBLE[] v FROM embeddings), be AS (SELECT a.vec_id, max(list_dot_product(a.v, b.v)) best FROM e a LEFT JOIN e b ON b.vec_id < a.vec_id GROUP BY 1)"
+add(
+    "find_threshold",
+    lambda s, d: linking.find_threshold(vectors(s, d)).select(F.round("threshold", 9).alias("threshold"), "n_clusters", "met"),
+    f"WITH RECURSIVE {BEST}, tg AS (SELECT count(DISTINCT label) t, count(*) n FROM embeddings), "
+    "s(i, lo, hi, c) AS (SELECT 1, 0.0::DOUBLE, 1.0::DOUBLE, (SELECT count(*) FROM be WHERE best IS NULL OR best <= 0.5) UNION ALL "
+    "SELECT i + 1, CASE WHEN c < t THEN (lo + hi) / 2 ELSE lo END, CASE WHEN c < t THEN hi ELSE (lo + hi) / 2 END, "
+    "(SELECT count(*) FROM be WHERE best IS NULL OR best <= (CASE WHEN c < t THEN (lo + 3 * hi) / 4 ELSE (3 * lo + hi) / 4 END)) FROM s, tg WHERE abs(c - t) > n / 1000.0 AND i < 40) "
+    "SELECT round((lo + hi) / 2, 9) threshold, c n_clusters, abs(c - t) <= n / 1000.0 met FROM s, tg ORDER BY i DESC LIMIT 1",
+)
+add("bigram_fitted", lambda s, d: linking.bigram_weights(parts(s, d), vocabulary=linking.bigram_vocabulary(parts(s, d).filter("seq % 7 = 0"))).select("mention", "term", F.round("w", 6).alias("w")), f"WITH {S_.replace('nn AS (', 'fv AS (SELECT DISTINCT term FROM g JOIN part ON p_name = m WHERE p_partkey % 7 = 0), gg AS (SELECT * FROM g JOIN fv USING (term)), nn AS (').replace('FROM g GROUP BY 1)', 'FROM gg GROUP BY 1)').replace('FROM g JOIN nn', 'FROM gg JOIN nn')} SELECT m mention, term, round(w, 6) w FROM w")
+FEATURE_LOW = 0.6
+add(
+    "feature_score_low",
+    lambda s, d: text.feature_score(parts(s, d).filter("seq < 300").withColumnRenamed("document_id", "context"), FEATURE_LOW).agg(F.count("*").alias("n"), F.round(F.sum("score"), 3).alias("total")),
+    None,
+)
+
+
+def scored(spark: SparkSession, d: str) -> DataFrame:
+    """Each embedding's first eight components as scores, the first of them gold's."""
+    return read(spark, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("scores"))
+
+
+add("linking_loss", lambda s, d: scored(s, d).select("vec_id", F.round(training.nll(F.col("scores")), 6).alias("loss"), training.first_wins(F.col("scores")).alias("right")), "WITH c AS (SELECT vec_id, embedding[1:8]::DOUBLE[] s FROM embeddings) SELECT vec_id, round(ln(list_sum(list_transform(s, lambda x: exp(x)))) - s[1], 6) loss, s[1] >= list_max(s) AS \"right\" FROM c")
+add("linking_report", lambda s, d: training.linking_report(scored(s, d)).select("n", F.round("accuracy", 6).alias("accuracy"), F.round("loss", 6).alias("loss")), "WITH c AS (SELECT embedding[1:8]::DOUBLE[] s FROM embeddings) SELECT count(*) n, round(avg(CASE WHEN s[1] >= list_max(s) THEN 1.0::DOUBLE ELSE 0.0 END), 6) accuracy, round(avg(ln(list_sum(list_transform(s, lambda x: exp(x)))) - s[1]), 6) loss FROM c")
+add("triplet_hinge", lambda s, d: scored(s, d).select("vec_id", F.round(training.hinge(F.get("scores", F.lit(0)), F.get("scores", F.lit(1))), 6).alias("loss")), "SELECT vec_id, round(greatest(0.0::DOUBLE, 1.0 - embedding[1]::DOUBLE + embedding[2]::DOUBLE), 6) loss FROM embeddings")
+add("batch_negatives", lambda s, d: training.batch_negatives(vectors(s, d).select("seq", F.col("entity_id").alias("idx"), F.floor(F.col("seq") / 16).alias("batch"))), "SELECT a.vec_id seq, b.vec_id other, CASE WHEN a.label = b.label THEN 0 ELSE b.label END negative FROM embeddings a JOIN embeddings b ON a.vec_id // 16 = b.vec_id // 16")
+
+
+def coded(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    vocab = corpus.entity_vocab(train_of(events(spark, d))[0])
+    return corpus.entity_encode(events(spark, d).filter("seq % 20 = 0"), vocab).select("seq", "idx"), vocab
+
+
+add("weighted_negatives", lambda s, d: training.weighted_negatives(*coded(s, d), 8))
+add("uniform_negatives", lambda s, d: training.uniform_negatives(coded(s, d)[0], 1000, 8))
+add("encoded_mentions", lambda s, d: training.encoded(mention_ops.linked_mentions(links(s, d), titled(s, d)).select("seq", "left_context", "mention", "right_context"), 32).select("seq", F.array_join("tokens", " ").alias("tokens")))
+add("hierarchy_compat", lambda s, d: hierarchy.flat(hierarchy.build(vectors(s, d), limit=64, pruning="similarity", compat=True), THRESHOLD).select("seq", "cluster_id"))
+add("hierarchy_blocks", lambda s, d: hierarchy.flat(hierarchy.build(vectors(s, d).withColumn("block", F.col("entity_id") % 8), block="block", limit=64), THRESHOLD).select("block", "seq", "cluster_id"))

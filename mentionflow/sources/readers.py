@@ -23,14 +23,22 @@ def embeddings_tsv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).filter(F.trim("value") != "").select(cells[0].alias("uid"), cells[1].alias("entity_id"), F.transform(F.slice(cells, F.lit(3), F.greatest(F.size(cells) - 2, F.lit(0))), lambda x: x.try_cast("double")).alias("embedding"))
 
 
+def _blocks(spark: SparkSession, path: str) -> DataFrame:
+    """value: runs of lines up to a blank one, without CR. Files whose lines end with CR LF are told apart, so that one folder may have both kinds."""
+    parts = lambda sep: spark.read.option("lineSep", sep).text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    windows = F.broadcast(parts("\n\n").filter(F.col("value").contains("\r\n")).select("file").distinct())  # a row for each file
+    both = parts("\n\n").join(windows, "file", "left_anti").unionByName(parts("\r\n\r\n").join(windows, "file", "left_semi"))
+    return both.select(F.regexp_replace("value", "\r", "").alias("value"))
+
+
 def pubtator(spark: SparkSession, path: str) -> DataFrame:
     """pmid, title, abstract, mention_index, start, end, mention, types, entity_id, and both contexts: a row for each mention.
 
     Documents are parted by blank lines, any number of them; the last needs none. A bar in a title or abstract stays. Lines of fewer than six fields are left out.
     """
-    block = F.split(F.regexp_replace("value", r"\r", ""), "\n")
+    block = F.split("value", "\n")
     part = lambda kind: F.regexp_replace(F.get(F.filter("lines", lambda x: x.rlike(rf"^[^|\t]*\|{kind}\|")), F.lit(0)), rf"^[^|]*\|{kind}\|", "")
-    docs = spark.read.option("lineSep", "\n\n").text(path).filter(F.trim(F.regexp_replace("value", r"\s", "")) != "").select(F.filter(block, lambda x: x != "").alias("lines"))
+    docs = _blocks(spark, path).filter(F.trim(F.regexp_replace("value", r"\s", "")) != "").select(F.filter(block, lambda x: x != "").alias("lines"))
     whole = docs.select(F.substring_index(F.get("lines", F.lit(0)), "|", 1).alias("pmid"), part("t").alias("title"), part("a").alias("abstract"), F.filter(F.transform("lines", lambda x: F.split(x, "\t")), lambda c: F.size(c) >= 6).alias("cells"))
     each = whole.select("pmid", "title", "abstract", F.posexplode("cells").alias("mention_index", "c"))
     text = F.concat_ws(" ", "title", "abstract")
@@ -57,8 +65,25 @@ def vocabulary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def assignments(spark: SparkSession, path: str) -> DataFrame:
-    """true_id, pred_id from lines of two fields parted by a comma, spaces around them dropped. An assignment file that a seq column accompanies has it third."""
-    return spark.read.schema("true_id string, pred_id string, seq long").option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path)
+    """true_id, pred_id, seq from lines of two fields parted by a comma, spaces around them dropped. seq is the third field if there is one, else it numbers the lines in their order."""
+    from mentionflow.operators.ordered import row_number
+
+    read = spark.read.schema("true_id string, pred_id string, seq long").option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path)
+    numbered = row_number(read.withColumn("_at", F.monotonically_increasing_id()), "_at", "_n")
+    return numbered.select("true_id", "pred_id", F.coalesce("seq", F.col("_n")).cast("long").alias("seq"))
+
+
+def numbered_mentions(spark: SparkSession, path: str, schema: str = MENTION) -> DataFrame:
+    """mentions() with seq from 0 in the order of lines where the lines have none."""
+    from mentionflow.operators.ordered import row_number
+
+    read = row_number(mentions(spark, path, schema).withColumn("_at", F.monotonically_increasing_id()), "_at", "_n")
+    return read.withColumn("seq", F.coalesce("seq", F.col("_n")).cast("long")).drop("_at", "_n")
+
+
+def model(spark: SparkSession, path: str) -> DataFrame:
+    """A model table that writers.model() has written, such as a vectoriser's vocabulary."""
+    return spark.read.parquet(path)
 
 
 def dendrogram(spark: SparkSession, path: str) -> DataFrame:

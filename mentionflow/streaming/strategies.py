@@ -59,8 +59,8 @@ class Linker:
 
 
 def link(df: DataFrame, strategy: str, threshold: float, limit: int | None = None, seq: str = "seq", vector: str = "embedding", block: str | None = None) -> DataFrame:
-    """block, seq, link_to, cluster_id. A block is one stream, worked through in order by one task; without a block column all rows are one stream."""
-    own = df.select((F.col(block) if block else F.lit(0)).cast("string").alias("block"), F.col(seq).alias("seq"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    """block, seq, link_to, cluster_id. A block is one stream, worked through in order by one task; without a block column all rows are one stream. Rows with a null vector take no part."""
+    own = df.filter(F.col(vector).isNotNull()).select((F.col(block) if block else F.lit(0)).cast("string").alias("block"), F.col(seq).alias("seq"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         linker = Linker(strategy, threshold, limit)
@@ -72,10 +72,10 @@ def link(df: DataFrame, strategy: str, threshold: float, limit: int | None = Non
 
 
 def link_stream(stream: DataFrame, strategy: str, threshold: float, limit: int, seq: str = "seq", vector: str = "embedding", block: str = "block") -> DataFrame:
-    """The same over a stream, with the kernel's active mentions as state; rows are sorted by seq within each micro-batch."""
+    """The same over a stream, with the kernel's active mentions as state; rows are sorted by seq within each micro-batch, those with a null vector are left out."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-    own = stream.select(F.col(block).cast("string").alias("block"), F.col(seq).alias("seq"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    own = stream.filter(F.col(vector).isNotNull()).select(F.col(block).cast("string").alias("block"), F.col(seq).alias("seq"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         linker = Linker(strategy, threshold, limit)

@@ -225,7 +225,7 @@ def train_me(spark, a):
     writers.metrics(history, f"{a.output_dir}/metrics")
 
 
-@command("train_el", ("--train", {"required": True}), ("--dev", {"required": True}), ("--test", {"required": True}), ("--output_dir", {"required": True}), ("--epochs", {"type": int, "default": 10}), ("--lr", {"type": float, "default": 3e-2}), ("--max_length", {"type": int, "default": 128}), ("--negatives", {"type": int, "default": 64}), SEED)
+@command("train_el", ("--train", {"required": True}), ("--dev", {"required": True}), ("--test", {"required": True}), ("--output_dir", {"required": True}), ("--epochs", {"type": int, "default": 10}), ("--lr", {"type": float, "default": 3e-2}), ("--max_length", {"type": int, "default": 128}), ("--margin", {"type": float, "default": 1.0}), ("--negatives", {"type": int, "default": 64}), SEED)
 def train_el(spark, a):
     """The encoder is trained by triplets; an entity's vector is its training mentions' mean. Dev mentions are scored against their entity and weighted negatives; test mentions are embedded."""
     train_me(spark, a)

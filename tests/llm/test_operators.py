@@ -220,6 +220,66 @@ def test_maxent_counts(docs):
         assert r["score"] < 0
 
 
+def test_maxent_probabilities_sum_to_one():
+    rng = np.random.default_rng(9)
+    n, width = 3000, maxent.WIDTH
+    a, b, s, t = (rng.integers(0, k, n) for k in (40, 9, 30, 30))
+    s, t = a % 30, b  # a history has one row of each table
+    base, target = np.zeros(n, np.int64), (a + rng.integers(0, 5, n)) % width
+    prior = np.log(rng.dirichlet(np.ones(width), 1)).astype(np.float32)
+    probes = [(int(a[i]), int(b[i]), int(s[i]), int(t[i])) for i in range(0, n, 100)] + [(99, 3, 2, 3)]  # the last history was never learned
+    more = np.repeat(np.array(probes), width, axis=0)
+    whole = [np.concatenate([x, more[:, k]]) for k, x in enumerate((a, b, s, t))]
+    ln = maxent.softmax_scores(*whole, prior, np.concatenate([base, np.zeros(len(more), np.int64)]), np.concatenate([target, np.tile(np.arange(width), len(probes))]), np.concatenate([np.ones(n, bool), np.zeros(len(more), bool)]))
+    assert np.exp(ln[n:]).reshape(-1, width).sum(1) == pytest.approx(np.ones(len(probes)), abs=1e-4)
+    assert ln[:n].mean() > prior[0, target].mean() + 0.5
+
+
+def test_maxent_leaves_share_all_their_mass():
+    rng = np.random.default_rng(10)
+    h, k, _ = maxent.tokens_of([" ".join(f"w{i}" for i in rng.zipf(1.3, 4000) if i < 9000)])
+    words, first, counts = np.unique(h[h != maxent.END], return_index=True, return_counts=True)
+    tails = k[h != maxent.END][first]
+    mass = {int(x): (int(counts[tails == x].sum()), int((tails == x).sum())) for x in np.unique(tails)}
+    order = np.argsort(-counts)
+    known = maxent.Vocabulary([(int(words[i]), int(counts[i]), int(tails[i])) for i in order[:2000]], [], mass, 1, 1, len(h))
+    assert (known.n, known.v) == (counts.sum() + 1, len(words) + 1)
+    leaves, total = known.leaves(words, tails), np.zeros(maxent.LEAVES)
+    np.add.at(total, leaves, np.where(known.single[leaves], 1.0, (counts + 1) * 10.0 ** known.lower[leaves]))
+    some = np.unique(leaves)
+    total[~known.single] += 10.0 ** known.lower[~known.single]
+    assert total[some] == pytest.approx(np.ones(len(some)))
+    assert np.exp(known.class_prior).sum() == pytest.approx(1, abs=1e-4) and np.exp(known.leaf_prior).sum(1) == pytest.approx(np.ones(maxent.WIDTH), abs=1e-4)
+
+
+def test_maxent_tokens(monkeypatch):
+    texts = ["A b\x0bB  c\r\n", "", None, "  ", "é" * 70_000 + " x", "y" * 200, "\u00a0a \u3000", "a" * 65_537, "a" * 65_538]
+    monkeypatch.setattr(maxent, "SLICE", 64)
+    names: dict = {}
+    h, _, sizes = maxent.tokens_of(texts)
+    at = 0
+    for t, n in zip(texts, sizes.tolist(), strict=True):
+        want = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        assert n == len(want) + 1 and h[at + n - 1] == maxent.END
+        for w, x in zip(want, h[at : at + n - 1].tolist(), strict=True):
+            assert names.setdefault(w, x) == x
+        at += n
+    assert len(set(names.values())) == len(names)
+
+
+def test_maxent_does_not_depend_on_partitions(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    rows = [(i, " ".join(rng.choice(list("abcdefgh"), int(rng.integers(0, 60))))) for i in range(300)] + [(i, "the same words again") for i in range(300, 400)] + [(7, None), (None, "z")]
+    df = spark.createDataFrame([(k, t, 0.5) for k, t in rows], "doc_id long, text string, score double")
+    keyed = lambda found: Counter((r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 4)) for r in found.collect())
+    monkeypatch.setattr(maxent, "SHARD", 1000)
+    one = keyed(maxent.op7(df.repartition(1)))
+    assert sum(one.values()) == len(rows) and one == keyed(maxent.op7(df.repartition(5)))
+    held = [r for r in maxent.op7(df).collect() if r["held_out"] and 299 < (r["doc_id"] or 0)]
+    assert held and all(r["score"] > r["base_score"] for r in held)
+    assert maxent.op7(df.limit(0)).count() == 0
+
+
 def shingles(t):
     w = re.findall(r"\w+", (t or "").lower())
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()

@@ -198,9 +198,26 @@ def build(df: DataFrame, seq: str = "seq", vector: str = "embedding", block: str
 
 
 def flat(table: DataFrame, threshold: float) -> DataFrame:
-    """block, seq, cluster_id: the topmost node over each point whose score is threshold or more, else the point's own node."""
-    from .trees import cut, leaf_paths
+    """block, seq, cluster_id (block/node): the topmost node over each point whose score is threshold or more, else the point's own node. Each block's tree is walked by one task, as it was built."""
 
-    named = table.withColumn("uid", F.concat_ws("/", "block", "node")).withColumn("parent", F.when(F.col("parent").isNotNull(), F.concat_ws("/", "block", "parent")))
-    found = cut(leaf_paths(named.select("uid", "parent")), named.filter("score is not null").select(F.col("uid").alias("node"), "score"), threshold)
-    return found.join(named.filter("seq is not null").select(F.col("uid").alias("leaf"), "block", "seq"), "leaf").select("block", "seq", "cluster_id")
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        block = pdf["block"].iloc[0]
+        score = dict(zip(pdf["node"].tolist(), pdf["score"].tolist(), strict=True))
+        below: dict[int, list[int]] = {}
+        todo = []
+        for node, parent in zip(pdf["node"].tolist(), pdf["parent"].tolist(), strict=True):
+            if pd.isna(parent):
+                todo.append((node, None))
+            else:
+                below.setdefault(int(parent), []).append(node)
+        named = {}
+        while todo:
+            node, top = todo.pop()
+            if top is None and score[node] is not None and score[node] >= threshold:
+                top = node
+            named[node] = node if top is None else top
+            todo += [(c, top) for c in below.get(node, ())]
+        points = pdf[pdf["seq"].notna()]
+        return pd.DataFrame({"block": points["block"], "seq": points["seq"].astype("int64"), "cluster_id": [f"{block}/{named[n]}" for n in points["node"]]})
+
+    return table.groupBy("block").applyInPandas(run, "block string, seq long, cluster_id string")

@@ -14,7 +14,7 @@ def rows(columns, got):
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLE_SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("part", "events", "documents", "embeddings", "conversations"):
+    for t in ("part", "events", "documents", "embeddings", "conversations", "pages"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.sql(catalogue.ORACLE_SQL[name])
     got = catalogue.QUERIES[name](spark, SF)

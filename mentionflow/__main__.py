@@ -105,7 +105,7 @@ def nn_thresh(spark, a):
     write_clusters(df, found, a.output)
 
 
-@command("cluster_w_grinch", IN, OUT, THRESHOLD, ("--limit", {"type": int}), ("--strategy", {"default": "similarity", "choices": hierarchy.PRUNINGS}), ("--pruning_threshold", {"type": float}), ("--tree", {}))
+@command("cluster_hierarchy", IN, OUT, THRESHOLD, ("--limit", {"type": int}), ("--strategy", {"default": "similarity", "choices": hierarchy.PRUNINGS}), ("--pruning_threshold", {"type": float}), ("--tree", {}))
 def cluster_hierarchy(spark, a):
     df = numbered(spark, a.input)
     table = trees._checkpointed(hierarchy.build(df, limit=a.limit, pruning=a.strategy, pruning_threshold=a.pruning_threshold))
@@ -204,7 +204,7 @@ def encode_mentions(spark, a):
     _encode(spark, a, "mention")
 
 
-@command("encode_w_blink", IN, OUT, MODEL, ("--max_length", {"type": int, "default": 256}))
+@command("encode_quota", IN, OUT, MODEL, ("--max_length", {"type": int, "default": 256}))
 def encode_quota(spark, a):
     _encode(spark, a, "quota")
 

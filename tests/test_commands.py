@@ -43,7 +43,7 @@ def test_clusterers(spark, files, capsys):
     assert len(set(assigned(spark, files / "n").values())) <= 8
     run("nn_thresh", "--input", e, "--output", files / "n2", "--threshold", 0.8, "--limit", 6, "--strategy", "cache")
     assert len(assigned(spark, files / "n2")) == 40
-    run("cluster_w_grinch", "--input", e, "--output", files / "h", "--threshold", 0.8, "--tree", files / "t")
+    run("cluster_hierarchy", "--input", e, "--output", files / "h", "--threshold", 0.8, "--tree", files / "t")
     assert len(assigned(spark, files / "h")) == 40
     run("dendrogram_purity", "--tree", files / "t")
     assert float(capsys.readouterr().out.split()[-1]) > 0.5
@@ -75,7 +75,7 @@ def test_encoders(spark, files, capsys):
     run("train_el", "--train", m, "--dev", m, "--test", m, "--output_dir", files / "model", "--epochs", 2, "--max_length", 16, "--negatives", 2)
     assert "accuracy" in capsys.readouterr().out
     assert spark.read.json(str(files / "model" / "metrics")).count() == 2
-    for name in ("embed", "encode_mentions", "encode_w_blink"):
+    for name in ("embed", "encode_mentions", "encode_quota"):
         run(name, "--input", m, "--output", files / name, "--model", files / "model", "--max_length", 24)
         assert readers.embeddings_tsv(spark, str(files / name)).filter("size(embedding) = 64").count() == 40
     run("pretokenize", "--input", m, "--output", files / "tokens", "--max_length", 12)

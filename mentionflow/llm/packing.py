@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import itertools
 import re
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -40,6 +41,13 @@ def _byte_letters() -> dict[int, int]:
     return {b: b if b in own else next(rest) for b in range(256)}
 
 
+_PACKERS = [struct.Struct(f"<{n}I").pack for n in range(64)]
+
+
+def _packed(ids: list[int]) -> bytes:
+    return _PACKERS[len(ids)](*ids) if len(ids) < len(_PACKERS) else struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordBpe:
     """Ids of a tokenizer file whose pre-tokens never hold white space, word by word with a memory."""
 
@@ -47,7 +55,7 @@ class WordBpe:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(blob)
-        self.letters = _byte_letters()
+        self.tokenize, self.letters = self.tokenizer.model.tokenize, _byte_letters()
         self.words: tuple[dict, dict] = ({}, {})
         self.pieces: tuple[dict, dict] = ({}, {})
 
@@ -61,33 +69,54 @@ class WordBpe:
                     found[i] = self._word(words[i])
         return b"".join(found)
 
-    def _kept(self, which: str, key: str, make) -> bytes:
-        new, old = getattr(self, which)
-        made = old.get(key)
+    def _turned(self, which: str) -> tuple[dict, dict]:
+        both = {}, getattr(self, which)[0]
+        setattr(self, which, both)
+        return both
+
+    def _word(self, word: str) -> bytes:
+        new, old = self.words
+        made = old.get(word) or new.get(word)
         if made is None:
-            made = new[key] if key in new else make(key)
-        if len(key) <= 64:
+            if word.isascii() and word.isalpha():
+                made = self._piece(word.lower())
+            else:
+                made = self._made(word)
+        if len(word) <= 64:
             if len(new) >= MEMO:
-                new, old = {}, new
-                setattr(self, which, (new, old))
-            new[key] = made
+                new, old = self._turned("words")
+            new[word] = made
         return made
 
-    def _word(self, word: str) -> bytes:
-        return self._kept("words", word, self._made)
-
     def _made(self, word: str) -> bytes:
         if not word:
             return b""
+        if word.isascii():
+            if not word.isprintable() or "<|" in word:
+                return self._whole(word)
+            return b"".join(map(self._piece, PLAIN.findall(word.lower())))
         if not LATIN.fullmatch(word) or "<|" in word or not unicodedata.is_normalized("NFC", word):
-            return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+            return self._whole(word)
         low = word.lower()
-        parts = PLAIN.findall(low) if low.isascii() else PIECE.findall(low)
-        return b"".join([self.pieces[0].get(p) or self._kept("pieces", p, self._piece) for p in parts])
+        return b"".join(map(self._piece, PLAIN.findall(low) if low.isascii() else PIECE.findall(low)))
+
+    def _whole(self, word: str) -> bytes:
+        return _packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
 
     def _piece(self, piece: str) -> bytes:
-        letters = piece if piece.isascii() else piece.encode().decode("latin1").translate(self.letters)
-        return np.array([t.id for t in self.tokenizer.model.tokenize(letters)], "<u4").tobytes()
+        new, old = self.pieces
+        made = new.get(piece)
+        if made is not None:
+            return made
+        made = old.get(piece)
+        if made is None:
+            letters = piece if piece.isascii() else piece.encode().decode("latin1").translate(self.letters)
+            made = _packed([t.id for t in self.tokenize(letters)])
+        if len(piece) <= 64:
+            if len(new) >= MEMO:
+                new, old = self._turned("pieces")
+            new[piece] = made
+        return made
 
 
 _TOKENIZERS: dict[int, WordBpe] = {}

@@ -5,14 +5,29 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+T = TypeVar("T")
+
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
+_KEPT: dict[object, object] = {}
+
+
+def kept(key: object, make: Callable[[], T]) -> T:
+    """What make() gives, kept in a worker for its next tasks until another key is asked for: operators that take turns in a worker don't add up."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, learns, with_row
+from .common import held_out, kept, learns, with_row
 
 BLOCK, LOCKSTEP = 1024, 4096
 SPACE, OTHER = 0, 1
@@ -213,17 +213,6 @@ def references(documents: DataFrame, key: str, text: str, lang: str, rows: int,
     return {name: " ".join(texts) for name, texts in whole.items() if texts}
 
 
-_PARSERS: dict[tuple, Parser] = {}
-
-
-def _parser(refs: dict[str, str]) -> Parser:
-    key = tuple(sorted(refs.items()))
-    if key not in _PARSERS:
-        _PARSERS.clear()
-        _PARSERS[key] = Parser(refs)
-    return _PARSERS[key]
-
-
 def identify(df: DataFrame, refs: dict[str, str], key: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
     """key, lang_pred, score, cost, n_letters, phrase_rate of each row.
 
@@ -237,7 +226,7 @@ def identify(df: DataFrame, refs: dict[str, str], key: str = "doc_id", text: str
     given, schema = with_row(df, key, text, "lang_pred string, score double, cost double, n_letters long, phrase_rate double", whole)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _parser(shared.value)
+        own = kept(("language", *sorted(shared.value.items())), lambda: Parser(shared.value))
         for batch in batches:
             for start in range(0, batch.num_rows, 2048):
                 part = batch.slice(start, 2048)

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import kept, materialize
 
 SIZE, UNIT, END = 2048, 4, 1
 #: Parts that each length class is ranked in, at least; rows of all classes for one more part.
@@ -56,6 +56,9 @@ class WordBpe:
 
         self.tokenizer = Tokenizer.from_str(blob)
         self.tokenize, self.letters = self.tokenizer.model.tokenize, _byte_letters()
+        self.forget()
+
+    def forget(self) -> None:
         self.words: tuple[dict, dict] = ({}, {})
         self.pieces: tuple[dict, dict] = ({}, {})
 
@@ -119,13 +122,8 @@ class WordBpe:
         return made
 
 
-_TOKENIZERS: dict[int, WordBpe] = {}
-
-
 def _tokenizer(blob: str) -> WordBpe:
-    if hash(blob) not in _TOKENIZERS:
-        _TOKENIZERS[hash(blob)] = WordBpe(blob)
-    return _TOKENIZERS[hash(blob)]
+    return kept(("words", blob), lambda: WordBpe(blob))
 
 
 def pieces(df: DataFrame, tokenizer_file: str, key: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
@@ -148,6 +146,7 @@ def pieces(df: DataFrame, tokenizer_file: str, key: str = "doc_id", text: str =
                     tokens.append(len(ids) // 4)
                     crcs.append([zlib.crc32(ids[at : at + 4 * size]) for at in range(0, len(ids), 4 * size)])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(tokens, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], [key, "tokens", "crcs"])
+        own.forget()
 
     return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, tokens long, crcs array<bigint>")
 

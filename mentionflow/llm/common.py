@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -28,6 +30,27 @@ def kept(key: object, make: Callable[[], T]) -> T:
     return _KEPT[key]
 
 
+def give_back() -> None:
+    """Returns to the system what the worker has freed, which the allocators else hold for the next task, of whatever operator."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
+
+
+def freeing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, a task's function, in a worker that holds little of earlier tasks and operators: what they kept() goes first, unless run keeps something itself."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            _KEPT.clear()
+        give_back()
+        yield from run(batches)
+        give_back()
+
+    return task
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -68,13 +91,23 @@ atexit.register(discard)
 
 
 def with_row(df: DataFrame, key: str, text: str, found: str, whole: bool) -> tuple[DataFrame, StructType]:
-    """The rows' key and text, and with whole all their columns as the struct own; and the schema of a map over them that gives the columns found instead of the text."""
+    """The rows' key and text, or with whole all their columns as the struct own, for parts(); and the schema of a map over them that gives the columns found instead of the text."""
     spark_type = StructType.fromDDL(found)
-    given = df.select(F.col(key), F.col(text).alias("_text"), F.struct(*df.columns).alias("own")) if whole else df.select(F.col(key), F.col(text).alias("_text"))
+    given = df.select(F.struct(*df.columns).alias("own")) if whole else df.select(F.col(key), F.col(text).alias("_text"))
     own = [StructField("own", given.schema["own"].dataType)] if whole else []
     return given, StructType([StructField(key, df.schema[key].dataType), *own, *spark_type.fields])
 
 
+def parts(batch: pa.RecordBatch, key: str, text: str, whole: bool, rows: int) -> Iterator[tuple[pa.Array, list[pa.Array]]]:
+    """Of each so many rows of with_row()'s: the texts, and the columns that come before those found."""
+    for start in range(0, batch.num_rows, rows):
+        own = batch.slice(start, rows).columns
+        if whole:
+            yield own[0].field(text), [own[0].field(key), own[0]]
+        else:
+            yield own[1], own[:1]
+
+
 #: A key that this share of the rows has is joined by broadcast; there are no more such keys than the share's inverse.
 COMMON = 1e-3
 

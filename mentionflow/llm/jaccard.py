@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import common_join, materialize
+from .common import common_join, freeing, materialize
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: 40 bands of 6 values: a pair at similarity 0.8 shares none with probability 6e-6, at 0.85 with 2e-9.
@@ -193,7 +193,7 @@ def linked(rows: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
     """
     kind = rows.schema["own"].dataType[key].dataType.simpleString()
     read = rows.select("row", F.col("own")[key].alias("key"), F.col("own")[text].alias("text"))
-    sketched = materialize(read.mapInArrow(_sketch, f"row long, key {kind}, mark string, keys array<bigint>"))
+    sketched = materialize(read.mapInArrow(freeing(_sketch), f"row long, key {kind}, mark string, keys array<bigint>"))
     classes = materialize(sketched.filter("mark is not null").groupBy("mark").agg(F.min("row").alias("id"), F.min("key").alias("class"), F.count("*").alias("copies"), F.first("keys").alias("keys")))
     bands = classes.select("id", F.explode("keys").alias("band"))
     shared = bands.groupBy("band").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least <> most").select("band", "least")

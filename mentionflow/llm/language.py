@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, kept, learns, with_row
+from .common import freeing, held_out, kept, learns, parts, with_row
 
 BLOCK, LOCKSTEP = 1024, 4096
 SPACE, OTHER = 0, 1
@@ -228,9 +228,8 @@ def identify(df: DataFrame, refs: dict[str, str], key: str = "doc_id", text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = kept(("language", *sorted(shared.value.items())), lambda: Parser(shared.value))
         for batch in batches:
-            for start in range(0, batch.num_rows, 2048):
-                part = batch.slice(start, 2048)
-                codes = [own.coded(x.as_py() or "") for x in part.column(1)]
+            for texts, before in parts(batch, key, text, whole, 2048):
+                codes = [own.coded(x.as_py() or "") for x in texts]
                 letters = np.array([int((x != SPACE).sum()) for x in codes], np.int64)
                 names, score = np.full(len(codes), "und", object), np.zeros(len(codes))
                 cost, rate = np.full(len(codes), np.nan), np.full(len(codes), np.nan)
@@ -243,9 +242,9 @@ def identify(df: DataFrame, refs: dict[str, str], key: str = "doc_id", text: str
                     ranked = np.sort(costs, axis=1)
                     cost[some] = ranked[:, 0]
                     score[some] = ranked[:, 1] / (ranked[:, 0] + ranked[:, 1]) if len(own.names) > 1 else 1.0
-                yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], pa.array(names.tolist(), pa.string()), pa.array(score), pa.array(cost, from_pandas=True), pa.array(letters), pa.array(rate, from_pandas=True)], schema.names)
+                yield pa.RecordBatch.from_arrays([*before, pa.array(names.tolist(), pa.string()), pa.array(score), pa.array(cost, from_pandas=True), pa.array(letters), pa.array(rate, from_pandas=True)], schema.names)
 
-    return given.mapInArrow(run, schema)
+    return given.mapInArrow(freeing(run, keeps=True), schema)
 
 
 def learn(documents: DataFrame, rows: int = 64, chars: int = 32_000) -> dict[str, str]:

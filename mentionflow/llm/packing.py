@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import kept, materialize
+from .common import freeing, kept, materialize
 
 SIZE, UNIT, END = 2048, 4, 1
 #: Parts that each length class is ranked in, at least; rows of all classes for one more part.
@@ -148,7 +148,7 @@ def pieces(df: DataFrame, tokenizer_file: str, key: str = "doc_id", text: str =
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(tokens, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], [key, "tokens", "crcs"])
         own.forget()
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, tokens long, crcs array<bigint>")
+    return df.select(key, text).mapInArrow(freeing(run, keeps=True), f"`{key}` {kind}, tokens long, crcs array<bigint>")
 
 
 def knapsack(values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:

@@ -12,6 +12,7 @@ word models haven't seen.
 
 from __future__ import annotations
 
+import copy
 import math
 import re
 from collections import Counter
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, held_out, learns, materialize, with_row
+from .common import bucket_of, freeing, held_out, learns, materialize, parts, with_row
 
 WORD = re.compile(r"\w+")
 WINDOW, DISCOUNT = 3, 0.75
@@ -125,6 +126,12 @@ class Spelling:
     def word(self, w: str, c: int) -> float:
         return math.exp(sum(math.log(self.probability(g, c)) for g in grams_of(w)))
 
+    def ratios_only(self) -> Spelling:
+        """Without the counts, which log_ratio() doesn't need."""
+        out = copy.copy(self)
+        del out.long, out.mid, out.sums, out.shared, out.shared_sums, out.last
+        return out
+
     def log_ratio(self, w: str) -> float:
         out = 0.0
         long, mid = self.ratios
@@ -156,6 +163,12 @@ class Model:
         self.weights = np.zeros(FEATURES + 1)
         self.prior = 0.0
 
+    def scorer(self) -> Model:
+        """What scoring needs, for the workers."""
+        out = copy.copy(self)
+        out.spelling, out.memo = self.spelling.ratios_only(), {}
+        return out
+
     def _ids(self, hashes: np.ndarray) -> np.ndarray:
         """From 1 on; 0 for unknown words."""
         if not len(self.hashes):
@@ -292,7 +305,7 @@ def learn(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
     limits = [min(1 << 30, (sample << 30) // counts[c]) for c in CLASSES]
     known = known.filter(part < F.when(F.col("toxic") == 1, limits[1]).otherwise(limits[0]))
     texts = documents.select(key, text).join(F.broadcast(known), key).select("toxic", F.col(text).alias("t"), (bucket_of(F.col(key), 5) == 1).alias("fits"))
-    pairs = materialize(texts.filter("not fits").select("toxic", "t").mapInArrow(_pairs, "pair string, n0 long, n1 long").groupBy("pair").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
+    pairs = materialize(texts.filter("not fits").select("toxic", "t").mapInArrow(freeing(_pairs), "pair string, n0 long, n1 long").groupBy("pair").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
     v, w = F.substring_index("pair", " ", 1), F.substring_index("pair", " ", -1)
     some = lambda x: F.sum((F.col(x) > 0).cast("long"))
     # k: continuation counts; s and t: how many words, and how many distinct ones, come after.
@@ -302,7 +315,7 @@ def learn(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
     total = [sums[f"total{c}"] or 0 for c in CLASSES]
     left = [DISCOUNT * sums[f"kinds{c}"] / total[c] if total[c] else 1.0 for c in CLASSES]
     long: dict[int, dict[str, int]] = {c: {} for c in CLASSES}
-    for r in words.select("w", "k0", "k1").mapInArrow(_grams, "g string, n0 long, n1 long").groupBy("g").agg(F.sum("n0"), F.sum("n1")).toLocalIterator():
+    for r in words.select("w", "k0", "k1").mapInArrow(freeing(_grams), "g string, n0 long, n1 long").groupBy("g").agg(F.sum("n0"), F.sum("n1")).toLocalIterator():
         for c in CLASSES:
             if r[1 + c]:
                 long[c][r[0]] = r[1 + c]
@@ -318,7 +331,7 @@ def learn(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
             yield pd.DataFrame(out | {f"{x}{c}": y[c] for x, y in (("p", p), ("rest", rest)) for c in CLASSES} | {f"s{c}": pdf[f"s{c}"] for c in CLASSES})
 
     shape = "h long, single double, gap double, p0 double, p1 double, rest0 float, rest1 float, s0 float, s1 float"
-    h, single, gap, *parts = _arrays(words.filter(F.col("k0") + F.col("k1") >= CUTOFF).mapInPandas(singles, shape))
+    h, single, gap, *parts = _arrays(words.filter(F.col("k0") + F.col("k1") >= CUTOFF).mapInPandas(freeing(singles), shape))
     order = np.argsort(h)
     table = documents.sparkSession.sparkContext.broadcast((h[order], [x[order] for x in parts]))
 
@@ -332,9 +345,9 @@ def learn(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
             p = [np.maximum(pdf[n][known] - DISCOUNT, 0) / np.maximum(s[v], 1) + rest[v] * p[w] for n, s, rest, p in (("n0", s0, rest0, p0), ("n1", s1, rest1, p1))]
             yield pd.DataFrame({"v": both[0][known], "w": both[1][known], "ratio": np.log(p[1] / p[0])})
 
-    model = Model(spelling, math.log(left[1] / left[0]), (h, single, gap), _arrays(pairs.filter(F.col("n0") + F.col("n1") >= CUTOFF).mapInPandas(ratios, "v long, w long, ratio float")))
+    model = Model(spelling, math.log(left[1] / left[0]), (h, single, gap), _arrays(pairs.filter(F.col("n0") + F.col("n1") >= CUTOFF).mapInPandas(freeing(ratios), "v long, w long, ratio float")))
     table.unpersist()
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    shared = documents.sparkSession.sparkContext.broadcast(model.scorer())
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -344,7 +357,7 @@ def learn(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x) for x in f.T)], ["toxic", *(f"f{i}" for i in range(FEATURES))])
 
     names = [f"f{i}" for i in range(FEATURES)]
-    c, *found = _arrays(texts.filter("fits").select("toxic", "t").mapInArrow(measure, ", ".join(["toxic int", *(f"{x} double" for x in names)])).orderBy("toxic", *names))
+    c, *found = _arrays(texts.filter("fits").select("toxic", "t").mapInArrow(freeing(measure), ", ".join(["toxic int", *(f"{x} double" for x in names)])).orderBy("toxic", *names))
     model.fit(np.stack(found, axis=1), c, counts[1] / (counts[0] + counts[1]))
     sent.unpersist()
     shared.unpersist()
@@ -356,18 +369,17 @@ def score(df: DataFrame, model: Model | None, key: str = "doc_id", text: str = "
 
     One row comes out for each row that goes in; with whole its columns come too, as the struct own, else other columns are not read.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = df.sparkSession.sparkContext.broadcast(model.scorer() if model else None)
     given, schema = with_row(df, key, text, "score double", whole)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                made = own.scores([words_of(x.as_py()) for x in part.column(1)]) if own else np.zeros(part.num_rows)
-                yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], pa.array(made, pa.float64())], schema.names)
+            for texts, before in parts(batch, key, text, whole, 512):
+                made = own.scores([words_of(x.as_py()) for x in texts]) if own else np.zeros(len(texts))
+                yield pa.RecordBatch.from_arrays([*before, pa.array(made, pa.float64())], schema.names)
 
-    return given.mapInArrow(run, schema)
+    return given.mapInArrow(freeing(run), schema)
 
 
 def op6(documents: DataFrame, labels: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from mentionflow.llm import common, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -40,3 +41,25 @@ def test_run(spark, folder):
     assert {r["doc_id"] for r in pieces} == {i for i in range(160) if i % 4} | {500, None}
     assert max(r["offset"] + r["length"] for r in pieces) <= 2048
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language", "toxicity", "near_duplicates", "packing"]
+
+
+def test_workers_hold_one_operator(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").coalesce(1)
+    model = toxicity.learn(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    texts = [toxicity.words_of(r["text"]) for r in docs.collect()]
+    assert not hasattr(model.scorer().spelling, "long") and (model.scorer().scores(texts) == model.scores(texts)).all()
+    # What a kind of task keeps is gone in the next kind's task, and each text is sent once.
+    common.kept("parser", lambda: "parser")
+    left = []
+
+    def run(batches):
+        left.append(len(common._KEPT))
+        yield from batches
+
+    assert [list(common.freeing(run, keeps)(iter([1]))) for keeps in (True, False)] == [[1], [1]]
+    assert left == [1, 0]
+    given, schema = common.with_row(docs, "doc_id", "text", "score double", True)
+    assert given.columns == ["own"] and schema.names == ["doc_id", "own", "score"]
+    sent = given.toArrow().combine_chunks().to_batches()[0]
+    found = [(k, t) for texts, (keys, own) in common.parts(sent, "doc_id", "text", True, 7) for k, t in zip(keys.to_pylist(), texts.to_pylist(), strict=True)]
+    assert found == [(r["doc_id"], r["text"]) for r in docs.collect()]

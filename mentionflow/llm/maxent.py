@@ -6,18 +6,19 @@ both words (the second is a skip). The most frequent words are classes of their
 class the OWN most frequent words are leaves of their own, the others fall into leaves by their first byte. Within a leaf a token has its add-one
 share, with one place for all unknown tokens.
 
-The weights are sharded by the word before, so the model grows with the corpus: each distinct word and n-gram has its rows, in one shard. All tokens
-are dealt to the shards as packed arrays; a shard's task improves its rows by gradient updates on all learning tokens that use them, in numpy batches of
-distinct histories, then scores all its tokens. The sums go back to the documents. A shard has about SHARD tokens: a word too frequent for one is
-split by the word before it, and a pair of such words by document; each part then has rows of its own. As each token is the word before another,
-its shard also knows its count.
+All weights are learned from all learning tokens that use them. The rows of leaves are few, so tasks tally the whole corpus for them first: how often two
+leaves stand before a token, and what comes after each. The other rows are sharded by the word before, so the model grows with the corpus: each distinct word
+and n-gram has its rows, in one shard. All tokens are dealt to the shards as packed arrays; a shard's task improves its rows by a gradient update in
+numpy batches of distinct histories, then scores all its tokens. The sums go back to the documents. A shard has about SHARD tokens: a word too
+frequent for one is split by the leaf before it, and a pair of them by document. What such words' and pairs' rows learn from is tallied too, so each
+part has the rows of all. As each token is the word before another, its shard also knows its count.
 
 Tokens are known by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,10 @@ WIDTH, HEADS, OWN = 64, 32, 48
 LEAVES = WIDTH * WIDTH
 #: Tokens of a shard, more where there would be more than SHARDS of them; characters and texts of a batch of documents; bytes tokenised at once.
 SHARD, SHARDS, BATCH_CHARS, BATCH_TEXTS, SLICE = 1 << 20, 1 << 19, 4_000_000, 1 << 14, 1 << 17
-#: Gradient sweeps over the leaf rows, then over the word and n-gram rows; what expected counts are raised by, which damps rare rows; the longest step.
-SWEEPS, RATE, DAMP, STEP, GROUPS = (2, 1), 0.7, (1.0, 1.0, 3.0), 3.0, 512
+#: Gradient sweeps over the leaf rows, which one over the word and n-gram rows follows; what expected counts are raised by, which damps rare rows; the longest step.
+SWEEPS, RATE, DAMP, STEP, GROUPS = 2, 0.7, (1.0, 1.0, 3.0), 3.0, 512
+#: Places of a class's tally: pairs of a leaf of it and any leaf before that, then the class's part of five tables. Tasks that sum expected counts.
+PAIRS, BLOCK, SUMMING = WIDTH * LEAVES, WIDTH * LEAVES + 5 * LEAVES, 12
 #: Distinct tokens that a task holds before it sends them on.
 HELD = 1 << 21
 SPACES = b" \t\n\x0b\x0c\r"
@@ -121,8 +124,8 @@ def _cut(data: bytes) -> Iterator[bytes]:
 class Vocabulary:
     """What all tasks know: the leaf of each word that has its own, the counts of words too frequent for one shard, and the leaves' totals."""
 
-    def __init__(self, words: list[tuple[int, int, int]], often: list[tuple[int, int, int]], leaf_mass: dict[int, tuple[int, int]], ends: int, texts: int, tokens: int):
-        """words: hash, count and tail leaf of the most frequent words to learn, in order; often: hash, number among all texts and count of words too frequent for a shard.
+    def __init__(self, words: list[tuple[int, int, int]], often: list[tuple[int, int, int, int]], leaf_mass: dict[int, tuple[int, int]], ends: int, texts: int, tokens: int):
+        """words: hash, count and tail leaf of the most frequent words to learn, in order; often: hash, number among all texts, count and tail leaf of words too frequent for a shard.
 
         leaf_mass: count and number of all words by tail leaf; ends: of texts to learn from; texts, tokens: of all.
         """
@@ -145,9 +148,16 @@ class Vocabulary:
             self.mass[tail] -= c
             self.kinds[tail] -= 1
         self.own, self.leaf = _sorted(own)
-        often = [*often, (int(START), texts, 0)]
-        self.often, at = _sorted({h: i for i, (h, _, _) in enumerate(often)})
-        self.often_all, self.often_count = (np.array([x[k] for x in often], np.int64)[at] for k in (1, 2))
+        often = [*often, (int(START), texts, 0, 1)]  # START's leaf 1 is no word's
+        self.often, at = _sorted({x[0]: i for i, x in enumerate(often)})
+        self.often_all, self.often_count, tails = (np.array([x[k] for x in often], np.int64)[at] for k in (1, 2, 3))
+        some = np.flatnonzero((self.shards > 1) & (2 * self.often_all * self.shards > self.tokens))
+        #: Words that are split, their leaves; the split pairs of them and a leaf, and in how many parts.
+        self.split, self.split_leaf = self.often[some], self.leaves(self.often[some], tails[some])
+        self.pairs, self.pair_parts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        #: The leaf tables of both softmaxes; the steps of split words' rows and the counts of split pairs, each for both softmaxes.
+        self.rows = np.zeros((4, LEAVES, WIDTH), np.float32)
+        self.word_steps, self.pair_counts = (np.zeros((0, 1 + WIDTH, WIDTH), np.float32) for _ in range(2))
         #: log10 of a word's share in its leaf, less that of its count and one; a leaf of one word gives it all.
         self.single = np.zeros(LEAVES, bool)
         self.single[list(own.values())] = True
@@ -176,6 +186,22 @@ class Vocabulary:
         return np.where(found, self.often_all[at], 0), np.where(found, self.often_count[at], -1)
 
 
+    def place(self, hashes: np.ndarray) -> np.ndarray:
+        """The numbers of split words, else -1."""
+        return _found(self.split, hashes)
+
+    def pair(self, place: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+        """The numbers of split pairs of a split word's number and the leaf before it, else -1."""
+        return np.where(place >= 0, _found(self.pairs, place * LEAVES + leaf), -1)
+
+
+def _found(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
+    if not len(keys):
+        return np.full(len(x), -1, np.int64)
+    at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+    return np.where(keys[at] == x, at, -1)
+
+
 def shards_for(tokens: int) -> int:
     return max(1, min(SHARDS, -(-tokens // SHARD)))
 
@@ -186,12 +212,13 @@ def _sorted(found: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], np.fromiter(found.values(), np.int64, len(found))[order]
 
 
-def softmax_scores(a: np.ndarray, b: np.ndarray, s: np.ndarray, t: np.ndarray, prior: np.ndarray, base: np.ndarray, target: np.ndarray, learn: np.ndarray) -> np.ndarray:
+def softmax_scores(a: np.ndarray, b: np.ndarray, s: np.ndarray, t: np.ndarray, prior: np.ndarray, base: np.ndarray, target: np.ndarray, learn: np.ndarray, rows: np.ndarray | None = None, given: tuple[np.ndarray, ...] | None = None) -> np.ndarray:
     """Natural log p(target) of each example, after training on those with learn.
 
     a: the row of the word before; (a, b): the n-gram's; s and t: rows below 1 << 16 of the hashed leaf tables; base: the row of prior, one for each s.
-    Rows s and t are trained on the distinct pairs of them; with these fixed, the rows of a and of (a, b) are, and examples are scored.
-    A step is the gradient over the expected count, damped.
+    Rows s and t are trained on the distinct pairs of them, unless rows are given; with these fixed, the rows of a and of (a, b) are, and examples are
+    scored. A step is the gradient over the expected count, damped. given, for words and pairs whose examples are not all here: each example's number in
+    steps of a's row or -1, these steps; its number in counts of (a, b) or -1, these counts.
     """
     n = len(a)
     out = np.zeros(n, np.float64)
@@ -201,7 +228,9 @@ def softmax_scores(a: np.ndarray, b: np.ndarray, s: np.ndarray, t: np.ndarray, p
     group = np.repeat(np.arange(len(new)), np.diff(np.concatenate([new, [n]])))
     ga, gs, gt, gbase = a[new], s[new], t[new], base[new]
     weight = learn.astype(np.float32)
-    left, right = _leaf_rows(gs, gt, gbase, prior, group, target, weight)
+    left, right = _leaf_rows(gs, gt, gbase, prior, group, target, weight) if rows is None else rows
+    of_word, steps, of_pair, counts = given or (np.full(n, -1), None, np.full(n, -1), None)
+    of_word, of_pair = of_word[order][new], of_pair[order][new]
     # Batches of distinct histories, which no word before is parted by.
     word = np.flatnonzero(np.concatenate([[True], ga[1:] != ga[:-1]]))
     cuts = [0]
@@ -214,17 +243,22 @@ def softmax_scores(a: np.ndarray, b: np.ndarray, s: np.ndarray, t: np.ndarray, p
         first, last = upto[lo], upto[hi]
         own, k = group[first:last] - lo, target[first:last]
         seen = np.bincount(own * WIDTH + k, weight[first:last], (hi - lo) * WIDTH).astype(np.float32).reshape(-1, WIDTH)
-        total = seen.sum(1, keepdims=True)
+        known, pairs = of_word[lo:hi], np.flatnonzero(of_pair[lo:hi] >= 0)
         z = prior[gbase[lo:hi]] + left[gs[lo:hi]] + right[gt[lo:hi]]
         starts = np.flatnonzero(np.concatenate([[True], ga[lo + 1 : hi] != ga[lo : hi - 1]]))
         times = np.diff(np.concatenate([starts, [hi - lo]]))
-        if total.any():
+        if seen.any() or (known >= 0).any():
             place = np.repeat(np.arange(len(starts)), times)[own]
             sums = np.bincount(place * WIDTH + k, weight[first:last], len(starts) * WIDTH).astype(np.float32).reshape(-1, WIDTH)
-            for _ in range(SWEEPS[1]):
-                e = _expected(z, total)
-                z += np.repeat(_step(sums, np.add.reduceat(e, starts, axis=0), DAMP[1]), times, axis=0)
-                z += _step(seen, e, DAMP[2])
+            if pairs.size:
+                seen[pairs] = counts[of_pair[lo:hi][pairs]]
+            e = _expected(z, seen.sum(1, keepdims=True))
+            step = _step(sums, np.add.reduceat(e, starts, axis=0), DAMP[1])
+            split = np.flatnonzero(known[starts] >= 0)
+            if split.size:
+                step[split] = steps[known[starts][split]]
+            z += np.repeat(step, times, axis=0)
+            z += _step(seen, e, DAMP[2])
         out[order[first:last]] = (z[own, k] - np.log(np.exp(z).sum(1))[own]).astype(np.float64)
     return out
 
@@ -248,25 +282,162 @@ def _leaf_rows(s: np.ndarray, t: np.ndarray, base: np.ndarray, prior: np.ndarray
     total = np.bincount(back[group], weight, len(pairs)).astype(np.float32)
     some = np.flatnonzero(total)
     ps, pt, pb, total = s[first[some]], t[first[some]], base[first[some]], total[some, None]
-    sides = []
-    for own in (s, t):
-        rows = int(own.max(initial=0)) + 1
-        sides.append((np.zeros((rows, WIDTH), np.float32), np.bincount(own[group] * WIDTH + target, weight, rows * WIDTH).astype(np.float32).reshape(-1, WIDTH)))
-    (left, _), (right, _) = sides
-    chunks = []
-    for at in range(0, len(some), GROUPS):
+    rows = [int(own.max(initial=0)) + 1 for own in (s, t)]
+    seen = [np.bincount(own[group] * WIDTH + target, weight, n * WIDTH).astype(np.float32).reshape(-1, WIDTH) for own, n in zip((s, t), rows, strict=True)]
+    left, right = (np.zeros((n, WIDTH), np.float32) for n in rows)
+    for _ in range(SWEEPS):
+        expected = _leaf_expected(ps, pt, pb, total, prior, left, right)
+        for table, own, e in zip((left, right), seen, expected, strict=True):
+            table += RATE * _step(own, e, DAMP[0])
+    return left, right
+
+
+def _leaf_expected(ps: np.ndarray, pt: np.ndarray, pb: np.ndarray, total: np.ndarray, prior: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The expected counts of the rows of both tables, from distinct pairs of rows, in order, and how often each came."""
+    expected = np.zeros_like(left), np.zeros_like(right)
+    for at in range(0, len(ps), GROUPS):
         part = slice(at, at + GROUPS)
+        e = _expected(prior[pb[part]] + left[ps[part]] + right[pt[part]], total[part])
         order = np.argsort(pt[part], kind="stable")
-        chunks.append((part, [(None, *np.unique(ps[part], return_index=True)), (order, *np.unique(pt[part][order], return_index=True))]))
-    for _ in range(SWEEPS[0]):
-        expected = [np.zeros_like(table) for table, _ in sides]
-        for part, sorts in chunks:
-            e = _expected(prior[pb[part]] + left[ps[part]] + right[pt[part]], total[part])
-            for into, (order, ids, starts) in zip(expected, sorts, strict=True):
-                into[ids] += np.add.reduceat(e if order is None else e[order], starts, axis=0)
-        for (table, seen), e in zip(sides, expected, strict=True):
-            table += RATE * _step(seen, e, DAMP[0])
-    return left, right
+        for into, own, x in zip(expected, (ps[part], pt[part][order]), (e, e[order]), strict=True):
+            ids, starts = np.unique(own, return_index=True)
+            into[ids] += np.add.reduceat(x, starts, axis=0)
+    return expected
+
+
+def _packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ascending keys and their counts, compressed."""
+    planes = [x.view(np.uint8).reshape(len(x), -1).T.tobytes() for x in (np.diff(keys, prepend=0).astype("<u4"), counts.astype("<u8"))]
+    return np.int64(len(keys)).tobytes() + pa.compress(b"".join(planes), "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    flat = np.frombuffer(pa.decompress(data[8:], 12 * n, "zstd", asbytes=True), np.uint8)
+    deltas, counts = (np.ascontiguousarray(x.reshape(-1, n).T).view(kind).ravel() for x, kind in ((flat[: 4 * n], "<u4"), (flat[4 * n :], "<u8")))
+    return np.cumsum(deltas, dtype=np.int64), counts.astype(np.int64)
+
+
+def _tallied(batches: Iterator[pa.RecordBatch], known: Vocabulary) -> Iterator[pa.RecordBatch]:
+    """part, data: what comes after the leaves of each class, and at WIDTH and on after each split word, by the leaf before it; all tokens of the task together."""
+    pairs, tables = np.zeros(LEAVES * LEAVES, np.int64), np.zeros((5, LEAVES * WIDTH), np.int64)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    span = LEAVES * (LEAVES + 1)
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        keys, back = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+        return keys, np.bincount(back, np.concatenate([n for _, n in held]), len(keys)).astype(np.int64)
+
+    def sent() -> Iterator[pa.RecordBatch]:
+        keys, n = merged()
+        held.clear()
+        cuts = np.flatnonzero(np.concatenate([[True], keys[1:] // span != keys[:-1] // span]))
+        for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)], strict=True):
+            yield row(WIDTH + int(keys[i] // span), keys[i:j] % span, n[i:j])
+
+    def row(part: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([_packed(keys, n)], pa.binary())], ["part", "data"])
+
+    for batch in _batches(batches):
+        h, tails, sizes = tokens_of(batch.column(1).to_pylist())
+        begins = np.cumsum(sizes) - sizes
+        leaf = known.leaves(h, tails).astype(np.int64)
+        one, word = np.concatenate([[1], leaf[:-1]]), np.concatenate([[0], known.place(h[:-1])])
+        one[begins], word[begins] = 1, known.place(np.array([START]))[0]
+        two = np.concatenate([[1], one[:-1]])
+        two[begins] = 1
+        learn = np.repeat(batch.column(3).to_numpy(zero_copy_only=False).astype(bool), sizes)
+        some = np.flatnonzero(word >= 0)
+        if some.size:
+            held.append(np.unique((word[some] * LEAVES + two[some]) * (LEAVES + 1) + np.where(learn[some], leaf[some], LEAVES), return_counts=True))
+            if sum(len(k) for k, _ in held) > HELD:
+                held[:] = [merged()]
+                if len(held[0][0]) > HELD // 2:
+                    yield from sent()
+        one, two, leaf = one[learn], two[learn], leaf[learn]
+        if not len(leaf):
+            continue
+        keys = np.sort((one * LEAVES + two).astype(np.int32))
+        at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        pairs[keys[at]] += np.diff(np.concatenate([at, [len(keys)]]))
+        kind = leaf // WIDTH
+        inner = np.flatnonzero(kind >= HEADS)
+        c, d, x = one[inner] // WIDTH, two[inner] // WIDTH, leaf[inner]
+        for table, found in zip(tables, (one * WIDTH + kind, two * WIDTH + kind, c * LEAVES + d * WIDTH + x // WIDTH, c * LEAVES + x, d * LEAVES + x), strict=True):
+            table += np.bincount(found, minlength=len(table))
+    for c in range(WIDTH):
+        block = np.concatenate([pairs[c * PAIRS : (c + 1) * PAIRS], tables[:, c * LEAVES : (c + 1) * LEAVES].ravel()])
+        keys = np.flatnonzero(block)
+        if keys.size:
+            yield row(c, keys, block[keys])
+    if held:
+        yield from sent()
+
+
+def _totalled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The tallies of one part, added."""
+    total = None
+    for batch in batches:
+        for part, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if total is None:
+                total = np.zeros(BLOCK if part < WIDTH else LEAVES * (LEAVES + 1), np.int64)
+            keys, n = _unpacked(data.as_py())
+            total[keys] += n
+    keys = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([_packed(keys, total[keys])], pa.binary())], ["part", "data"])
+
+
+def _leaf_sums(batches: Iterator[pa.RecordBatch], known: Vocabulary) -> Iterator[pa.RecordBatch]:
+    """data: of the task's classes the expected counts of the four leaf tables, and those seen."""
+    out = np.zeros((8, LEAVES, WIDTH), np.float32)
+    for batch in batches:
+        for c, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            keys, n = _unpacked(data.as_py())
+            block = np.zeros(BLOCK, np.int64)
+            block[keys] = n
+            after, before, both, after_in, before_in = block[PAIRS:].reshape(5, LEAVES)
+            own = slice(c * WIDTH, (c + 1) * WIDTH)
+            for table, found in zip(out[4:], (after, before, after_in, before_in), strict=True):
+                table[own] += found.reshape(WIDTH, WIDTH)
+            at = np.flatnonzero(block[:PAIRS])
+            total = block[at, None].astype(np.float32)
+            sums = [*_leaf_expected(c * WIDTH + at // LEAVES, at % LEAVES, np.zeros(len(at), np.int64), total, known.class_prior, *known.rows[:2])]
+            both = both.reshape(WIDTH, WIDTH).T  # by class of the target, then of the second leaf
+            k, d = np.nonzero(both)
+            sums += _leaf_expected(c * WIDTH + k, d * WIDTH + k, k, both[k, d, None].astype(np.float32), known.leaf_prior, *known.rows[2:])
+            out[:4] += np.stack(sums)
+    yield pa.RecordBatch.from_arrays([pa.array([pa.compress(out.tobytes(), "zstd", asbytes=True)], pa.binary())], ["data"])
+
+
+def _split_rows(batches: Iterator[pa.RecordBatch], known: Vocabulary) -> Iterator[pa.RecordBatch]:
+    """word, leaf, parts, data: the steps of a split word's rows, with leaf -1; the counts after each pair of it and a leaf that is split too."""
+    for batch in batches:
+        for part, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            word = part - WIDTH
+            own = int(known.split_leaf[word])
+            keys, n = _unpacked(data.as_py())
+            b, x = keys // (LEAVES + 1), keys % (LEAVES + 1)
+            parts = -(-np.bincount(b, n, LEAVES).astype(np.int64) * known.shards // known.tokens)
+            learn = x < LEAVES
+            b, x, n = b[learn], x[learn], n[learn]
+            seen = np.bincount(b * WIDTH + x // WIDTH, n, LEAVES * WIDTH).reshape(LEAVES, WIDTH)
+            e = _expected(known.class_prior + known.rows[0][own] + known.rows[1], seen.sum(1, keepdims=True))
+            steps = np.zeros((1 + WIDTH, WIDTH))
+            steps[0] = _step(seen.sum(0), e.sum(0), DAMP[1])
+            inner = x // WIDTH >= HEADS
+            totals = np.bincount((x // WIDTH * WIDTH + b // WIDTH)[inner], n[inner], LEAVES).reshape(WIDTH, WIDTH)
+            after = np.bincount(x[inner], n[inner], LEAVES).reshape(WIDTH, WIDTH)
+            for k in range(HEADS, WIDTH):
+                e = _expected(known.leaf_prior[k] + known.rows[2][own // WIDTH * WIDTH + k] + known.rows[3][k::WIDTH], totals[k][:, None])
+                steps[1 + k] = _step(after[k], e.sum(0), DAMP[1])
+            rows = [(-1, 0, steps)]
+            for leaf in np.flatnonzero(parts > 1).tolist():
+                here = b == leaf
+                rows.append((leaf, int(parts[leaf]), np.concatenate([seen[leaf][None], np.bincount(x[here & inner], n[here & inner], LEAVES).reshape(WIDTH, WIDTH)])))
+            for at in range(0, len(rows), 64):
+                some = rows[at : at + 64]
+                arrays = [pa.array([word] * len(some), pa.int32()), pa.array([r[0] for r in some], pa.int32()), pa.array([r[1] for r in some], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array([r[2].astype(np.float32).tobytes() for r in some], pa.binary())], ["word", "leaf", "parts", "data"])
 
 
 #: A packed run of examples: per distinct word before its hash, leaf and number of examples; per example the other leaves, the text's place and whether it's learned from.
@@ -275,13 +446,13 @@ _EXAMPLE = np.dtype([("two", "<u2"), ("target", "<u2"), ("text", "<u2")])
 
 
 def deal(texts: list[str | None], learn: np.ndarray, salts: np.ndarray, known: Vocabulary) -> tuple[np.ndarray, list[tuple[int, bytes]]]:
-    """The number of tokens of each text, and for each shard its packed examples. salts part the pairs of frequent words."""
+    """The number of tokens of each text, and for each shard its packed examples. salts part the split pairs."""
     h, tails, sizes = tokens_of(texts)
     ends = np.cumsum(sizes)
     begins = ends - sizes
     uniques, first, codes = np.unique(h, return_index=True, return_inverse=True)
     uniques = np.append(uniques, START)
-    leaf = np.append(known.leaves(uniques[:-1], tails[first]), 1).astype(np.int64)  # START's leaf 1 is no word's
+    leaf = np.append(known.leaves(uniques[:-1], tails[first]), 1).astype(np.int64)
     often = known.frequent(uniques)[0]
     parts = np.maximum(1, -(-2 * often * known.shards // known.tokens)).astype(np.uint64)
     one = np.concatenate([[0], codes[:-1]])
@@ -294,9 +465,9 @@ def deal(texts: list[str | None], learn: np.ndarray, salts: np.ndarray, known: V
     split = np.flatnonzero(parts[one] > 1)
     if split.size:
         x, y = one[split], two[split]
-        sub = mixed(uniques[y] ^ np.uint64(0x5BF03635)) % parts[x]
-        lesser = np.maximum(1, -(-np.minimum(often[x], often[y]) * known.shards // known.tokens)).astype(np.uint64)
-        salt = mixed(salts[text[split]]) % lesser
+        sub = mixed(leaf[y].astype(np.uint64) ^ np.uint64(0x5BF03635)) % parts[x]
+        pair = known.pair(known.place(uniques)[x], leaf[y])
+        salt = mixed(salts[text[split]]) % np.append(known.pair_parts, 1)[pair].astype(np.uint64)
         where[split] = mixed(uniques[x] + sub * np.uint64(0x9E3779B97F4A7C15) + salt * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1))
     shard = (where % np.uint64(known.shards)).astype(np.int64)
     order = np.argsort(shard * len(uniques) + one)
@@ -338,11 +509,14 @@ def judge(blobs: list[bytes], known: Vocabulary) -> list[tuple[np.ndarray, np.nd
     target, two = examples["target"].astype(np.int64), examples["two"].astype(np.int64)
     kind, place = target // WIDTH, target % WIDTH
     zero = np.zeros(len(one), np.int64)
-    ln = softmax_scores(one, two, leaf_one, two, known.class_prior, zero, kind, learn)
+    word = known.place(names)[one]
+    pair = known.pair(word, two)
+    ln = softmax_scores(one, two, leaf_one, two, known.class_prior, zero, kind, learn, known.rows[:2], (word, known.word_steps[:, 0], pair, known.pair_counts[:, 0]))
     some = np.flatnonzero(kind >= HEADS)
     if some.size:
         k = kind[some]
-        ln[some] += softmax_scores(one[some] * WIDTH + k, two[some], leaf_one[some] // WIDTH * WIDTH + k, two[some] // WIDTH * WIDTH + k, known.leaf_prior, k, place[some], learn[some])
+        given = [y for x, own in ((word, known.word_steps), (pair, known.pair_counts)) for y in (np.where(x[some] >= 0, x[some] * WIDTH + k, -1), own[:, 1:].reshape(-1, WIDTH))]
+        ln[some] += softmax_scores(one[some] * WIDTH + k, two[some], leaf_one[some] // WIDTH * WIDTH + k, two[some] // WIDTH * WIDTH + k, known.leaf_prior, k, place[some], learn[some], known.rows[2:], tuple(given))
     score = ln / np.log(10) + np.where(known.single[leaf_one] | ~isword[one], 0.0, log_count[one] + known.lower[leaf_one])
     each = np.stack([((count > 0) & isword)[one].astype(np.float64), log_count[one], score])
     out, at = [], 0
@@ -398,7 +572,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learned(own: DataFrame) -> Vocabulary:
-    """The vocabulary of rows (key, text, chars, learns)."""
+    """The vocabulary of rows (key, text, chars, learns), with the rows that many shards use."""
     counts = materialize(own.mapInArrow(_counted, "h long, tail int, n long, c long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("c").alias("c"), F.first("tail").alias("tail")))
     end = counts.filter(F.col("h") == int(END)).first()
     words = counts.filter(F.col("h") != int(END))
@@ -408,7 +582,36 @@ def learned(own: DataFrame) -> Vocabulary:
     top = words.filter("c > 0").orderBy(F.desc("c"), "h").limit(LEAVES).collect()
     often = words.filter(F.col("n") * 2 * shards_for(tokens) >= tokens).collect()
     name = lambda r: r["h"] & (2**64 - 1)
-    return Vocabulary([(name(r), r["c"], r["tail"]) for r in top], [(name(r), r["n"], r["c"]) for r in often], mass, end["c"] if end else 0, end["n"] if end else 0, tokens)
+    known = Vocabulary([(name(r), r["c"], r["tail"]) for r in top], [(name(r), r["n"], r["c"], r["tail"]) for r in often], mass, end["c"] if end else 0, end["n"] if end else 0, tokens)
+    _train_shared(own, known)
+    return known
+
+
+def _train_shared(own: DataFrame, known: Vocabulary) -> None:
+    """The rows that many shards use, from all learning tokens: of leaves, of split words and split pairs. The driver gets SUMMING sums of the leaf
+    tables a sweep, and the rows of split words and pairs, of which there are at most some for each shard."""
+
+    def mapped(df: DataFrame, task: Callable[[Iterator[pa.RecordBatch], Vocabulary], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+        sent = own.sparkSession.sparkContext.broadcast(known)
+        return df.mapInArrow(lambda batches: task(batches, sent.value), schema)
+
+    totals = materialize(mapped(own, _tallied, "part int, data binary").groupBy("part").applyInArrow(_totalled, "part int, data binary"))
+    blocks = totals.filter(F.col("part") < WIDTH).repartition(SUMMING)
+    for _ in range(SWEEPS):
+        sums = np.zeros((8, LEAVES, WIDTH))
+        for r in mapped(blocks, _leaf_sums, "data binary").collect():
+            sums += np.frombuffer(pa.decompress(r["data"], 4 * sums.size, "zstd", asbytes=True), np.float32).reshape(sums.shape)
+        known.rows = (known.rows + RATE * _step(sums[4:], sums[:4], DAMP[0])).astype(np.float32)
+    if not len(known.split):
+        return
+    found = mapped(totals.filter(F.col("part") >= WIDTH), _split_rows, "word int, leaf int, parts long, data binary").collect()
+    rows = {(r["word"], r["leaf"]): np.frombuffer(r["data"], np.float32).reshape(1 + WIDTH, WIDTH) for r in found}
+    none = np.zeros((1 + WIDTH, WIDTH), np.float32)
+    known.word_steps = np.stack([rows.get((w, -1), none) for w in range(len(known.split))])
+    split = sorted((r["word"], r["leaf"], r["parts"]) for r in found if r["leaf"] >= 0)
+    if split:
+        known.pairs, known.pair_parts = np.array([w * LEAVES + x for w, x, _ in split], np.int64), np.array([n for *_, n in split], np.int64)
+        known.pair_counts = np.stack([rows[w, x] for w, x, _ in split])
 
 
 def score(df: DataFrame, learning: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -416,7 +619,7 @@ def score(df: DataFrame, learning: Column, key: str = "doc_id", text: str = "tex
 
     learning: a condition on df's columns for the texts to learn from. A null text counts as empty, which has END as its only token. base_score
     is the add-one unigram model's log10 probability, score the maximum-entropy model's. Without learning texts all tokens are
-    unknown. Rows stay as many as they are, repeated ones too; an empty table gives an empty result. df is read twice; a text is held whole by a task.
+    unknown. Rows stay as many as they are, repeated ones too; an empty table gives an empty result. df is read three times; a text is held whole by a task.
     """
     spark = df.sparkSession
     kind = df.schema[key].dataType.simpleString()

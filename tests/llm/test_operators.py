@@ -470,3 +470,21 @@ def test_near_pairs_equal_brute_force(spark):
     want = sorted((min(least[s], least[t]), max(least[s], least[t]), round(len(s & t) / len(s | t), 9)) for s, t in itertools.combinations(least, 2) if len(s & t) / len(s | t) >= 0.8)
     assert len(want) > 20
     assert sorted((r["a"], r["b"], round(r["likeness"], 9)) for r in spotsigs.near_pairs(df).collect()) == want
+
+
+def test_maxent_learns_from_all_tokens_in_any_shards(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    p = 1 / np.arange(1, 200)
+    words = np.array([f"{c}{i}" for i, c in enumerate(rng.choice(list("abcdefgh"), 199))])
+    rows = [(i, " ".join(rng.choice(words, int(rng.integers(0, 60)), p=p / p.sum()))) for i in range(300)] + [(i, "the same words again") for i in range(300, 400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = []
+    for size in (1 << 20, 3000, 100):
+        monkeypatch.setattr(maxent, "SHARD", size)
+        found.append({r["doc_id"]: r["score"] for r in maxent.op7(df).collect()})
+    own = df.select("doc_id", "text", F.length("text"), (F.col("doc_id") >= 0).alias("learns"))
+    known = maxent.learned(own)
+    assert known.shards > 50 and len(known.split) > 5 and len(known.pairs) > 5 and known.pair_parts.min() > 1
+    # One shard, a few, and a hundred with words and pairs that are split: the same model.
+    for other in found[1:]:
+        assert other == pytest.approx(found[0], abs=2e-3)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, learns, materialize
+from .common import freeing, give_back, held_out, learns, materialize
 
 WIDTH, HEADS, OWN = 64, 32, 48
 LEAVES = WIDTH * WIDTH
@@ -192,7 +192,10 @@ class Vocabulary:
 
     def pair(self, place: np.ndarray, leaf: np.ndarray) -> np.ndarray:
         """The numbers of split pairs of a split word's number and the leaf before it, else -1."""
-        return np.where(place >= 0, _found(self.pairs, place * LEAVES + leaf), -1)
+        out = np.full(len(place), -1, np.int32)
+        some = np.flatnonzero(place >= 0)
+        out[some] = _found(self.pairs, place[some].astype(np.int64) * LEAVES + leaf[some])
+        return out
 
 
 def _found(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -320,7 +323,7 @@ def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def _tallied(batches: Iterator[pa.RecordBatch], known: Vocabulary) -> Iterator[pa.RecordBatch]:
     """part, data: what comes after the leaves of each class, and at WIDTH and on after each split word, by the leaf before it; all tokens of the task together."""
-    pairs, tables = np.zeros(LEAVES * LEAVES, np.int64), np.zeros((5, LEAVES * WIDTH), np.int64)
+    pairs, tables, tokens = np.zeros(LEAVES * LEAVES, np.uint32), np.zeros((5, LEAVES * WIDTH), np.int64), 0
     held: list[tuple[np.ndarray, np.ndarray]] = []
     span = LEAVES * (LEAVES + 1)
 
@@ -335,11 +338,22 @@ def _tallied(batches: Iterator[pa.RecordBatch], known: Vocabulary) -> Iterator[p
         for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)], strict=True):
             yield row(WIDTH + int(keys[i] // span), keys[i:j] % span, n[i:j])
 
+    def blocks() -> Iterator[pa.RecordBatch]:
+        for c in range(WIDTH):
+            block = np.concatenate([pairs[c * PAIRS : (c + 1) * PAIRS], tables[:, c * LEAVES : (c + 1) * LEAVES].ravel()])
+            keys = np.flatnonzero(block)
+            if keys.size:
+                yield row(c, keys, block[keys])
+
     def row(part: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([_packed(keys, n)], pa.binary())], ["part", "data"])
 
     for batch in _batches(batches):
         h, tails, sizes = tokens_of(batch.column(1).to_pylist())
+        if tokens + len(h) >= 1 << 32:
+            yield from blocks()
+            pairs[:], tables[:], tokens = 0, 0, 0
+        tokens += len(h)
         begins = np.cumsum(sizes) - sizes
         leaf = known.leaves(h, tails).astype(np.int64)
         one, word = np.concatenate([[1], leaf[:-1]]), np.concatenate([[0], known.place(h[:-1])])
@@ -359,17 +373,13 @@ def _tallied(batches: Iterator[pa.RecordBatch], known: Vocabulary) -> Iterator[p
             continue
         keys = np.sort((one * LEAVES + two).astype(np.int32))
         at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        pairs[keys[at]] += np.diff(np.concatenate([at, [len(keys)]]))
+        pairs[keys[at]] += np.diff(np.concatenate([at, [len(keys)]])).astype(np.uint32)
         kind = leaf // WIDTH
         inner = np.flatnonzero(kind >= HEADS)
         c, d, x = one[inner] // WIDTH, two[inner] // WIDTH, leaf[inner]
         for table, found in zip(tables, (one * WIDTH + kind, two * WIDTH + kind, c * LEAVES + d * WIDTH + x // WIDTH, c * LEAVES + x, d * LEAVES + x), strict=True):
             table += np.bincount(found, minlength=len(table))
-    for c in range(WIDTH):
-        block = np.concatenate([pairs[c * PAIRS : (c + 1) * PAIRS], tables[:, c * LEAVES : (c + 1) * LEAVES].ravel()])
-        keys = np.flatnonzero(block)
-        if keys.size:
-            yield row(c, keys, block[keys])
+    yield from blocks()
     if held:
         yield from sent()
 
@@ -489,7 +499,7 @@ def deal(texts: list[str | None], learn: np.ndarray, salts: np.ndarray, known: V
 
 
 def judge(blobs: list[bytes], known: Vocabulary) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each packed run of a shard the places of its texts and, for each, known tokens, their log10 of count and one, and the model's log10 (without END's own counts)."""
+    """Empties the list of packed runs of a shard, and gives for each the places of its texts and, for each, known tokens, their log10 of count and one, and the model's log10 (without END's own counts)."""
     runs, examples, sizes = [], [], []
     for x in blobs:
         u = int(np.frombuffer(x, np.int64, 1)[0])
@@ -497,19 +507,20 @@ def judge(blobs: list[bytes], known: Vocabulary) -> list[tuple[np.ndarray, np.nd
         examples.append(np.frombuffer(x, _EXAMPLE, -1, 8 + u * _RUN.itemsize))
         sizes.append(len(examples[-1]))
     runs, examples = np.concatenate(runs), np.concatenate(examples)
+    blobs.clear()
     names, codes = np.unique(runs["h"], return_inverse=True)
     times = runs["n"].astype(np.int64)
-    one, leaf_one = np.repeat(codes, times), np.repeat(runs["leaf"], times).astype(np.int64)
+    one, leaf_one = np.repeat(codes, times), np.repeat(runs["leaf"].astype(np.int32), times)
     learn = (examples["text"] & 1).astype(bool)
     count = np.bincount(one, learn, len(names))
     often = known.frequent(names)[1]
     count = np.where(often >= 0, often, count)
     isword = names != START
     log_count = np.where(isword, np.log10(count + 1), 0.0)
-    target, two = examples["target"].astype(np.int64), examples["two"].astype(np.int64)
+    target, two = examples["target"].astype(np.int32), examples["two"].astype(np.int32)
     kind, place = target // WIDTH, target % WIDTH
-    zero = np.zeros(len(one), np.int64)
-    word = known.place(names)[one]
+    zero = np.zeros(len(one), np.int8)
+    word = known.place(names).astype(np.int32)[one]
     pair = known.pair(word, two)
     ln = softmax_scores(one, two, leaf_one, two, known.class_prior, zero, kind, learn, known.rows[:2], (word, known.word_steps[:, 0], pair, known.pair_counts[:, 0]))
     some = np.flatnonzero(kind >= HEADS)
@@ -573,7 +584,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learned(own: DataFrame) -> Vocabulary:
     """The vocabulary of rows (key, text, chars, learns), with the rows that many shards use."""
-    counts = materialize(own.mapInArrow(_counted, "h long, tail int, n long, c long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("c").alias("c"), F.first("tail").alias("tail")))
+    counts = materialize(own.mapInArrow(freeing(_counted), "h long, tail int, n long, c long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("c").alias("c"), F.first("tail").alias("tail")))
     end = counts.filter(F.col("h") == int(END)).first()
     words = counts.filter(F.col("h") != int(END))
     tokens = (words.agg(F.sum("n")).first()[0] or 0) + (end["n"] if end else 0)
@@ -593,7 +604,7 @@ def _train_shared(own: DataFrame, known: Vocabulary) -> None:
 
     def mapped(df: DataFrame, task: Callable[[Iterator[pa.RecordBatch], Vocabulary], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
         sent = own.sparkSession.sparkContext.broadcast(known)
-        return df.mapInArrow(lambda batches: task(batches, sent.value), schema)
+        return df.mapInArrow(freeing(lambda batches: task(batches, sent.value)), schema)
 
     totals = materialize(mapped(own, _tallied, "part int, data binary").groupBy("part").applyInArrow(_totalled, "part int, data binary"))
     blocks = totals.filter(F.col("part") < WIDTH).repartition(SUMMING)
@@ -655,8 +666,10 @@ def score(df: DataFrame, learning: Column, key: str = "doc_id", text: str = "tex
         if not ids:
             return
         order = sorted(range(len(ids)), key=ids.__getitem__)
-        made = judge([blobs[i] for i in order], sent.value)
-        del blobs
+        blobs = [blobs[i] for i in order]
+        give_back()
+        made = judge(blobs, sent.value)
+        give_back()
         data = [b"".join((np.int64(len(p)).tobytes(), p.tobytes(), x.tobytes())) for p, x in made]
         yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in order], pa.int64()), pa.array([False] * len(ids)), pa.array(data, pa.binary())], ["batch", "meta", "data"])
 
@@ -677,7 +690,7 @@ def score(df: DataFrame, learning: Column, key: str = "doc_id", text: str = "tex
         base = sums[1] + np.log10(known.ends + 1) - size * np.log10(known.n + known.v + 1)
         yield pa.RecordBatch.from_arrays([meta.column(0), meta.column(1), pa.array(n_known), pa.array(np.full(len(size), known.n)), pa.array(base), pa.array(sums[2])], ["key", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    shuffled = own.mapInArrow(dealt, "batch long, shard long, data binary").groupBy("shard").applyInArrow(scored, "batch long, meta boolean, data binary")
+    shuffled = own.mapInArrow(freeing(dealt), "batch long, shard long, data binary").groupBy("shard").applyInArrow(scored, "batch long, meta boolean, data binary")
     result = shuffled.groupBy("batch").applyInArrow(summed, f"key {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return result.withColumnRenamed("key", key)
 

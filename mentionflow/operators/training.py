@@ -10,7 +10,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import chunk_shuffle, context_window, shard
@@ -128,22 +130,58 @@ def streamed(df: DataFrame, rank: int, world: int, chunk: int = 32768, seed: int
     return chunk_shuffle(shard(df, rank, world, seq), chunk, seed, seq)
 
 
+def _draw_weighted(u: np.ndarray, gold: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row places in ids, drawn by the row's numbers u in [0, 1) without replacement, likelier by counts, ids equal to gold excepted; and which of them are there.
+
+    ids ascend. A draw is a point on a line of all counts from which the row's excluded stretches have been cut, so none is ever thrown away.
+    """
+    n, k = u.shape
+    ends = np.cumsum(counts)
+    starts, total = ends - counts, int(counts.sum())
+    # The stretches cut out of each row's line, in the line's order; those not yet in use lie behind its end.
+    cut, size = np.full((n, k + 1), total, np.int64), np.zeros((n, k + 1), np.int64)
+    at = np.searchsorted(ids, gold)
+    own = ids[np.minimum(at, len(ids) - 1)] == gold
+    cut[own, 0], size[own, 0] = starts[at[own]], counts[at[own]]
+    left = total - size[:, 0]
+    found, there = np.zeros((n, k), np.int64), np.zeros((n, k), bool)
+    for j in range(k):
+        there[:, j] = left > 0
+        r = np.minimum((u[:, j] * left).astype(np.int64), np.maximum(left - 1, 0))
+        for i in range(j + 1):
+            r += np.where(r >= cut[:, i], size[:, i], 0)
+        found[:, j] = np.minimum(np.searchsorted(ends, r, side="right"), len(ids) - 1)
+        cut[:, j + 1], size[:, j + 1] = np.where(there[:, j], starts[found[:, j]], total), np.where(there[:, j], counts[found[:, j]], 0)
+        left = left - size[:, j + 1]
+        order = cut[:, : j + 2].argsort(axis=1, kind="stable")
+        cut[:, : j + 2], size[:, : j + 2] = np.take_along_axis(cut[:, : j + 2], order, 1), np.take_along_axis(size[:, : j + 2], order, 1)
+    return found, there
+
+
 def weighted_negatives(rows: DataFrame, vocab: DataFrame, k: int, seed: int = 1234, key: str = "seq", gold: str = "idx", block: int = 4096) -> DataFrame:
     """key, rank, negative: for each row k entities without replacement, likelier by their count, a row's own entity and those of count 0 excepted; all, if there are fewer.
 
-    An entity's number for a row is -ln(u) / count with u from a hash of both, and the smallest k are taken: so a row draws the same again after a loss.
-    vocab (idx, count) is cut into blocks, and a row keeps the k smallest of each.
+    Draw by draw an entity's chance is its count over the counts left. The numbers that a row draws by are hashes of its key and the rank: so a row draws the same again after a loss.
+    vocab (idx, count), 16 bytes an entity, is sent to each executor once; the rows stay where they are, are drawn for block at a time, and the work is rows x k.
     """
-    known = vocab.filter("count > 0").select(F.col("idx").alias("negative"), "count").withColumn("_b", F.floor(F.col("negative") / block).cast("long"))
-    packed = known.groupBy("_b").agg(F.collect_list(F.struct("negative", "count")).alias("_e"))
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col("_r"), F.col("x.negative")), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    blocks = [r["_b"] for r in packed.select("_b").collect()]  # entities over block
-    dealt = rows.select(F.col(key).alias("_r"), F.col(gold).alias("_g")).withColumn("_b", F.explode(F.array(*map(F.lit, blocks)) if blocks else F.array().cast("array<long>")))
-    each = dealt.join(packed, "_b").select("_r", "_g", "_b", F.explode("_e").alias("x")).filter(~F.col("x.negative").eqNullSafe(F.col("_g")))
-    drawn = each.select("_r", "_b", F.col("x.negative").alias("negative"), (-F.log(u) / F.col("x.count")).alias("d"))
-    best = drawn.withColumn("n", F.row_number().over(Window.partitionBy("_r", "_b").orderBy("d", "negative"))).filter(F.col("n") <= k)
-    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("_r").orderBy("d", "negative"))).filter(F.col("rank") <= k)
-    return ranked.select(F.col("_r").alias(key), "rank", "negative")
+    known = vocab.filter("count > 0 and idx is not null").groupBy("idx").agg(F.sum("count").cast("long").alias("count")).select(F.col("idx").cast("long").alias("idx"), "count").toArrow()
+    ids, counts = (known.column(c).to_numpy() for c in ("idx", "count"))
+    order = ids.argsort()
+    sent = rows.sparkSession.sparkContext.broadcast((ids[order], counts[order]))
+    draws = F.transform(F.sequence(F.lit(1), F.lit(k)), lambda j: (F.pmod(F.xxhash64(F.lit(seed), F.col(key), j), F.lit(1 << 52)) + 0.5) / float(1 << 52))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, counts = sent.value
+        for whole in batches:
+            for first in range(0, whole.num_rows if len(ids) else 0, block):
+                batch = whole.slice(first, block)
+                # A row without an entity of its own excepts none.
+                own = pc.fill_null(batch.column(1), int(ids[0]) - 1).to_numpy(zero_copy_only=False)
+                found, there = _draw_weighted(batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, k), own, ids, counts)
+                row, rank = there.nonzero()
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(rank.astype(np.int32) + 1), pa.array(ids[found[there]])], names=[key, "rank", "negative"])
+
+    return rows.select(F.col(key), F.col(gold).cast("long").alias("_g"), draws.alias("_u")).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, rank int, negative long")
 
 
 def uniform_negatives(rows: DataFrame, entities: int, k: int, seed: int = 1234, key: str = "seq", gold: str = "idx") -> DataFrame:

@@ -60,6 +60,29 @@ def test_negatives(spark):
     assert len(uniform) == 1200 and all(0 <= r["negative"] < 5 and (r["negative"] != r["seq"] % 5 or r["negative"] == 0) for r in uniform)
 
 
+def test_weighted_draws_follow_the_counts():
+    ids, counts, n = np.array([1, 4, 6, 9]), np.array([5, 1, 2, 40]), 40_000
+    u, gold = np.random.default_rng(3).random((n, 4)), np.where(np.arange(n) % 2, 4, 7)
+    found, there = training._draw_weighted(u, gold, ids, counts)
+    assert (there.sum(axis=1) == np.where(gold == 4, 3, 4)).all()
+    for own in (4, 7):
+        drawn = Counter(tuple(ids[f[:2]]) for f in found[gold == own])
+        left = {i: c for i, c in zip(ids.tolist(), counts.tolist(), strict=True) if i != own}
+        total = sum(left.values())
+        for a in left:
+            for b in left:
+                chance = 0 if a == b else left[a] / total * left[b] / (total - left[a])
+                assert drawn[a, b] / (n / 2) == pytest.approx(chance, abs=0.015)
+
+
+def test_weighted_negatives_of_many_entities(spark):
+    vocab = spark.range(1, 200_001).select(F.col("id").alias("idx"), F.lit(1).alias("count"))
+    rows = spark.range(20_000).select(F.col("id").alias("seq"), F.when(F.col("id") % 2 == 0, F.col("id") + 1).alias("idx"))
+    got = training.weighted_negatives(rows, vocab, 3)
+    assert got.filter("rank = 1").count() == 20_000 and got.select("seq", "negative").distinct().count() == 60_000
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()  # no row meets the entities one by one
+
+
 def test_training_lowers_the_loss_and_encodes(spark):
     rng = np.random.default_rng(1)
     words = {"e1": "red round ball", "e2": "blue fast car", "e3": "green tall tree"}

@@ -251,7 +251,7 @@ add("batch_negatives", lambda s, d: training.batch_negatives(vectors(s, d).selec
 
 def coded(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     vocab = corpus.entity_vocab(train_of(events(spark, d))[0])
-    return corpus.entity_encode(events(spark, d).filter("seq % 20 = 0"), vocab).select("seq", "idx"), vocab
+    return corpus.entity_encode(events(spark, d), vocab).select("seq", "idx"), vocab
 
 
 add("weighted_negatives", lambda s, d: training.weighted_negatives(*coded(s, d), 8))

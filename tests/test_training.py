@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mentionflow.operators import sampling, training
+from mentionflow.plans import catalogue
 
 
 def window(left, mention, right, size):
@@ -60,6 +61,13 @@ def test_negatives(spark):
     assert len(uniform) == 1200 and all(0 <= r["negative"] < 5 and (r["negative"] != r["seq"] % 5 or r["negative"] == 0) for r in uniform)
 
 
+@pytest.mark.parametrize("name", ["weighted_negatives", "uniform_negatives"])
+def test_every_event_draws_negatives(spark, name):
+    sf = "/root/testdata/sf0.001"
+    got = catalogue.QUERIES[name](spark, sf).groupBy("seq").count().collect()
+    assert len(got) == spark.read.parquet(f"{sf}/events.parquet").count() and {r["count"] for r in got} == {8}
+
+
 def test_weighted_draws_follow_the_counts():
     ids, counts, n = np.array([1, 4, 6, 9]), np.array([5, 1, 2, 40]), 40_000
     u, gold = np.random.default_rng(3).random((n, 4)), np.where(np.arange(n) % 2, 4, 7)

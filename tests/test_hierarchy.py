@@ -28,6 +28,21 @@ def test_tree_is_whole(seed, sim, limit, pruning):
             assert tree.counts[k] == sum(tree.counts[c] for c in tree.children[k])
 
 
+@pytest.mark.parametrize("pruning", ["similarity", "least_recent"])
+def test_only_the_searched_part_keeps_sums(pruning):
+    tree = grown(4, 600, limit=8, pruning=pruning)
+    assert sum(s is not None for s in tree.sums) < 2 * 8  # the active nodes and those over them
+    above = {u for k in tree.active for u in tree.upward(k)} - set(tree.active)
+    for k in above:
+        a, b = tree.children[k]
+        assert np.array_equal(tree.total(k), tree.total(a) + tree.total(b)) and tree.linkage(k) == tree.centroid(a) @ tree.centroid(b)
+    assert sorted(tree.foldable) == sorted(p for p in above if all(c in tree.active for c in tree.children[p]))
+    assert tree.ids == sorted(tree.active) and np.array_equal(tree.matrix[: len(tree.ids)], np.stack([tree.active[k] for k in tree.ids]))
+    table = tree.table(None)
+    below = {k: [u for u in tree.upward(k)] for k in table[table["seq"].notna()]["node"]}
+    assert dict(zip(table["node"], table["n_leaves"], strict=True)) == {k: sum(k in up for up in below.values()) for k in table["node"]}
+
+
 def test_clusters_grow_with_the_threshold(spark):
     x = np.random.default_rng(5).normal(size=(30, 4))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "seq long, embedding array<double>")

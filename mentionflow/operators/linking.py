@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordered import dense_ids, running_sum
 from .trees import _checkpointed
 
-BLOCK = 1024
+#: Rows multiplied at once on either side. Groups that rows are dealt into by seq, more only where a group would have more than LARGEST rows.
+BLOCK, GROUPS, LARGEST = 1024, 16, 65_536
 
 
 def string_match(df: DataFrame, seq: str = "seq", mention: str = "mention") -> DataFrame:
@@ -38,49 +39,80 @@ def roots(parents: DataFrame, seq: str = "seq", parent: str = "parent") -> DataF
         now = after.select("n", "r")
 
 
-def block_pairs(df: DataFrame, seq: str, vector: str, block: int = BLOCK) -> DataFrame:
-    """x, y, b, seq, v: each row once for each pair of blocks that its own block b belongs to. Blocks have about block rows. Rows with a null vector take no part."""
+def _vector(df: DataFrame, vector: str) -> Column:
+    """Single floats are half as large to send; matrix() makes doubles of them."""
+    return F.col(vector) if df.schema[vector].dataType.simpleString() == "array<float>" else F.transform(vector, lambda x: x.cast("double"))
+
+
+def matrix(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors.to_numpy()).astype(np.float64)
+
+
+def block_pairs(df: DataFrame, seq: str, vector: str, block: int = BLOCK, keep: tuple[str, ...] = ()) -> DataFrame:
+    """x, y, b, seq, v and keep: each row once for each pair x <= y of groups that its own group b belongs to. Groups are ranges of seq, so that all of x comes before y.
+
+    There are GROUPS groups, fewer for a few blocks of rows: so copies grow as the rows do. Beyond GROUPS x LARGEST rows groups keep LARGEST rows, which bounds a task's memory. Rows with a null vector take no part.
+    """
     df = df.filter(F.col(vector).isNotNull())
     n = df.count()
-    blocks = max(1, -(-n // block))
-    own = df.select(F.col(seq).alias("seq"), F.transform(vector, lambda x: x.cast("double")).alias("v")).withColumn("b", F.pmod(F.xxhash64("seq"), F.lit(blocks)).cast("int"))
-    met = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least(o, F.col("b")).alias("x"), F.greatest(o, F.col("b")).alias("y")))
-    return own.withColumn("p", F.explode(met)).select("p.x", "p.y", "b", "seq", "v")
+    groups = max(1, -(-n // LARGEST), min(GROUPS, -(-n // block)))
+    share = [i / groups for i in range(1, groups)]
+    found = df.agg(F.percentile_approx(seq, share, 100 * groups).alias("q")).first()["q"] if share else None
+    bounds = F.array(*map(F.lit, sorted(set(found)))) if found else F.array().cast("array<long>")
+    own = df.select(F.col(seq).alias("seq"), _vector(df, vector).alias("v"), *keep).withColumn("b", F.size(F.filter(bounds, lambda q: q < F.col("seq"))))
+    met = F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda o: F.struct(F.least(o, F.col("b")).alias("x"), F.greatest(o, F.col("b")).alias("y")))
+    return own.withColumn("p", F.explode(met)).select("p.x", "p.y", "b", "seq", "v", *keep)
 
 
 def band_pairs(df: DataFrame, seq: str, vector: str, limit: int, block: int = BLOCK) -> DataFrame:
     """x, y, b, seq, v: blocks of consecutive seq, each with the limit rows before it, which have another b. So rows are copied once at most."""
     wide = max(block, limit, 1)
-    own = df.filter(F.col(vector).isNotNull()).select(F.col(seq).alias("seq"), F.transform(vector, lambda x: x.cast("double")).alias("v")).withColumn("b", F.floor(F.col("seq") / wide).cast("long"))
+    own = df.filter(F.col(vector).isNotNull()).select(F.col(seq).alias("seq"), _vector(df, vector).alias("v")).withColumn("b", F.floor(F.col("seq") / wide).cast("long"))
     after = F.col("seq") >= (F.col("b") + 1) * wide - limit
     met = F.array_compact(F.array(F.col("b"), F.when(after, F.col("b") + 1)))
     return own.withColumn("x", F.explode(met)).select("x", F.col("x").alias("y"), "b", "seq", "v")
 
 
-def backward_links(df: DataFrame, threshold: float, seq: str = "seq", vector: str = "embedding", limit: int | None = None, block: int = BLOCK) -> DataFrame:
+def backward_links(df: DataFrame, threshold: float, seq: str = "seq", vector: str = "embedding", limit: int | None = None, block: int = BLOCK, best: bool = True) -> DataFrame:
     """seq, parent, best: the latest earlier row within limit whose inner product is above threshold, and the greatest such product below it or above.
 
-    parent is null for a row that starts a cluster. best is the greatest product with an eligible earlier row, null for the first. Rows meet in pairs
-    of blocks, multiplied as matrices; one row a side leaves each pair of blocks. With a limit each block meets only the rows before it that the limit reaches; without,
-    all pairs of blocks meet. Rows with a null vector take no part.
+    parent is null for a row that starts a cluster. best is the greatest product with an eligible earlier row, null for the first; with best false it is null, and a row is
+    done with in a pair of groups once it has a parent there. Rows meet in pairs of groups, of which block rows a side are multiplied at a time; one row a side leaves each pair of groups. With
+    a limit each block meets only the rows before it that the limit reaches; without, all pairs of groups meet. Rows with a null vector take no part.
     """
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = pdf["x"].iloc[0], pdf["y"].iloc[0]
-        a, b = pdf[pdf["b"] == x], pdf[pdf["b"] == y] if limit is None else pdf
-        out = []
-        for late, early in ((a, b), (b, a)) if x != y else ((a, b),):
-            if not len(late) or not len(early):
-                continue
-            s = np.stack(late["v"].to_numpy()) @ np.stack(early["v"].to_numpy()).T
-            i, k = late["seq"].to_numpy(), early["seq"].to_numpy()
-            ok = k[None, :] < i[:, None]
-            if limit is not None:
-                ok &= k[None, :] >= i[:, None] - limit
-            above = np.where(ok & (s > threshold), k[None, :], -1).max(axis=1)
-            best = np.where(ok, s, -np.inf).max(axis=1)
-            out.append(pd.DataFrame({"seq": i, "parent": above, "best": best}))
-        return pd.concat(out) if out else pd.DataFrame({"seq": [], "parent": [], "best": []})
+        late, early = pdf[pdf["b"] == y], (pdf[pdf["b"] == x] if limit is None else pdf).sort_values("seq", ascending=False)
+        if not len(late) or not len(early):
+            return pd.DataFrame({"seq": [], "parent": [], "best": []})
+        i, k, a, b = late["seq"].to_numpy(), early["seq"].to_numpy(), matrix(late["v"]), matrix(early["v"])
+        parent, most = np.full(len(i), -1, np.int64), np.full(len(i), -np.inf)
+        for first in range(0, len(i), block):
+            todo = np.arange(first, min(first + block, len(i)))
+            for at in range(0, len(k), block):  # from the latest
+                part = k[at : at + block]
+                ok = None
+                if x == y:
+                    ok = part[None, :] < i[todo][:, None]
+                    if limit is not None:
+                        ok &= part[None, :] >= i[todo][:, None] - limit
+                    if not ok.any():
+                        continue
+                s = a[todo] @ b[at : at + block].T
+                if ok is not None:
+                    s = np.where(ok, s, -np.inf)
+                if best:
+                    most[todo] = np.maximum(most[todo], s.max(axis=1))
+                above = s > threshold
+                hit = above.argmax(axis=1)
+                has = above[np.arange(len(todo)), hit]
+                parent[todo] = np.where(has & (parent[todo] < 0), part[hit], parent[todo])
+                if not best:
+                    todo = todo[~has]
+                    if not len(todo):
+                        break
+        return pd.DataFrame({"seq": i, "parent": parent, "best": most})
 
     pairs = block_pairs(df, seq, vector, block) if limit is None else band_pairs(df, seq, vector, limit, block)
     found = pairs.groupBy("x", "y").applyInPandas(compare, "seq long, parent long, best double")
@@ -90,7 +122,7 @@ def backward_links(df: DataFrame, threshold: float, seq: str = "seq", vector: st
 
 def backward_cluster(df: DataFrame, threshold: float, seq: str = "seq", vector: str = "embedding", limit: int | None = None) -> DataFrame:
     """seq, cluster_id: the first mention of the chain of latest qualifying links. Not the nearest link, nor connected components."""
-    return roots(backward_links(df, threshold, seq, vector, limit), seq)
+    return roots(backward_links(df, threshold, seq, vector, limit, best=False), seq)
 
 
 def bisect(count_at, target: int, n: int, steps: int = 100, tolerance: float | None = None) -> tuple[float, int, bool]:

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -180,3 +182,30 @@ def test_purity_golden(spark):
     golden = [("0", None, None), ("1", "0", None), ("2", "0", None), ("a", "1", "white"), ("b", "1", "white"), ("c", "2", "black"), ("d", "2", "black")]
     assert trees.purity(spark.createDataFrame(golden, tree.schema)).first()["purity"] == 1.0
     assert trees.purity(spark.createDataFrame(rows, tree.schema)).first()["purity"] == 0.5
+
+
+def some_vectors(spark, n, seed=1):
+    x = np.random.default_rng(seed).normal(size=(n, 4))
+    return x, spark.createDataFrame([(3 * i, v.tolist(), f"ab{'cde'[i % 3] * (i % 4)} x{i % 7}" if i % 11 else None) for i, v in enumerate(x)], "seq long, embedding array<double>, mention string")
+
+
+def test_copies_grow_as_the_rows_do(spark, monkeypatch):
+    for n in (60, 240):
+        pairs = linking.block_pairs(some_vectors(spark, n)[1], "seq", "embedding", 2).collect()
+        assert len(pairs) == linking.GROUPS * n
+        first, last = ({g: f(r["seq"] for r in pairs if r["b"] == g) for g in {r["b"] for r in pairs}} for f in (min, max))
+        assert all(last[g] < first[g + 1] for g in first if g + 1 in first) and len(first) == linking.GROUPS
+    monkeypatch.setattr(linking, "LARGEST", 10)
+    sizes = Counter(r["b"] for r in linking.block_pairs(some_vectors(spark, 240)[1], "seq", "embedding").filter("x = b and y = b").collect())
+    assert len(sizes) == 24 and max(sizes.values()) <= 12
+
+
+@pytest.mark.parametrize("best", [True, False])
+def test_groups_give_what_all_pairs_give(spark, best):
+    x, df = some_vectors(spark, 90)
+    s = np.where(np.tri(90, k=-1, dtype=bool), x @ x.T, -np.inf)
+    for r in linking.backward_links(df, 2.0, block=3, best=best).collect():
+        i = r["seq"] // 3
+        above = np.flatnonzero(s[i] > 2.0)
+        assert r["parent"] == (3 * above[-1] if len(above) else None)
+        assert r["best"] == (pytest.approx(s[i].max()) if best and i else None)

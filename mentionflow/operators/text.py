@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from math import sqrt
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .linking import BLOCK, bigram_weights, block_pairs, similar_strings
+from .linking import BLOCK, bigram_weights, block_pairs, matrix, similar_strings
 
 WORD = r"[\p{L}\p{N}_]{2,}"
 
@@ -67,13 +70,28 @@ def feature_score(df: DataFrame, threshold: float, weights: tuple[float, float]
     return found.withColumn("score", F.round(own * F.col("m") + other * F.col("c"), 6)).filter(F.col("score") > threshold).select(F.col("a").alias("mention_a"), "context_a", F.col("b").alias("mention_b"), "context_b", "score")
 
 
-def _bigram_rows(strings: list[str | None], ids: dict[str, int]) -> np.ndarray:
-    out = np.zeros((len(strings), max(1, len(ids))))
+def _bigram_counts(strings: list[str | None], ids: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """row, column and count of each string's bigrams, ids being added to; and one over each string's length as a vector, 0 without bigrams."""
+    known: dict[str | None, tuple[list[int], list[int]]] = {}
+    rows, columns, counts, over = [], [], [], np.zeros(len(strings))
     for i, s in enumerate(strings):
-        for g in _grams(s):
-            out[i, ids[g]] += 1
-    size = np.linalg.norm(out, axis=1, keepdims=True)
-    return out / np.where(size > 0, size, 1)
+        if s not in known:
+            c = Counter(ids.setdefault(g, len(ids)) for g in _grams(s))
+            known[s] = list(c), list(c.values())
+        own, n = known[s]
+        rows += [i] * len(own)
+        columns += own
+        counts += n
+        over[i] = 1 / sqrt(sum(x * x for x in n)) if n else 0
+    return np.array(rows, np.int32), np.array(columns, np.int32), np.array(counts, np.float32), over
+
+
+def _dense(rows: np.ndarray, columns: np.ndarray, counts: np.ndarray, n: int, place: np.ndarray, width: int) -> np.ndarray:
+    """n rows of the counts of the bigrams that have a place. Single floats hold such whole numbers, and the sums of their products, exactly."""
+    at = place[columns]
+    out = np.zeros((n, width), np.float32)
+    out[rows[at >= 0], at[at >= 0]] = counts[at >= 0]
+    return out
 
 
 def _grams(s: str | None) -> list[str]:
@@ -84,25 +102,38 @@ def _grams(s: str | None) -> list[str]:
 def combo_score(df: DataFrame, threshold: float, weight: float = 0.5, seq: str = "seq", mention: str = "mention", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
     """seq, earlier, score: pairs of rows whose weight x bigram cosine + (1 - weight) x inner product is above threshold.
 
-    Rows meet in pairs of blocks, scored as matrices; seq should be unique. Vectors aren't normalised. A null mention has no bigrams; rows with a null vector take no part.
+    Rows meet in pairs of groups, scored as matrices of block rows a side; seq should be unique. Vectors aren't normalised. A null mention has no bigrams; rows with a null vector take no part.
     """
-    whole = df.filter(F.col(vector).isNotNull())
-    text = whole.select(F.col(seq).alias("seq"), F.regexp_replace(F.lower(mention), r"\s+", " ").alias("m"))
-    dealt = block_pairs(whole, seq, vector, block).join(text, "seq")
+    named = df.withColumn("m", F.regexp_replace(F.lower(mention), r"\s+", " "))
+    dealt = block_pairs(named, seq, vector, block, ("m",))
+
+    def sides(pdf: pd.DataFrame, ids: dict[str, int]) -> list[tuple]:
+        parts = [pdf.iloc[at : at + block] for at in range(0, len(pdf), block)]
+        return [(p["seq"].to_numpy(), matrix(p["v"]), *_bigram_counts(p["m"].tolist(), ids)) for p in parts]
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = pdf["x"].iloc[0], pdf["y"].iloc[0]
-        a, b = pdf[pdf["b"] == x], pdf[pdf["b"] == y]
-        empty = pd.DataFrame({"seq": pd.Series([], dtype="int64"), "earlier": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
-        if not len(a) or not len(b):
-            return empty
         ids: dict[str, int] = {}
-        for s in {*a["m"], *b["m"]}:
-            for g in _grams(s):
-                ids.setdefault(g, len(ids))
-        score = weight * (_bigram_rows(a["m"].tolist(), ids) @ _bigram_rows(b["m"].tolist(), ids).T) + (1 - weight) * (np.stack(a["v"].to_numpy()) @ np.stack(b["v"].to_numpy()).T)
-        i, k = a["seq"].to_numpy(), b["seq"].to_numpy()
-        r, c = np.nonzero((np.round(score, 6) > threshold) & ((i[:, None] > k[None, :]) if x == y else (i[:, None] != k[None, :])))
-        return pd.DataFrame({"seq": np.maximum(i[r], k[c]), "earlier": np.minimum(i[r], k[c]), "score": np.round(score[r, c], 6)})
+        late, early = sides(pdf[pdf["b"] == y], ids), sides(pdf[pdf["b"] == x], ids)
+        seqs, earlier, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for i, a, rows, columns, counts, over in late:
+            # Bigrams that none of these rows has add nothing.
+            own = np.unique(columns)
+            place = np.full(len(ids), -1, np.int32)
+            place[own] = np.arange(len(own))
+            names = _dense(rows, columns, counts, len(i), place, len(own))
+            for k, b, *others, under in early:
+                if x == y and i.max() <= k.min():
+                    continue
+                shared = names @ _dense(*others, len(k), place, len(own)).T
+                score = weight * (shared * over[:, None] * under[None, :]) + (1 - weight) * (a @ b.T)
+                near = score > threshold - 1e-6  # rounding comes to less
+                r, c = np.nonzero(near & (i[:, None] > k[None, :]) if x == y else near)
+                found = np.round(score[r, c], 6)
+                kept = found > threshold
+                seqs.append(i[r[kept]])
+                earlier.append(k[c[kept]])
+                scores.append(found[kept])
+        return pd.DataFrame({"seq": np.concatenate(seqs), "earlier": np.concatenate(earlier), "score": np.concatenate(scores)})
 
     return dealt.groupBy("x", "y").applyInPandas(compare, "seq long, earlier long, score double").select(F.col("seq").alias(seq), "earlier", "score")

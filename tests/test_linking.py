@@ -5,7 +5,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from mentionflow.operators import linking, trees
+from mentionflow.operators import linking, text, trees
 from mentionflow.streaming import strategies
 from mentionflow.streaming.strategies import Linker
 
@@ -209,3 +209,12 @@ def test_groups_give_what_all_pairs_give(spark, best):
         above = np.flatnonzero(s[i] > 2.0)
         assert r["parent"] == (3 * above[-1] if len(above) else None)
         assert r["best"] == (pytest.approx(s[i].max()) if best and i else None)
+
+
+def test_combo_score_of_groups(spark):
+    df = some_vectors(spark, 90)[1]
+    whole = sorted(map(tuple, text.combo_score(df, 0.9).collect()))
+    assert len(whole) > 100 and whole == sorted(map(tuple, text.combo_score(df, 0.9, block=3).collect()))
+    assert all(r[0] > r[1] for r in whole)
+    dealt = text.combo_score(df, 0.9, block=3)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in dealt  # the strings come along with the vectors

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from math import sqrt
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .linking import BLOCK, bigram_weights, block_pairs, matrix, similar_strings
@@ -15,15 +18,36 @@ from .linking import BLOCK, bigram_weights, block_pairs, matrix, similar_strings
 WORD = r"[\p{L}\p{N}_]{2,}"
 
 
+#: A vocabulary of so many terms at most is sent to the tasks; the rows then stay where they are.
+TERMS = 100_000
+
+
+def _words(text: str) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)).alias("t")
+
+
+def _counted(words: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words of lists of words; and for each pair of a list and a word in it the list's number, the word's place and its count."""
+    coded = words.flatten().dictionary_encode()
+    rows, n = pc.list_parent_indices(words).to_numpy(zero_copy_only=False).astype(np.int64), max(1, len(coded.dictionary))
+    pairs, counts = np.unique(rows * n + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+    return coded.dictionary.cast(pa.string()), pairs // n, pairs % n, counts
+
+
 def fit_idf(df: DataFrame, text: str, max_features: int | None = 10_000) -> DataFrame:
     """term, idf: ln((1 + n) / (1 + df)) + 1 for each term of the rows' texts.
 
     Terms are lower-cased words of two characters or more. max_features keeps those most frequent in all texts, ties to the lesser term. n counts all
     rows, those with null or wordless texts too.
     """
-    t = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
-    each = F.concat(F.transform(t, lambda x: F.struct(x.alias("term"), F.lit(1).alias("c"), F.lit(0).alias("d"))), F.transform(F.array_distinct(t), lambda x: F.struct(x.alias("term"), F.lit(0).alias("c"), F.lit(1).alias("d"))))
-    terms = df.select(F.explode(each).alias("e")).groupBy("e.term").agg(F.sum("e.c").alias("all"), F.sum("e.d").alias("df"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms, _, at, c = _counted(batch.column(0))
+            many = np.bincount(at, c, len(terms)).astype(np.int64), np.bincount(at, minlength=len(terms)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([terms, *map(pa.array, many)], names=["term", "all", "df"])
+
+    terms = df.select(_words(text)).mapInArrow(run, "term string, all long, df long").groupBy("term").agg(F.sum("all").alias("all"), F.sum("df").alias("df"))
     if max_features is not None:
         terms = terms.orderBy(F.desc("all"), "term").limit(max_features)
     rows = df.agg(F.count("*").alias("n"))  # one row
@@ -31,8 +55,39 @@ def fit_idf(df: DataFrame, text: str, max_features: int | None = 10_000) -> Data
 
 
 def tfidf_weights(df: DataFrame, key: str, text: str, idf: DataFrame) -> DataFrame:
-    """key, term, w: count times idf over the text's L2 norm; terms that idf lacks don't count. key should be unique; a wordless text gives no rows."""
-    counts = df.select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("c"))
+    """key, term, w: count times idf over the text's L2 norm; terms that idf lacks don't count. Rows of one key count as one text, those without a key not at all; a wordless text gives no rows.
+
+    A text's weights need no other row: each is weighed where it is. Only rows that share their key, and all where idf has more than TERMS terms, are counted by key and term.
+    """
+    df = df.filter(F.col(key).isNotNull()).select(key, text)
+    small = idf.select("term", F.col("idf").cast("double").alias("idf")).limit(TERMS + 1).toArrow()
+    if small.num_rows > TERMS:
+        return _joined_weights(df, key, text, idf)
+    shared = df.groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1").select(key)
+    repeated = not shared.isEmpty()
+    known, values = small.column("term").combine_chunks().cast(pa.string()), small.column("idf").to_numpy()
+    sent = df.sparkSession.sparkContext.broadcast((known, values))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, values = sent.value
+        for whole in batches:
+            for first in range(0, whole.num_rows, 1024):
+                batch = whole.slice(first, 1024)
+                terms, rows, at, c = _counted(batch.column(1))
+                place = pc.fill_null(pc.index_in(terms, value_set=known), -1).to_numpy(zero_copy_only=False)
+                kept = place[at] >= 0
+                rows, at, c = rows[kept], at[kept], c[kept]
+                w = c * values[place[at]]
+                w /= np.sqrt(np.bincount(rows, w * w, batch.num_rows))[rows]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), terms.take(pa.array(at)), pa.array(w)], names=[key, "term", "w"])
+
+    alone = df.join(shared, key, "left_anti") if repeated else df
+    out = alone.select(key, _words(text)).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, term string, w double")
+    return out.unionByName(_joined_weights(df.join(shared, key, "left_semi"), key, text, idf)) if repeated else out
+
+
+def _joined_weights(df: DataFrame, key: str, text: str, idf: DataFrame) -> DataFrame:
+    counts = df.select(key, F.explode(_words(text)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("c"))
     raw = counts.join(idf, "term").select(key, "term", (F.col("c") * F.col("idf")).alias("w"))
     norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("l"))
     return raw.join(norm, key).select(key, "term", (F.col("w") / F.col("l")).alias("w"))
